@@ -10,6 +10,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (toxicity.id_crc() % 4 == 2).alias("held_out"), "score", "predicted", "expected", "spans")
+
+
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.media import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_dedup import exact_dedup
 
