@@ -36,6 +36,25 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=2)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.token_files import token_files
+
+    return token_files(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import bpe
+
+    docs = table(spark, sf_dir, "documents")
+    out = bpe.encode(docs, bpe.build_lexicon(docs))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
 
