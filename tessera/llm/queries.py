@@ -24,6 +24,13 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.substring_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_dedup import exact_dedup
 
@@ -55,6 +62,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.mixing import mix
 
@@ -76,6 +90,17 @@ def queries() -> dict:
 
 
 ORACLE_SQL = {
+    "op3_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        starts AS (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS s FROM w WHERE len(words) >= 13),
+        keyed AS (SELECT doc_id, s, array_to_string(words[s:s + 12], ' ') AS k FROM starts),
+        late AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY k) AS f FROM keyed) WHERE f < doc_id),
+        gone AS (SELECT DISTINCT doc_id, s + i AS p FROM late, generate_series(0, 12) AS g(i)),
+        marks AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+        SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+               sha256(CASE WHEN ps IS NULL THEN array_to_string(words, ' ')
+                           ELSE coalesce(array_to_string(list_select(words, list_filter(generate_series(1, len(words)), lambda i: NOT list_contains(ps, i))), ' '), '') END) AS kept_sha256
+        FROM w LEFT JOIN marks USING (doc_id)""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
