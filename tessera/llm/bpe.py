@@ -293,13 +293,15 @@ def opened(vocabulary: str, lexicon: str | None) -> Encoder:
     return _opened[key]
 
 
-def encode(docs: DataFrame, lexicon: str | None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rows: int = 256) -> DataFrame:
-    """Per row of *docs*: id, ids (those of the vocabulary's own library), decoded (text of the ids).
+def encode(docs: DataFrame, lexicon: str | None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rows: int = 256, keep: list[str] | None = None) -> DataFrame:
+    """Per row of *docs*: id, columns *keep*, ids (those of the vocabulary's own library), decoded (text of the ids).
 
     A null or empty text has no ids and decodes to the empty text. Special tokens' names in a text are
     those tokens, as the library has it. Whole texts; rows that repeat are encoded each. An empty table
     gives no rows. Work goes in parts of *rows* rows, which bounds a worker's memory.
     """
+    keep = keep or []
+    types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -308,6 +310,9 @@ def encode(docs: DataFrame, lexicon: str | None, id_col: str = "doc_id", text_co
             for i in range(0, whole.num_rows, rows):
                 b = whole.slice(i, rows)
                 ids = [e(t) if t else [] for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([e.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), *b.columns[2:], pa.array(ids, pa.list_(pa.int32())), pa.array([e.decode(x) for x in ids], pa.string())],
+                    ["doc_id", *keep, "ids", "decoded"],
+                )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select(F.col(id_col), F.col(text_col), *keep).mapInArrow(run, f"doc_id {kind}{types}, ids array<int>, decoded string")

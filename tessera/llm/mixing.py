@@ -137,3 +137,14 @@ def mix(
     copies = F.filter(F.coalesce("dealt", F.array().cast("array<struct<epoch:int,shard:int>>")), lambda u: (u["epoch"] < F.col("full")) | F.col("last"))
     copies = F.transform(copies, lambda u: F.struct(u["epoch"].alias("epoch"), u["shard"].alias("shard"), turn(F.lit("place"), u["epoch"], F.col("doc_id")).alias("position")))
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, **how) -> DataFrame:
+    """The mix itself: each row of *docs*, all columns, as often as :func:`mix` takes it, shard by shard and
+    within a shard in the order of the positions. Rows that aren't taken are left out; those of size 0
+    come along as often as their block."""
+    dealt = mix(docs, id_col, text_col, source_col, shards=shards, **how).filter(F.size("copies") > 0)
+    dealt = stage_table(dealt.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).dropDuplicates(["__id"]), "copies")
+    rows = docs.join(dealt, docs[id_col].eqNullSafe(dealt["__id"])).withColumn("__copy", F.explode("__copies"))
+    rows = rows.repartitionById(shards, F.col("__copy.shard")).sortWithinPartitions("__copy.shard", "__copy.position", "__copy.epoch")
+    return rows.select(*[docs[c] for c in docs.columns])

@@ -230,3 +230,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = feats.select("id", "n_shingles", "digest").join(roots, "digest", "left")
     root = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, most: int = 500_000) -> DataFrame:
+    """The rows of *docs*, all columns, that stand for their component: those of its smallest id. Rows of
+    null id stay. The ids that go are broadcast if a count shows at most *most* of them."""
+    gone = stage_table(near_duplicates(docs, id_col, text_col, n, percent).filter("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -228,21 +228,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         get = _Emissions(model).__getitem__
-        curve = np.array(model.curve)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            lengths = np.zeros(len(texts), np.int64)
-            parts = []
-            for i, t in enumerate(texts):
-                words = t.split()
-                lengths[i] = len(words)
-                parts.append(np.fromiter(map(get, words), np.float32, len(words)))
-            logits = marginals(np.concatenate(parts) if parts else np.zeros(0), lengths, model.trans)
-            x = summary(logits, lengths)
-            if model.weights:
-                s = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30)))
-            else:
-                s = np.full(len(texts), model.prior)
+            logits, lengths, x, s = _scores(model, get, texts)
             ends = np.cumsum(lengths)
             spans = []
             for i, t in enumerate(texts):
@@ -259,6 +247,34 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
 
 
+def _scores(model: Model, get, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Marginal log odds of all tokens, tokens per text, summaries and scores."""
+    lengths, parts = np.zeros(len(texts), np.int64), []
+    for i, t in enumerate(texts):
+        words = t.split()
+        lengths[i] = len(words)
+        parts.append(np.fromiter(map(get, words), np.float32, len(words)))
+    logits = marginals(np.concatenate(parts) if parts else np.zeros(0), lengths, model.trans)
+    x = summary(logits, lengths)
+    curve = np.array(model.curve)
+    s = 1 / (1 + np.exp(-np.clip(curve[0] + x @ curve[1:], -30, 30))) if model.weights else np.full(len(texts), model.prior)
+    return logits, lengths, x, s
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of *docs*, all columns, whose score is below *threshold*. Null and empty texts are scored
+    like any other. Without a fitted model every row stays."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        get = _Emissions(model).__getitem__
+        for b in batches:
+            s = _scores(model, get, [t or "" for t in b.column(at).to_pylist()])[3]
+            yield b.filter(pa.array(s < threshold))
+
+    return docs.mapInArrow(run, docs.schema) if model.weights else docs
+
+
 def _offsets(text: str, hot: np.ndarray) -> list[dict[str, int]]:
     out, wanted, last = [], set(hot.tolist()), -2
     for i, m in enumerate(_TOKEN.finditer(text)):
