@@ -1 +1 @@
-
+"""Coverage analytics and training-data operators on Spark DataFrames."""
