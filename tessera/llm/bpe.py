@@ -200,7 +200,8 @@ class Encoder:
 
     def unit(self, u: str) -> list[int]:
         out: list[int] = []
-        for w in _WORDS.findall(u):
+        body = u[1:] if u[:1] == " " else u
+        for w in [u] if body.isalpha() else _WORDS.findall(u):
             raw = w.encode("utf-8", "replace")
             out += (self.lexicon.find(raw) if self.lexicon else None) or self.merges.encode(raw)
         if len(self.memo) < self.most:

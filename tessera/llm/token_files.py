@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import VOCABULARY, _at, units, vocabulary_path
+from tessera.llm.bpe import VOCABULARY, _at, byte_letters, units, vocabulary_path
 from tessera.llm.store import new_path, stage_table
 
 STEP, LIMIT, MAGIC = 256, 20, b"TSHF0001"
+#: Marks that form one word at the end of a unit whatever letter is before them (an apostrophe may not).
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -133,9 +135,18 @@ def library_encoder(vocabulary: str, most: int = 600_000):
         lib.no_truncation()
         lib.no_padding()
 
+        model, letters = lib.model.tokenize, dict(enumerate(byte_letters()))
+
         class Units(dict):
             def __missing__(self, u: str) -> bytes:
-                v = array.array("I", lib.encode(u, add_special_tokens=False).ids).tobytes()
+                core = u.rstrip(_MARKS)
+                if (core[1:] if core[:1] == " " else core).isalpha():
+                    # Letters with a blank before and marks after them are one word and another: these go
+                    # to the library's model without its word splitter.
+                    ids = [t.id for t in model(core.encode().decode("latin-1").translate(letters))]
+                    v = array.array("I", ids).tobytes() + (self[u[len(core) :]] if len(core) < len(u) else b"")
+                else:
+                    v = array.array("I", lib.encode(u, add_special_tokens=False).ids).tobytes()
                 if len(self) < most:
                     self[u] = v
                 return v
