@@ -125,9 +125,8 @@ def keys(classes: DataFrame, errors: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """Those of *pairs* (a, b) whose full sets have 100 * intersection >= percent * union."""
-    kind = docs.schema[id_col].dataType.simpleString()
     ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct(), "ids")
-    texts = stage_table(known_texts(docs.select(F.col(id_col), F.col(text_col).alias("t")), ids, id_col).dropDuplicates([id_col]), "texts")
+    texts = stage_table(known_texts(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("t")), ids, id_col).dropDuplicates([id_col]), "texts")
     both = pairs.join(texts.select(F.col(id_col).alias("b"), F.col("t").alias("tb")), "b")
     both = both.join(texts.select(F.col(id_col).alias("a"), F.col("t").alias("ta")), "a")
 
@@ -144,7 +143,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,62 +171,168 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("v"), F.col("b").alias("root")).groupBy("v").agg(F.min("root").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, errors: int = 1) -> DataFrame:
+def nearest_leads(rows: DataFrame, info: DataFrame, turn: int, alike) -> DataFrame:
+    """(a, b): for every class of bucket rows (k, v, rep, comp) the nearest of its buckets' leads that is in
+    another component. A bucket's lead is its least class by a hash that changes with *turn*."""
+    order = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp") if turn else F.struct(F.lit(0), "rep", "comp")
+    lead = rows.groupBy("k", "v").agg(F.min(order).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    lead = lead.select("k", "v", F.col("l.rep").alias("lead"), F.col("l.comp").alias("its"))
+    star = rows.join(lead, ["k", "v"]).filter("comp <> its").select("rep", "lead").distinct()
+    p, q = info.alias("p"), info.alias("q")
+    star = star.join(p, F.col("p.rep") == star["rep"]).join(q, F.col("q.rep") == star["lead"])
+    star = star.filter(alike({c: F.col(f"p.{c}") for c in ("n", "sig")}, {c: F.col(f"q.{c}") for c in ("n", "sig")}))
+    near = F.struct(_unlike(F.col("p.sig"), F.col("q.sig")).alias("d"), F.col("q.rep").alias("a"))
+    best = star.select(F.col("p.rep").alias("b"), near.alias("near")).groupBy("b").agg(F.min("near").alias("near"))
+    return best.select(F.least("near.a", "b").alias("a"), F.greatest("near.a", "b").alias("b")).distinct()
+
+
+def candidates(open_: DataFrame, percent: int, errors: int) -> DataFrame:
+    """(y, xs): for classes of buckets that hold several components, those classes outside the bucket's main
+    component that they may be linked with, as packed ids. Rows: k, v, rep, comp, main, n, sig.
+
+    A bucket's rows meet in one task, those outside the main component first; the rest stream by. Pairs are
+    compared there by signature and size and stay packed, a row for each class and bucket, never a pair."""
+    most = CHUNKS * (errors + 1) - 1
+
+    def run(batches):
+        key, xs = None, []
+        for b in batches:
+            k, v, rep, comp, main, n = (b.column(i).to_numpy() for i in range(6))
+            sig = b.column(6).flatten().to_numpy().reshape(-1, CHUNKS).view(np.uint16)
+            cuts = np.flatnonzero((np.diff(k) != 0) | (np.diff(v) != 0)) + 1
+            out_y, out_x = [], []
+            for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(k)).tolist(), strict=True):
+                if hi == lo:
+                    continue
+                if (k[lo], v[lo]) != key:
+                    key, xs = (k[lo], v[lo]), []
+                out = np.flatnonzero(comp[lo:hi] != main[lo:hi]) + lo
+                if len(out):
+                    xs.append((rep[out], comp[out], n[out], sig[out]))
+                if not xs:
+                    continue
+                xr, xc, xn, xsig = (np.concatenate(c) for c in zip(*xs, strict=True))
+                for i in range(lo, hi):
+                    ok = (xc != comp[i]) & (100 * np.minimum(xn, n[i]) >= percent * np.maximum(xn, n[i]))
+                    if comp[i] != main[i]:
+                        ok &= xr < rep[i]
+                    at = np.flatnonzero(ok)
+                    if len(at):
+                        same = xsig[at] == sig[i]
+                        near = same.sum(1) >= CHUNKS * LANES - most
+                        if errors == 1:  # a pair counts in the first bucket that it shares
+                            lanes = same.reshape(-1, CHUNKS, LANES)
+                            chunk = (lanes.sum(2) >= LANES - 1).argmax(1)
+                            which = lanes[np.arange(len(at)), chunk]
+                            near &= chunk * 100 + np.where(which.all(1), 0, (~which).argmax(1)) == k[i]
+                        at = at[near]
+                        if len(at):
+                            out_y.append(rep[i])
+                            out_x.append(xr[at].astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int64()), pa.array(out_x, pa.binary())], ["y", "xs"])
+
+    rows = open_.repartition("k", "v").sortWithinPartitions("k", "v", F.col("comp") == F.col("main"))
+    rows = rows.select("k", "v", "rep", "comp", "main", "n", "sig").mapInArrow(run, "y long, xs binary")
+    return rows.groupBy("y").agg(F.collect_list("xs").alias("xs"))
+
+
+def confirm_blocks(cands: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, block: int = 400) -> DataFrame:
+    """Links (a, b) among packed candidates. The classes that are asked for go in blocks of about *block*;
+    a task holds the sets of one block, and the classes with candidates in it pass by, once each."""
+    def split(batches):
+        for b in batches:
+            ys, blocks, parts = [], [], []
+            for y, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.unique(np.frombuffer(b"".join(xs), "<i8"))
+                home = x % count
+                for h in np.unique(home).tolist():
+                    ys.append(y)
+                    blocks.append(h)
+                    parts.append(x[home == h].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int64()), pa.array(blocks, pa.int64()), pa.array(parts, pa.binary())], ["id", "home", "xs"])
+
+    def asked(batches):
+        for b in batches:
+            x = np.unique(np.frombuffer(b"".join(p for xs in b.column(1).to_pylist() for p in xs), "<i8"))
+            yield pa.RecordBatch.from_arrays([pa.array(x)], ["id"])
+
+    wanted = stage_table(cands.mapInArrow(asked, "id long").distinct(), "asked")
+    count = max(1, -(-wanted.count() // block))
+    ids = stage_table(cands.select(F.col("y").alias(id_col)).unionByName(wanted.select(F.col("id").alias(id_col))).distinct(), "ids")
+    texts = known_texts(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("t")), ids, id_col).dropDuplicates([id_col])
+    texts = stage_table(texts.withColumnRenamed(id_col, "id"), "texts")
+    ys = cands.mapInArrow(split, "id long, home long, xs binary").join(texts, "id").select("home", F.lit(1).alias("ask"), "id", "xs", "t")
+    xs = wanted.join(texts, "id").select(F.pmod("id", F.lit(count)).alias("home"), F.lit(0).alias("ask"), "id", F.lit(None).cast("binary").alias("xs"), "t")
+    rows = xs.unionByName(ys).repartition("home").sortWithinPartitions("home", "ask")
+
+    def run(batches):
+        home, sets = None, {}
+        for b in batches:
+            a_, b_ = [], []
+            for h, ask, i, x, t in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if h != home:
+                    home, sets = h, {}
+                own = shingles(t, n)
+                if not ask:
+                    sets[i] = own
+                    continue
+                for j in np.frombuffer(x, "<i8").tolist():
+                    other = sets[j]
+                    small, large = sorted((len(own), len(other)))
+                    if 100 * small >= percent * large:
+                        common = len(own & other)
+                        if 100 * common >= percent * (small + large - common):
+                            a_.append(min(i, j))
+                            b_.append(max(i, j))
+            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, errors: int = 1, turns: int = 3) -> DataFrame:
     """Per row of *docs*: id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of n-word shingles.
     1. Equal sets are one class (its smallest id stands for it), so copies never multiply.
-    2. Every class is compared with the smallest class in each of its buckets, and the nearest one is
-       confirmed: a forest, whose trees are the first components.
-    3. Buckets that still hold several components are searched whole: every class outside a bucket's
-       largest component meets all classes of other components there. Nothing is capped; what is left
-       out are pairs already connected. Signature distance and set sizes are part of the join condition.
-    Joins have equal keys throughout, so Spark splits hot buckets.
+    2. *turns* times every class is compared with one lead in each of its buckets, and the nearest that is
+       in another component is confirmed. This joins most of what belongs together, at a pair a class.
+    3. Buckets that still hold several components are searched whole: every class outside a bucket's main
+       component meets all classes of other components there. Nothing is capped; what is left out are
+       pairs already connected. Candidates stay packed and are confirmed block by block.
+    All confirmations use the full sets.
 
     Null or empty texts and texts without words have the empty set, linked with nothing. Null ids stand
-    alone too. Rows that repeat an id are one document with the first row's text in a link's confirmation.
-    An empty table gives no rows.
+    alone too. Ids are integers. Rows that repeat an id are one document, with one row's text in a link's
+    confirmation. An empty table gives no rows.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint"):
+        raise TypeError("ids must be integers")
     feats = stage_table(features(docs, id_col, text_col, n), "features")
-    classes = feats.filter("digest is not null and id is not null").groupBy("digest", "n_shingles", "sig").agg(F.min("id").alias("rep"))
+    classes = feats.filter("digest is not null and id is not null").groupBy("digest", "n_shingles", "sig").agg(F.min("id").cast("long").alias("rep"))
     classes = stage_table(classes, "classes")
     most = CHUNKS * (errors + 1) - 1
     alike = lambda p, q: (
         (100 * F.least(p["n"], q["n"]) >= percent * F.greatest(p["n"], q["n"])) & (_unlike(p["sig"], q["sig"]) <= most)
     )
     info = classes.select("rep", F.col("n_shingles").alias("n"), "sig")
-    # Bucket rows that have company, with their bucket's smallest class.
     index = keys(classes, errors)
-    lead = index.groupBy("k", "v").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    rows = stage_table(index.join(lead.drop("members"), ["k", "v"]), "buckets")
-    p, q = info.alias("p"), info.alias("q")
-    star = rows.filter("rep <> lead").select("rep", "lead").distinct()
-    star = star.join(p, F.col("p.rep") == star["rep"]).join(q, F.col("q.rep") == star["lead"])
-    star = star.filter(alike({c: F.col(f"p.{c}") for c in ("n", "sig")}, {c: F.col(f"q.{c}") for c in ("n", "sig")}))
-    star = star.select(F.col("p.rep").alias("b"), F.struct(_unlike(F.col("p.sig"), F.col("q.sig")).alias("d"), F.col("q.rep").alias("a")).alias("best"))
-    star = stage_table(star.groupBy("b").agg(F.min("best").alias("best")).select("best.a", "b"), "star")
-    links = stage_table(confirm(star, docs, id_col, text_col, n, percent), "links")
-    first = stage_table(components(links), "components")
-
-    marked = rows.select("k", "v", "rep").join(first, rows["rep"] == first["v"], "left").select("k", rows["v"], "rep", F.coalesce("root", "rep").alias("comp"))
+    company = index.groupBy("k", "v").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("k", "v")
+    rows = stage_table(index.join(company, ["k", "v"]), "buckets")
+    links, marked, roots = None, rows.withColumn("comp", F.col("rep")), None
+    for turn in range(turns):
+        found = confirm(stage_table(nearest_leads(marked, info, turn, alike), "star"), docs, id_col, text_col, n, percent)
+        links = stage_table(found if links is None else links.unionByName(found), "links")
+        roots = stage_table(components(links), "components")
+        marked = rows.join(roots, rows["rep"] == roots["v"], "left").select("k", rows["v"], "rep", F.coalesce("root", "rep").alias("comp"))
     sizes = marked.groupBy("k", "v", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = sizes.groupBy("k", "v").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("parts > 1")
     open_ = marked.join(mixed.select("k", "v", "main"), ["k", "v"]).join(info, "rep")
-    open_ = stage_table(open_, "open")
-    x, y = open_.filter("comp <> main").alias("x"), open_.alias("y")
-    cx, cy = ({c: F.col(f"{s}.{c}") for c in ("n", "sig")} for s in "xy")
-    more = x.join(
-        y,
-        (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.comp") != F.col("y.comp"))
-        & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))) & alike(cx, cy),
-    )
-    more = more.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = stage_table(more.join(star, ["a", "b"], "left_anti"), "more")
-    late = stage_table(confirm(more, docs, id_col, text_col, n, percent), "late")
+    cands = stage_table(candidates(open_, percent, errors), "candidates")
+    late = stage_table(confirm_blocks(cands, docs, id_col, text_col, n, percent), "late")
     if late.head(1):
-        first = stage_table(components(links.unionByName(late)), "components")
-    roots = classes.join(first, classes["rep"] == first["v"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = feats.select("id", "n_shingles", "digest").join(roots, "digest", "left")
+        roots = stage_table(components(links.unionByName(late)), "components")
+    by_set = classes.join(roots, classes["rep"] == roots["v"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    out = feats.select("id", "n_shingles", "digest").join(by_set, "digest", "left")
     root = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))
 
