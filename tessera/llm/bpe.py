@@ -27,6 +27,8 @@ VOCABULARY = "byte_bpe_50k.json"
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _RUN = re.compile(f" (?=[{_SPACE}]|\\Z)")
+#: Marks that form one word at the end of a unit whatever letter is before them (an apostrophe may not).
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _CUT = re.compile(f"(?= [^{_SPACE}])")
 
 
@@ -78,16 +80,16 @@ class Merges:
         parts = list(word.decode("latin-1").translate(self.table))
         if len(parts) > 48:
             return self._encode_long(parts)
-        rank = self.ranks.get
-        while len(parts) > 1:
-            best, low = -1, 1 << 60
-            for i, pair in enumerate(zip(parts, parts[1:], strict=False)):
-                r = rank(pair)
-                if r is not None and r < low:
-                    best, low = i, r
-            if best < 0:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        rank, none = self.ranks.get, 1 << 60
+        ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (low := min(ranks)) < none:
+            i = ranks.index(low)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return [self.ids[p] for p in parts]
 
     def _encode_long(self, parts: list[str]) -> list[int]:
@@ -192,40 +194,44 @@ class Lexicon:
         return out + bytes(finished[s][0] for s in range(n - 1, -1, -1)) + bytes(labels)
 
 
-class Encoder:
-    """Ids of whole texts: units seen before from a bounded memo, words from the lexicon, others merged."""
+class Units(dict):
+    """Little-endian int32 ids of text units, as bytes, kept for at most *most* units; words come from the
+    lexicon, those it doesn't have are merged."""
 
-    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 400_000):
-        self.merges, self.lexicon, self.most, self.memo = merges, lexicon, most, {}
+    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int):
+        super().__init__()
+        self.merges, self.lexicon, self.most = merges, lexicon, most
 
-    def unit(self, u: str) -> list[int]:
+    def __missing__(self, u: str) -> bytes:
+        # Letters, with a blank before, are one word; so are marks after them.
+        core = u.rstrip(MARKS)
+        words = [core, u[len(core) :]] if (core[1:] if core[:1] == " " else core).isalpha() else _WORDS.findall(u)
         out: list[int] = []
-        body = u[1:] if u[:1] == " " else u
-        for w in [u] if body.isalpha() else _WORDS.findall(u):
-            raw = w.encode("utf-8", "replace")
-            out += (self.lexicon.find(raw) if self.lexicon else None) or self.merges.encode(raw)
-        if len(self.memo) < self.most:
-            self.memo[u] = out
-        return out
-
-    def __call__(self, text: str) -> list[int]:
+        for w in words:
+            if w:
+                raw = w.encode("utf-8", "replace")
+                out += (self.lexicon.find(raw) if self.lexicon else None) or self.merges.encode(raw)
+        v = array.array("i", out).tobytes()
+        if len(self) < self.most:
+            self[u] = v
+        return v
+
+
+class Encoder:
+    """Ids of whole texts as little-endian int32 bytes, and back."""
+
+    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 500_000):
+        self.merges, self.get = merges, Units(merges, lexicon, most).__getitem__
+
+    def __call__(self, text: str) -> bytes:
         special = self.merges.special
         if self.merges.split and any(t in text for t in special):
-            out: list[int] = []
-            for part in self.merges.split.split(text):
-                out += [special[part]] if part in special else self._plain(part)
-            return out
-        return self._plain(text)
-
-    def _plain(self, text: str) -> list[int]:
-        out, get = [], self.memo.get
-        for u in units(text):
-            ids = get(u)
-            out += self.unit(u) if ids is None else ids
-        return out
+            parts = (p for p in self.merges.split.split(text) if p)
+            return b"".join(struct.pack("<i", special[p]) if p in special else b"".join(map(self.get, units(p))) for p in parts)
+        return b"".join(map(self.get, units(text)))
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.merges.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.merges.bytes_of.__getitem__, memoryview(ids).cast("i"))).decode("utf-8", "replace")
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536, local: int = 50_000) -> list[str]:
@@ -310,9 +316,11 @@ def encode(docs: DataFrame, lexicon: str | None, id_col: str = "doc_id", text_co
         for whole in batches:
             for i in range(0, whole.num_rows, rows):
                 b = whole.slice(i, rows)
-                ids = [e(t) if t else [] for t in b.column(1).to_pylist()]
+                ids = [e(t) if t else b"" for t in b.column(1).to_pylist()]
+                ends = pa.array([0, *accumulate(len(x) // 4 for x in ids)], pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(ids))]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *b.columns[2:], pa.array(ids, pa.list_(pa.int32())), pa.array([e.decode(x) for x in ids], pa.string())],
+                    [b.column(0), *b.columns[2:], lists, pa.array([e.decode(x) for x in ids], pa.string())],
                     ["doc_id", *keep, "ids", "decoded"],
                 )
 

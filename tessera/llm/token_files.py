@@ -20,12 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import VOCABULARY, _at, byte_letters, units, vocabulary_path
+from tessera.llm.bpe import MARKS, VOCABULARY, _at, byte_letters, units, vocabulary_path
 from tessera.llm.store import new_path, stage_table
 
 STEP, LIMIT, MAGIC = 256, 20, b"TSHF0001"
-#: Marks that form one word at the end of a unit whatever letter is before them (an apostrophe may not).
-_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -139,7 +137,7 @@ def library_encoder(vocabulary: str, most: int = 600_000):
 
         class Units(dict):
             def __missing__(self, u: str) -> bytes:
-                core = u.rstrip(_MARKS)
+                core = u.rstrip(MARKS)
                 if (core[1:] if core[:1] == " " else core).isalpha():
                     # Letters with a blank before and marks after them are one word and another: these go
                     # to the library's model without its word splitter.
