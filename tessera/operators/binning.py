@@ -72,8 +72,8 @@ def gc_fraction(seq: Column) -> Column:
 
 def gc_per_bin(seqs: DataFrame, key: str, seq: str, width: int) -> DataFrame:
     """(key, idx, gc): GC of each *width* letters; the last bin may be shorter."""
-    n = F.greatest(F.lit(0), F.ceil(F.length(seq) / width).cast("int") - 1)
-    rows = seqs.filter(F.length(seq) > 0).withColumn("idx", F.explode(F.sequence(F.lit(0), n)).cast("long"))
+    n = F.greatest(F.lit(0).cast("long"), F.ceil(F.length(seq) / width).cast("long") - 1)
+    rows = seqs.filter(F.length(seq) > 0).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), n)))
     part = F.substring(F.col(seq), (F.col("idx") * width + 1).cast("int"), F.lit(width))
     return rows.select(key, "idx", gc_fraction(part).alias("gc"))
 

@@ -1,9 +1,601 @@
-"""Registered queries of the coverage engine."""
+"""Registered queries of the coverage engine, each with its equivalent SQL where there is one."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from tessera.functions.numeric import ZeroInflatedPoisson, rint_to
+from tessera.operators import bias, binning, correlate, evaluate, matrix, megabins, model, outliers
+from tessera.operators import insert_size as isize
+from tessera.plans import pipeline as P
+from tessera.plans.oracle import GC, LENGTHS, bucket, clamped, curve, r, smoothed, sql, sums_of, tiles
+from tessera.sources import tables as S
+from tessera.streaming import running
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_oracle: dict[str, str] = {}
+W = P.WIDTH
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        _queries[f.__name__] = f
+        if oracle:
+            _oracle[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *cols: str, digits: int = 8) -> DataFrame:
+    return df.withColumns({c: rint_to(F.col(c).cast("double"), digits) for c in cols})
+
+
+def rr(*cols: str, digits: int = 8) -> str:
+    return ", ".join(f"{r(c, digits)} AS {c}" for c in cols)
+
+
+# Reads and bins
+
+
+@query(sql("SELECT chrom, count(*) AS n, sum(e - s)::BIGINT AS total_len FROM good GROUP BY chrom"))
+def q_mapq_filter(spark, d):
+    return binning.good_reads(S.reads(spark, d)).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("total_len"))
+
+
+@query(sql(f"SELECT chrom, count(*) AS n, {r('sum(len)', 4)} AS total_len FROM frags GROUP BY chrom"))
+def q_fragment_filter(spark, d):
+    return rounded(binning.fragments(S.reads(spark, d)).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("frag_len").alias("total_len")), "total_len", digits=4)
+
+
+@query(sql(f"SELECT chrom, idx, {r('cov')} AS cov FROM cov"))
+def q_coverage_overlap(spark, d):
+    return rounded(binning.coverage(S.reads(spark, d), W), "cov")
+
+
+@query(sql("SELECT chrom, s // 60 AS idx, count(*) AS n FROM good GROUP BY ALL"))
+def q_coverage_start_count(spark, d):
+    return binning.start_counts(S.reads(spark, d), W)
+
+
+@query(sql(f"SELECT chrom, idx, {r('cov')} AS cov FROM dense"))
+def q_coverage_dense_spine(spark, d):
+    return rounded(binning.on_spine(S.spine(spark, d), binning.coverage(S.reads(spark, d), W)).select("chrom", "idx", "cov"), "cov")
+
+
+@query(sql(f"SELECT chrom, idx, {r('mean_len')} AS mean_len FROM lens"))
+def q_mean_fraglen_overlap(spark, d):
+    return rounded(binning.mean_lengths(S.reads(spark, d), W), "mean_len")
+
+
+@query(sql(f"SELECT chrom, s // 60 AS idx, {r('avg(len)')} AS mean_len, {r('median(len)')} AS median_len FROM frags GROUP BY ALL"))
+def q_fraglen_start_mean_median(spark, d):
+    return rounded(binning.start_lengths(S.reads(spark, d), W), "mean_len", "median_len")
+
+
+@query(sql(f"SELECT chrom, {r('avg(len)')} AS mean, {r('stddev_pop(len)')} AS std, {r('median(len)')} AS median FROM frags GROUP BY chrom"))
+def q_fraglen_summary(spark, d):
+    return rounded(binning.summary(binning.fragments(S.reads(spark, d)), "frag_len", ["chrom"]), "mean", "std", "median")
+
+
+@query(sql(f"SELECT chrom, {r('avg(cov)')} AS mean, {r('stddev_pop(cov)')} AS std, {r('median(cov)')} AS median FROM dense GROUP BY chrom"))
+def q_coverage_summary(spark, d):
+    bins = binning.on_spine(S.spine(spark, d), binning.coverage(S.reads(spark, d), W))
+    return rounded(binning.summary(bins, "cov", ["chrom"]), "mean", "std", "median")
+
+
+@query(f"SELECT doc_id, {r('coalesce(len(regexp_replace(text, $$[^GCgc]$$, $$$$, $$g$$)) / nullif(len(text), 0), 0.0)')} AS gc FROM documents".replace("$$", "'"))
+def q_gc_string_fraction(spark, d):
+    return rounded(S.table(spark, d, "documents").select("doc_id", binning.gc_fraction(F.col("text")).alias("gc")), "gc")
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, i AS idx, substring(text, (i * 100 + 1)::INT, 100) AS t FROM documents, generate_series(0, greatest(0, ceil(len(text) / 100)::INT - 1)) AS g(i) WHERE len(text) > 0)
+    SELECT doc_id, idx::BIGINT AS idx, {r("len(regexp_replace(t, '[^GCgc]', '', 'g')) / len(t)")} AS gc FROM p"""
+)
+def q_gc_per_bin(spark, d):
+    return rounded(binning.gc_per_bin(S.table(spark, d, "documents"), "doc_id", "text", 100), "gc")
+
+
+@query(sql(f"SELECT chrom, idx // 10 AS idx, {r('avg(gc)')} AS gc FROM bins GROUP BY ALL"))
+def q_rebin_genomic(spark, d):
+    return rounded(binning.rebin_mean(P.include(spark, d), "gc"), "gc")
+
+
+@query(sql(f"SELECT chrom, grp, {r('sum(cov)')} AS cov FROM (SELECT chrom, cov, (row_number() OVER (PARTITION BY chrom ORDER BY idx) - 1) // 10 AS grp FROM al) GROUP BY ALL"))
+def q_rebin_positional(spark, d):
+    return rounded(binning.rebin_positional(P.aligned(spark, d), "cov", ["chrom"]), "cov")
+
+
+@query(sql("SELECT idx FROM excl"))
+def q_exclude_union(spark, d):
+    return binning.excluded(*S.excludes(spark, d))
+
+
+@query(sql("SELECT chrom, idx, gc FROM bins"))
+def q_exclude_antijoin(spark, d):
+    return P.include(spark, d)
+
+
+@query(sql("SELECT chrom, idx, gc FROM spine WHERE idx IN (SELECT idx FROM excl)"))
+def q_include_semijoin(spark, d):
+    return binning.only(S.spine(spark, d), binning.excluded(*S.excludes(spark, d)))
+
+
+_BED = "SELECT n_name AS chrom, o_orderkey * 7 % 43300 AS s, o_orderkey * 7 % 43300 + o_custkey % 300 AS e FROM orders JOIN nation ON n_nationkey = o_orderkey % 25"
+
+
+@query(f"WITH bed AS ({_BED}) SELECT DISTINCT chrom, unnest(generate_series(s // 60, e // 60)) AS idx FROM bed WHERE e // 60 <= 43200 // 60")
+def q_bed_bins(spark, d):
+    o = S.table(spark, d, "orders").join(F.broadcast(S.table(spark, d, "nation")), F.col("n_nationkey") == F.col("o_orderkey") % 25)
+    start = F.col("o_orderkey") * 7 % 43300
+    lines = o.select(F.concat_ws("\t", "n_name", start, start + F.col("o_custkey") % 300).alias("value"))
+    lines = lines.unionByName(spark.createDataFrame([("# comment",), ("",), ("X\t1",), ("X\ta\tb",)], "value string"))
+    return binning.bed_bins(S.parse_bed(lines), 43200, W)
+
+
+# Bucket curves
+
+
+_MEANS = f"SELECT chrom, bucket, {LENGTHS[0]} + 10.0 * bucket + 5.0 AS mid, %s AS mean FROM lcurve"
+_LCURVE = {"lcurve": curve("al", "mean_len", "cov", LENGTHS)}
+
+
+@query(sql(_MEANS % r("mean"), **_LCURVE))
+def q_bucket_means(spark, d):
+    return rounded(binning.bucket_means(P.aligned(spark, d), "mean_len", "cov", LENGTHS), "mean")
+
+
+@query(sql(_MEANS % r("CASE WHEN bucket NOT IN (0, 11) THEN nullif(mean, 0) END"), **_LCURVE))
+def q_bucket_means_nan_extremes(spark, d):
+    return rounded(binning.bucket_means(P.aligned(spark, d), "mean_len", "cov", LENGTHS, nan_zeroes=True, nan_extremes=True), "mean")
+
+
+@query("SELECT row_number() OVER (ORDER BY edge) - 1 AS bucket, edge + (next - edge) / 2 AS mid FROM (SELECT edge, lead(edge) OVER (ORDER BY edge) AS next FROM (SELECT DISTINCT l_quantity AS edge FROM lineitem)) WHERE next IS NOT NULL")
+def q_midpoints(spark, d):
+    return binning.midpoints(S.table(spark, d, "lineitem").select(F.col("l_quantity").alias("edge"))).withColumn("bucket", F.col("bucket").cast("long"))
+
+
+@query(sql(f"SELECT chrom, n, {r('mu')} AS mu, nonzero FROM zip"))
+def q_zip_stats(spark, d):
+    return rounded(outliers.zip_stats(P.aligned(spark, d)), "mu")
+
+
+@query(sql("SELECT chrom, k FROM limits"))
+def q_zip_threshold(spark, d):
+    return outliers.thresholds(outliers.zip_stats(P.aligned(spark, d)))
+
+
+@query(sql(f"SELECT chrom, k, {r('p * f + CASE WHEN k = 0 THEN 1 - p ELSE 0 END')} AS pmf, {r('(1 - p) + p * sum(f) OVER (PARTITION BY chrom ORDER BY k)')} AS cdf FROM pois WHERE k <= 30"))
+def q_zip_pmf_cdf(spark, d):
+    def rows(batches):
+        for b in batches:
+            m = [ZeroInflatedPoisson(int(n), float(mu), int(z)) for n, mu, z in zip(b["n"], b["mu"], b["nonzero"], strict=True)]
+            out = [(c, k, x.pmf(k), x.cdf(k)) for c, x in zip(b["chrom"], m, strict=True) for k in range(31)]
+            yield type(b)(out, columns=["chrom", "k", "pmf", "cdf"])
+
+    stats = outliers.zip_stats(P.aligned(spark, d)).filter("mu > 0")
+    return rounded(stats.mapInPandas(rows, "chrom string, k long, pmf double, cdf double"), "pmf", "cdf")
+
+
+@query(sql("SELECT chrom, idx, cov, cov_clip FROM clipd"))
+def q_clip_outliers(spark, d):
+    return P.clipped(spark, d).select("chrom", "idx", "cov", "cov_clip")
+
+
+@query(sql("SELECT chrom, idx, cov_raw FROM clipd"))
+def q_null_outliers(spark, d):
+    return P.clipped(spark, d).select("chrom", "idx", "cov_raw")
+
+
+def _smooth_sql(kind: str) -> str:
+    over = "PARTITION BY chrom ORDER BY bucket"
+    return sql(f"SELECT chrom, bucket, {r('f')} AS mean FROM (SELECT chrom, bucket, {smoothed('mean', bias.kernel(5, kind), over)} AS f FROM gccurve)")
+
+
+@query(_smooth_sql("gaussian"))
+def q_smooth_gaussian(spark, d):
+    c = binning.bucket_means(P.clipped(spark, d), "gc", "cov_clip", GC)
+    return rounded(bias.smooth(c, "mean", bias.kernel()).select("chrom", "bucket", "mean"), "mean")
+
+
+@query(_smooth_sql("uniform"))
+def q_smooth_uniform(spark, d):
+    c = binning.bucket_means(P.clipped(spark, d), "gc", "cov_clip", GC)
+    return rounded(bias.smooth(c, "mean", bias.kernel(5, "uniform")).select("chrom", "bucket", "mean"), "mean")
+
+
+@query(sql(f"SELECT chrom, bucket, {r('factor')} AS factor FROM gcf"))
+def q_gc_factors(spark, d):
+    return rounded(bias.gc_factors(P.clipped(spark, d), GC).select("chrom", "bucket", "factor"), "factor")
+
+
+@query(sql(f"SELECT chrom, idx, {r('cov_gc', 6)} AS cov_gc FROM gcc"))
+def q_gc_corrected(spark, d):
+    return rounded(P.gc_corrected(spark, d).select("chrom", "idx", "cov_gc"), "cov_gc", digits=6)
+
+
+_TWENTY = [i / 20 for i in range(21)]
+
+
+@query(
+    sql(
+        f"SELECT b.chrom, b.idx, {r('greatest(cov / nullif(f, 0), 0)')} AS cov_gc FROM (SELECT *, {clamped('gc', _TWENTY)} AS bk FROM al) b JOIN lf ON lf.chrom = b.chrom AND lf.bucket = b.bk",
+        l20=curve("al", "gc", "cov", _TWENTY), lf="SELECT chrom, bucket, nullif(mean, 0) / avg(nullif(mean, 0)) OVER (PARTITION BY chrom) AS f FROM l20",
+    )
+)
+def q_gc_legacy20(spark, d):
+    bins = P.aligned(spark, d)
+    return rounded(bias.apply_legacy_gc(bins, bias.legacy_gc_factors(bins)).select("chrom", "idx", "cov_gc"), "cov_gc")
+
+
+# Megabins
+
+
+@query(sql(f"SELECT chrom, idx, {r('cov_norm', 6)} AS cov_norm FROM norm"))
+def q_megabin_mean(spark, d):
+    return rounded(P.normalized(spark, d).select("chrom", "idx", "cov_norm"), "cov_norm", digits=6)
+
+
+@query(
+    sql(
+        f"SELECT chrom, idx, {r('v * (median(cov_gc) OVER (PARTITION BY chrom) / nullif(median(v) OVER (PARTITION BY chrom), 0))', 6)} AS cov_norm FROM medv",
+        medv="SELECT g.chrom, g.idx, cov_gc, cov_gc / (med + 1e-10) AS v FROM gcc g JOIN mega USING (chrom, idx)",
+    )
+)
+def q_megabin_median(spark, d):
+    return rounded(megabins.normalize(P.gc_corrected(spark, d), W, P.MEGA, P.STRIDE, "cov_gc", scale="median").select("chrom", "idx", "cov_norm"), "cov_norm", digits=6)
+
+
+@query(sql(f"SELECT chrom, idx, {r('CASE WHEN cov_gc < mean THEN 0.0 ELSE cov_gc - mean END', 6)} AS by_mean, {r('CASE WHEN cov_gc < med THEN 0.0 ELSE cov_gc - med END', 6)} AS by_median FROM gcc JOIN mega USING (chrom, idx)"))
+def q_megabin_center(spark, d):
+    bins = P.gc_corrected(spark, d)
+    a = megabins.normalize(bins, W, P.MEGA, P.STRIDE, "cov_gc", "by_mean", scale=None, center="mean")
+    b = megabins.normalize(a, W, P.MEGA, P.STRIDE, "cov_gc", "by_median", scale=None, center="median")
+    return rounded(b.select("chrom", "idx", "by_mean", "by_median"), "by_mean", "by_median", digits=6)
+
+
+@query(
+    sql(
+        f"SELECT chrom, idx, {r('greatest(cov / (m + 1e-10), 0)', 6)} AS cov_norm FROM al JOIN qm USING (chrom, idx)",
+        qt=tiles("al", "cov", 2880, 288),
+        qc="SELECT *, least(v, quantile_cont(v, 0.9) OVER (PARTITION BY chrom, t, mega)) AS c FROM qt",
+        qm="SELECT chrom, idx, avg(m) AS m FROM (SELECT chrom, idx, avg(c) OVER (PARTITION BY chrom, t, mega) AS m FROM qc) GROUP BY ALL",
+    )
+)
+def q_megabin_quantile_clip(spark, d):
+    return rounded(megabins.normalize(P.aligned(spark, d), W, P.MEGA, P.STRIDE, "cov", clip_above=0.9).select("chrom", "idx", "cov_norm"), "cov_norm", digits=6)
+
+
+# Insert sizes: a numerical fit, no SQL
+
+
+@query()
+def q_insert_size_factors(spark, d):
+    return isize.insert_size_factors(P.clipped(spark, d), LENGTHS)
+
+
+@query()
+def q_insert_size_corrected(spark, d):
+    return P.insert_size_corrected(spark, d).select("chrom", "idx", "cov_gc", "cov_is")
+
+
+# Correlation
+
+
+_PLAIN = sums_of("al", "cov")
+_SUM_COLS = "round_even(sx * 1e6, 0) / 1e6 AS sx, round_even(sxx * 1e6, 0) / 1e6 AS sxx, round_even(sy * 1e6, 0) / 1e6 AS sy, round_even(syy * 1e6, 0) / 1e6 AS syy, round_even(sxy * 1e6, 0) / 1e6 AS sxy"
+_RATIOS, _RAW = ("pearson_r", "fraction_within", "cosine_similarity"), ("x_sum", "y_sum", "x_squared_sum", "y_squared_sum", "xy_sum")
+
+
+@query(sql(f"SELECT mask_type, {r('sum(cov)', 6)} AS x_sum, {r('sum(cov * cov)', 6)} AS x_squared_sum, count(cov) AS n FROM al JOIN consensus USING (chrom, idx) GROUP BY mask_type"))
+def q_consensus_removal_totals(spark, d):
+    return rounded(correlate.removal_totals(P.aligned(spark, d), S.consensus(spark, d), "cov"), "x_sum", "x_squared_sum", digits=6)
+
+
+@query(sql(f"SELECT mask_type, cell_type, n, {_SUM_COLS} FROM sums", **_PLAIN))
+def q_pearson_sums_sparse(spark, d):
+    return rounded(P.sums(spark, d, P.aligned(spark, d), "cov"), "sx", "sxx", "sy", "syy", "sxy", digits=6)
+
+
+_FEAT = f"SELECT mask_type, cell_type, {rr(*_RATIOS)}, {rr(*_RAW, digits=5)}, n FROM feat"
+
+
+def _feat(df: DataFrame) -> DataFrame:
+    return rounded(rounded(df, *_RATIOS), *_RAW, digits=5)
+
+
+@query(sql(_FEAT, **_PLAIN))
+def q_features_wide(spark, d):
+    return _feat(P.features(spark, d, p_values=False))
+
+
+@query(
+    sql(
+        "SELECT stat || '_' || mask_type || '::' || cell_type AS feature, round_even(value * 1e5, 0) / 1e5 + 0.0 AS value FROM (UNPIVOT (SELECT * FROM feat) ON pearson_r, fraction_within, cosine_similarity, x_sum, y_sum, x_squared_sum, y_squared_sum, xy_sum, n INTO NAME stat VALUE value)",
+        **_PLAIN,
+    )
+)
+def q_features_long(spark, d):
+    return rounded(correlate.long_form(P.features(spark, d, p_values=False)).select("feature", "value"), "value", digits=5)
+
+
+@query("SELECT n_nationkey, round_even((1 - abs((n_nationkey - 12) / 13.0::DOUBLE)) * 1e8, 0) / 1e8 AS p_value FROM nation")
+def q_pvalue_small_n(spark, d):
+    # Four pairs: p = 1 - |r|.
+    n = S.table(spark, d, "nation").withColumn("r", (F.col("n_nationkey") - 12) / F.lit(13.0))
+    sums = n.select("n_nationkey", F.lit(4).cast("long").alias("n"), F.lit(0.0).alias("sx"), F.lit(1.0).alias("sxx"), F.lit(0.0).alias("sy"), F.lit(1.0).alias("syy"), F.col("r").alias("sxy"))
+    return rounded(correlate.features(sums).select("n_nationkey", "p_value"), "p_value")
+
+
+@query()
+def q_pvalue(spark, d):
+    return P.features(spark, d).select("mask_type", "cell_type", "pearson_r", "n", "p_value")
+
+
+@query(sql(f"SELECT mask_type, cell_type, {r('CASE WHEN s > 0 THEN (pearson_r - m) / s ELSE pearson_r - m END', 6)} AS pearson_r FROM feat CROSS JOIN (SELECT avg(pearson_r) AS m, stddev_pop(pearson_r) AS s FROM feat)", **_PLAIN))
+def q_standardize_r(spark, d):
+    return rounded(correlate.standardize(P.features(spark, d, p_values=False))[0].select("mask_type", "cell_type", "pearson_r"), "pearson_r", digits=6)
+
+
+@query(sql(f"SELECT {r('avg(pearson_r)')} AS mean, {r('stddev_pop(pearson_r)')} AS std FROM feat", **_PLAIN))
+def q_standardize_params(spark, d):
+    return rounded(correlate.standardize(P.features(spark, d, p_values=False))[1], "mean", "std")
+
+
+@query(sql(f"SELECT chrom, idx, {r('CASE WHEN stddev_pop(cov) OVER w > 0 THEN (cov - avg(cov) OVER w) / stddev_pop(cov) OVER w ELSE cov - avg(cov) OVER w END', 7)} AS cov FROM al WINDOW w AS (PARTITION BY chrom)"))
+def q_zscore(spark, d):
+    return rounded(correlate.zscore(P.aligned(spark, d), "cov").select("chrom", "idx", "cov"), "cov", digits=7)
+
+
+# Matrices
+
+_ORDER = "(row_number() OVER (ORDER BY mask_type <> 'O', mask_type, supplier)) - 1"
+
+
+def _dims(spark, d) -> DataFrame:
+    return S.mask_rows(spark, d).select("mask_type", F.concat(F.lit("supp"), "supplier").alias("cell_type"), F.col("supplier").alias("row_ord")).distinct()
+
+
+@query(sql(f"SELECT mask_type, cell_type, col_idx, {r('pearson_r')} AS pearson_r, {r('xy_sum', 5)} AS xy_sum FROM (SELECT mask_type, 'supp' || supplier AS cell_type, {_ORDER} AS col_idx FROM (SELECT DISTINCT mask_type, supplier FROM mrows)) JOIN feat USING (mask_type, cell_type)", **_PLAIN))
+def q_matrix_reorder(spark, d):
+    wide = matrix.wide_form(correlate.long_form(P.features(spark, d, p_values=False)), missing=0.0)
+    return rounded(rounded(matrix.in_order(wide, _dims(spark, d), "O").select("mask_type", "cell_type", "col_idx", "pearson_r", "xy_sum"), "pearson_r"), "xy_sum", digits=5)
+
+
+_OTHER = {{"xrows": "xrowsk", "xper": "xperk", "wide": "widek", "near": "neark", "sums": "sumsk", "feat": "featk"}.get(k, k): v for k, v in sums_of("al", "cov", keep=True).items()}
+for _old in ("xrows", "xper", "wide", "near", "sums"):
+    _OTHER = {k: v.replace(f"FROM {_old} ", f"FROM {_old}k ").replace(f"JOIN {_old} ", f"JOIN {_old}k ") for k, v in _OTHER.items()}
+_OTHER = {k: (v + "k" if v.endswith("FROM sums") else v) for k, v in _OTHER.items()}
+_STAT_RANK = "list_position(['pearson_r', 'fraction_within', 'cosine_similarity', 'x_sum', 'y_sum', 'x_squared_sum', 'y_squared_sum', 'xy_sum', 'n'], stat)"
+_COLS = "pearson_r, fraction_within, cosine_similarity, x_sum, y_sum, x_squared_sum, y_squared_sum, xy_sum, n"
+_DIFF = _PLAIN | _OTHER | {
+    "la": f"SELECT mask_type, cell_type, stat, va FROM (UNPIVOT (SELECT * FROM feat) ON {_COLS} INTO NAME stat VALUE va)",
+    "lb": f"SELECT mask_type, cell_type, stat, vb FROM (UNPIVOT (SELECT * FROM featk) ON {_COLS} INTO NAME stat VALUE vb)",
+    "diffs": "SELECT mask_type, cell_type, stat, round_even(abs(va - vb) * 1e5, 0) / 1e5 + 0.0 AS diff FROM la JOIN lb USING (mask_type, cell_type, stat)",
+}
+
+
+def _diffs(spark, d) -> DataFrame:
+    a, b = (P.features(spark, d, p_values=False, keep_consensus=k) for k in (False, True))
+    return rounded(matrix.diffs(a, b), "diff", digits=5)
+
+
+@query(sql(f"SELECT stat, {r('max(diff)')} AS max, {r('avg(diff)')} AS mean, {r('median(diff)')} AS median, {r('quantile_cont(diff, 0.99)')} AS p99 FROM diffs GROUP BY stat", **_DIFF))
+def q_diff_stats(spark, d):
+    return rounded(matrix.diff_stats(_diffs(spark, d)), "max", "mean", "median", "p99")
+
+
+@query(sql("SELECT stat, round_even(diff * 100, 0) / 100 + 0.0 AS diff, count(*) AS n FROM diffs GROUP BY ALL", **_DIFF))
+def q_diff_value_counts(spark, d):
+    return matrix.value_counts(_diffs(spark, d))
+
+
+@query(
+    sql(
+        f"""SELECT row_number() OVER (ORDER BY diff DESC, mask_type, cell_type) AS rank, mask_type, cell_type, stat, diff FROM (
+        SELECT mask_type, cell_type, stat, diff FROM diffs QUALIFY row_number() OVER (PARTITION BY mask_type, cell_type ORDER BY diff DESC, {_STAT_RANK}) = 1)
+        QUALIFY row_number() OVER (ORDER BY diff DESC, mask_type, cell_type) <= 10""",
+        **_DIFF,
+    )
+)
+def q_top_diffs(spark, d):
+    return matrix.top_columns(_diffs(spark, d), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    sql(
+        "SELECT * FROM (SELECT stat, round_even(diff * 100, 0) / 100 + 0.0 AS rounded, row_number() OVER (PARTITION BY stat, round_even(diff * 100, 0) ORDER BY mask_type, cell_type) AS k, mask_type, cell_type FROM diffs) WHERE k <= 3",
+        **_DIFF,
+    )
+)
+def q_diff_examples(spark, d):
+    return matrix.examples(_diffs(spark, d)).withColumn("k", F.col("k").cast("long"))
+
+
+# Evaluation
+
+
+def _scores(spark, d) -> DataFrame:
+    s = S.table(spark, d, "labels").join(S.table(spark, d, "documents"), "doc_id")
+    return s.select("doc_id", F.concat(F.lit("ds"), F.col("doc_id") % 5).alias("dataset"), F.col("quality").alias("y"), F.col("n_chars").cast("double").alias("score"))
+
+
+_EVAL = {
+    "sc": "SELECT doc_id, 'ds' || (doc_id % 5) AS dataset, quality AS y, n_chars::DOUBLE AS score FROM labels JOIN documents USING (doc_id)",
+    "st": "SELECT dataset, score AS th, sum(y)::BIGINT AS pos, count(*) - sum(y)::BIGINT AS neg FROM sc GROUP BY ALL",
+    "cum": "SELECT dataset, th, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY dataset) AS p, sum(neg) OVER (PARTITION BY dataset) AS n FROM st WINDOW w AS (PARTITION BY dataset ORDER BY th DESC)",
+    "bend": "SELECT *, lead(tp) OVER w - 2 * tp + lag(tp) OVER w AS bt, lead(fp) OVER w - 2 * fp + lag(fp) OVER w AS bf FROM cum WINDOW w AS (PARTITION BY dataset ORDER BY th DESC)",
+    "roc": "SELECT DISTINCT dataset, 'inf'::DOUBLE AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr FROM bend UNION ALL SELECT dataset, th, fp / n, tp / p FROM bend WHERE coalesce(bt <> 0 OR bf <> 0, TRUE)",
+}
+
+
+@query(sql("SELECT doc_id, dataset, y, round_even(sum(1) OVER () / (5.0 * count(*) OVER (PARTITION BY dataset)) * 1e8, 0) / 1e8 AS weight FROM sc", **_EVAL))
+def q_balanced_weights(spark, d):
+    return rounded(evaluate.balanced_weights(_scores(spark, d)).select("doc_id", "dataset", "y", "weight"), "weight")
+
+
+@query(sql(f"SELECT dataset, threshold, {r('fpr')} AS fpr, {r('tpr')} AS tpr FROM roc", **_EVAL))
+def q_roc_points(spark, d):
+    return rounded(evaluate.roc_points(_scores(spark, d), ["dataset"]), "fpr", "tpr")
+
+
+@query(sql(f"SELECT dataset, threshold, {r('tpr - fpr')} AS j FROM roc QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY tpr - fpr DESC, threshold DESC) = 1", **_EVAL))
+def q_max_j(spark, d):
+    return rounded(evaluate.max_j(_scores(spark, d), ["dataset"]), "j")
+
+
+@query(
+    sql(
+        f"""SELECT dataset, threshold, {r("tpr")} AS sensitivity, {r("1 - fpr")} AS specificity FROM roc QUALIFY row_number() OVER (PARTITION BY dataset
+        ORDER BY (1 - fpr >= 0.95)::INT DESC, CASE WHEN 1 - fpr >= 0.95 THEN tpr ELSE 1 - fpr END DESC, threshold DESC) = 1""",
+        **_EVAL,
+    )
+)
+def q_high_spec(spark, d):
+    return rounded(evaluate.high_specificity(_scores(spark, d), ["dataset"]), "sensitivity", "specificity")
+
+
+@query(
+    sql(
+        f"""SELECT dataset, tp, fp, tn, fn, {r("(tp + tn) / (tp + fp + tn + fn)")} AS accuracy, {r("(coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2")} AS balanced_accuracy,
+        {r("coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)")} AS f1, {r("coalesce(tp / nullif(tp + fn, 0), 0)")} AS sensitivity, {r("coalesce(tn / nullif(tn + fp, 0), 0)")} AS specificity,
+        {r("coalesce(tp / nullif(tp + fp, 0), 0)")} AS ppv, {r("tn / nullif(tn + fn, 0)")} AS npv
+        FROM (SELECT dataset, count(*) FILTER (score >= 1500 AND y = 1) AS tp, count(*) FILTER (score >= 1500 AND y = 0) AS fp, count(*) FILTER (score < 1500 AND y = 0) AS tn, count(*) FILTER (score < 1500 AND y = 1) AS fn FROM sc GROUP BY dataset)""",
+        **_EVAL,
+    )
+)
+def q_confusion_metrics(spark, d):
+    rates = ["accuracy", "balanced_accuracy", "f1", "sensitivity", "specificity", "ppv", "npv"]
+    return rounded(evaluate.confusion(_scores(spark, d), F.lit(1500.0), ["dataset"]), *rates)
+
+
+_AUC = {"pairs": "SELECT a.dataset, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) AS auc FROM sc a JOIN sc b ON a.dataset = b.dataset AND a.y = 1 AND b.y = 0 GROUP BY a.dataset"}
+
+
+@query(sql(f"SELECT dataset, {r('auc')} AS auc, n_samples FROM pairs JOIN (SELECT dataset, count(*) AS n_samples FROM sc GROUP BY dataset) USING (dataset)", **_EVAL, **_AUC))
+def q_auc(spark, d):
+    return rounded(evaluate.auc(_scores(spark, d), ["dataset"]), "auc")
+
+
+@query(sql(f"SELECT {r('avg(auc)')} AS mean_auc, {r('sum(auc * n) / sum(n)')} AS weighted_mean_auc FROM pairs JOIN (SELECT dataset, count(*) AS n FROM sc GROUP BY dataset) USING (dataset)", **_EVAL, **_AUC))
+def q_weighted_mean_auc(spark, d):
+    return rounded(evaluate.mean_auc(evaluate.auc(_scores(spark, d), ["dataset"])), "mean_auc", "weighted_mean_auc")
+
+
+_GRID = {"grid": 'SELECT l_linenumber::DOUBLE AS c, l_discount + 0.0 AS variance, round_even(avg(l_quantity) * 1e8, 0) / 1e8 AS mean_score, round_even(stddev_pop(l_quantity) / sqrt(count(*)) * 1e8, 0) / 1e8 AS se FROM lineitem GROUP BY ALL'}
+
+
+def _grid(spark, d) -> DataFrame:
+    li = S.table(spark, d, "lineitem").select(F.col("l_linenumber").cast("double").alias("c"), (F.col("l_discount") + 0.0).alias("variance"), F.col("l_quantity").alias("score"))
+    return rounded(evaluate.fold_scores(li, ["c", "variance"]), "mean_score", "se")
+
+
+@query(sql("SELECT * FROM grid", **_GRID))
+def q_fold_scores(spark, d):
+    return _grid(spark, d)
+
+
+@query(
+    sql(
+        "SELECT grid.* FROM grid CROSS JOIN (SELECT mean_score AS ms, se AS e, c AS bc, variance AS bv FROM grid ORDER BY mean_score DESC, c, variance LIMIT 1) WHERE mean_score >= ms - e AND c <= bc AND variance <= bv ORDER BY c, variance LIMIT 1",
+        **_GRID,
+    )
+)
+def q_one_se_rule(spark, d):
+    return evaluate.one_se(_grid(spark, d), "c", "variance")
+
+
+# Model
+
+
+_COHORT = {
+    "flat": "SELECT vec_id AS sample_id, 'ds' || (vec_id % 5) AS dataset, label % 2 AS y, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings",
+}
+
+
+@query(sql(f"SELECT sample_id, pos::INT AS pos, {r('(v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 0 THEN stddev_pop(v) OVER w ELSE 1 END', 7)} AS value FROM flat WINDOW w AS (PARTITION BY sample_id)", **_COHORT))
+def q_row_scale(spark, d):
+    return rounded(model.row_scale(S.cohort(spark, d)).select("sample_id", F.posexplode("features").alias("pos", "value")), "value", digits=7)
+
+
+@query(sql(f"SELECT sample_id, pos::INT AS pos, {r('(v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 0 THEN stddev_pop(v) OVER w ELSE 1 END', 7)} AS value FROM flat WINDOW w AS (PARTITION BY pos)", **_COHORT))
+def q_col_scale(spark, d):
+    return rounded(model.column_scale(S.cohort(spark, d), "sample_id"), "value", digits=7)
+
+
+@query(sql("SELECT pos::INT AS pos FROM flat GROUP BY pos HAVING min(v) <> max(v)", **_COHORT))
+def q_variance_threshold(spark, d):
+    return model.kept_features(S.cohort(spark, d))
+
+
+@query(sql("SELECT held, count(*) FILTER (dataset <> held) AS n_train, count(*) FILTER (dataset = held) AS n_test, sum(y) FILTER (dataset = held)::BIGINT AS positives FROM (SELECT DISTINCT sample_id, dataset, y FROM flat) CROSS JOIN (SELECT DISTINCT dataset AS held FROM flat) GROUP BY held", **_COHORT))
+def q_lodo_folds(spark, d):
+    rows = S.cohort(spark, d).drop("features")
+    per = rows.groupBy(F.col("dataset").alias("held")).agg(F.count(F.lit(1)).alias("n_test"), F.sum(F.col("y").cast("long")).alias("positives"))
+    total = rows.agg(F.count(F.lit(1)).alias("all"))
+    return per.join(F.broadcast(total)).select("held", (F.col("all") - F.col("n_test")).alias("n_train"), "n_test", "positives")
+
+
+@query("SELECT 'customer' AS dataset, c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal, NULL FROM supplier")
+def q_union_by_name(spark, d):
+    c = S.table(spark, d, "customer").select(F.lit("customer").alias("dataset"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = S.table(spark, d, "supplier").select(F.lit("supplier").alias("dataset"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
+    return c.unionByName(s, allowMissingColumns=True)
+
+
+@query()
+def q_pca_k(spark, d):
+    m = model.train(S.cohort(spark, d), 0.987, 0.2, iterations=20)
+    return spark.createDataFrame([(m.variance, m.components)], "variance double, components int")
+
+
+@query()
+def q_lasso_predict(spark, d):
+    rows = S.cohort(spark, d)
+    return model.train(rows, 0.987, 0.2).predict(rows)
+
+
+@query()
+def q_lodo_cv(spark, d):
+    return model.leave_one_out(S.cohort(spark, d).filter("dataset in ('ds0', 'ds1', 'ds2')"), [0.987], [0.2], never_held=("ds2",))
+
+
+# Streams
+
+
+@query(sql(f"SELECT event_type AS chrom, count(*) AS n, {r('sum(value)', 4)} AS sx, {r('sum(value * value)', 3)} AS sxx FROM events WHERE value IS NOT NULL GROUP BY event_type"))
+def q_running_sums(spark, d):
+    schema = S.table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    sums = running.running_sums(stream.select(F.col("event_type").alias("chrom"), F.col("value").alias("x"), F.col("value").alias("y")), ["chrom"], "x", "y")
+    out = running.run_to_end(sums, "running_sums").select("chrom", "n", "sx", "sxx")
+    return rounded(rounded(out, "sx", digits=4), "sxx", digits=3)
+
+
+# All together
+
+
+@query(sql(_FEAT, **sums_of("norm", "cov_norm")))
+def q_flagship(spark, d):
+    return _feat(P.flagship(spark, d))
+
+
+@query()
+def q_flagship_insert_sizes(spark, d):
+    return P.flagship(spark, d, p_values=True, insert_sizes=True)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return q_flagship(spark, d)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_oracle)

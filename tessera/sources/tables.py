@@ -105,7 +105,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spine(spark: SparkSession, sf_dir: str, bins: int = BINS) -> DataFrame:
     """Every bin of every chromosome, with its GC score."""
     chroms = table(spark, sf_dir, "events").select(F.col("event_type").alias("chrom")).distinct()
-    return chroms.select("chrom", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("idx")).withColumn("gc", (F.col("idx") * 37 % 101) / 100)
+    return chroms.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("idx")).withColumn("gc", (F.col("idx") * 37 % 101) / 100)
 
 
 def excludes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
