@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.store import stage_table
 
@@ -156,7 +157,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, shape: Shape, symbols_of
             o = np.lexsort((place, doc, context))
             head = np.flatnonzero(np.diff(context[o], prepend=context[o][:1] + U(1)))
             first = np.repeat(o[head], np.diff(np.append(head, len(o))))
-            again = (doc[o] > doc[first]) | (o != first if same_doc else False)
+            again = (doc[o] > doc[first]) | ((place[o] != place[first]) if same_doc else False)
             again &= anchor[o] == anchor[first]
             k, r = o[~again], o[again]
             yield rows_of(0, anchor[k], context[k], halves[k], doc[k], place[k])
@@ -166,9 +167,10 @@ def sample(docs: DataFrame, id_col: str, text_col: str, shape: Shape, symbols_of
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
 
 
-def windows(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, shape: Shape, symbols_of) -> DataFrame:
-    """(x, y, doc, start): 128-bit hashes of the windows of entries of kind 2. Windows that reach past a
-    half context that doesn't recur can't recur and are left out."""
+def windows(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, shape: Shape, symbols_of, same_doc: bool) -> DataFrame:
+    """(x, y, doc, start, late): 128-bit hashes of the windows of entries of kind 2. Windows that reach past
+    a half context that doesn't recur can't recur and are left out. Each task combines its own: ``late``
+    marks those that repeat within a batch, so that a window sends a row or so per batch to be compared."""
     per = open_.groupBy("doc").agg(F.collect_list(F.struct("at", "context")).alias("open"))
     per = per.select(F.col("doc").alias("__doc"), F.transform("open", lambda x: x["at"]).alias("at"), F.transform("open", lambda x: x["context"]).alias("flags"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -191,30 +193,32 @@ def windows(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, shape
                 out.append((Hashes(s).of(start, start + shape.length), Hashes(s, 1).of(start, start + shape.length), np.full(len(start), i, np.int64), start))
                 held += len(start)
                 if held > 500_000:
-                    yield _windows(out)
+                    yield _windows(out, same_doc)
                     out, held = [], 0
             if out:
-                yield _windows(out)
+                yield _windows(out, same_doc)
 
-    return both.mapInArrow(run, "x long, y long, doc long, start long")
+    return both.mapInArrow(run, "x long, y long, doc long, start long, late boolean")
 
 
-def _windows(out: list) -> pa.RecordBatch:
+def _windows(out: list, same_doc: bool) -> pa.RecordBatch:
     x, y, doc, start = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(doc), pa.array(start)], ["x", "y", "doc", "start"])
+    o = np.lexsort((start, doc, y, x))
+    x, y, doc, start = x[o], y[o], doc[o], start[o]
+    head = np.ones(len(x), bool)
+    head[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    late = (doc > doc[first]) | ((start != start[first]) if same_doc else False)
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(doc), pa.array(start), pa.array(late)], ["x", "y", "doc", "start", "late"])
 
 
 def covered(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, shape: Shape, symbols_of, same_doc: bool) -> DataFrame:
     """*docs* (id, text) with ``starts`` and ``ends`` of the ranges that repeat earlier, null if none, from
-    rows of kinds 1 and 2. The windows of kind 2 meet on their hashes, combined before the shuffle; only
-    the first place of each goes back to the rest."""
-    rows = stage_table(windows(docs, found.filter("kind = 2"), id_col, text_col, shape, symbols_of), "windows")
-    if same_doc:
-        first = rows.groupBy("x", "y").agg(F.min(F.struct("doc", "start")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        late = rows.join(first, ["x", "y"]).filter((F.col("doc") != F.col("f.doc")) | (F.col("start") != F.col("f.start")))
-    else:
-        first = rows.groupBy("x", "y").agg(F.min("doc").alias("f"), F.max("doc").alias("n")).filter("n > f")
-        late = rows.join(first, ["x", "y"]).filter("doc > f")
+    rows of kinds 1 and 2. The windows of kind 2 meet on their hashes, once, combined before the shuffle."""
+    rows = stage_table(windows(docs, found.filter("kind = 2"), id_col, text_col, shape, symbols_of, same_doc), "windows")
+    order = F.struct("doc", "start") if same_doc else F.struct("doc")
+    once = rows.filter("not late").withColumn("first", F.min(order).over(Window.partitionBy("x", "y")))
+    late = once.filter(order > F.col("first")).unionByName(rows.filter("late"), allowMissingColumns=True)
     late = late.select("doc", "start", (F.col("start") + shape.length).alias("end"))
     known = found.filter("kind = 1").select("doc", F.col("at").alias("start"), F.col("context").alias("end"))
     per = known.unionByName(late).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("r"))

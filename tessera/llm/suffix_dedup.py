@@ -31,7 +31,9 @@ class SuffixLevels:
         both = tuple(x[o] for x in both)
         same = np.zeros(len(o), bool)
         same[1:] = (both[0][1:] == both[0][:-1]) & (both[1][1:] == both[1][:-1])
-        return tuple(x[~same] for x in both), [(both[3][same], both[4][same])]
+        first = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(o) else same.nonzero()[0]
+        late = same & ((both[3] != both[3][first]) | (both[4] != both[4][first]))  # a repeated row is no repeat
+        return tuple(x[~same] for x in both), [(both[3][late], both[4][late])]
 
     def add(self, batch: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
         """(doc, place) of suffixes that a batch shows to repeat."""
