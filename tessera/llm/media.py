@@ -96,7 +96,10 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     member = zipfile.ZipInfo(f"{n}/{'' if i is None else i}.png")
                     z.writestr(member, to_image(*payload_of(t)))
                     n += 1
-        files.move(temp, f"{root}/part-{part:06d}.zip")
+        if n:
+            files.move(temp, f"{root}/part-{part:06d}.zip")
+        else:
+            files.delete_file(temp)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     if kind not in ("bigint", "int", "string"):
@@ -145,7 +148,7 @@ class ArchiveReader(DataSourceReader):
                 if zlib.crc32(image) != info.CRC:
                     raise ValueError("the member's check sum differs")
                 return image, *from_image(image)
-            except (OSError, ValueError, zlib.error) as e:
+            except (OSError, ValueError, struct.error, zlib.error) as e:
                 if k + 1 == self.tries:
                     raise OSError(f"{path} at {info.header_offset}, {self.tries} tries: {e}") from e
         raise AssertionError
