@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.store import id_crc
 
@@ -92,8 +91,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, eac
     bounded sample that a model is fitted on. Also how many labels of either kind there are."""
     known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("__id"), F.col("toxic").alias("__y")).dropDuplicates(["__id"])
     counts = {r["__y"]: int(r["count"]) for r in known.groupBy("__y").count().collect()}
-    w = Window.partitionBy("__y").orderBy(F.xxhash64("__id"), "__id")
-    ids = known.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= each)
+    first = lambda y: known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(each)
+    ids = first(0).unionByName(first(1))
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("t")).filter(F.octet_length("t") <= max_bytes)
     return sorted((r["__id"], r["__y"], r["t"]) for r in rows.join(F.broadcast(ids), "__id").select("__id", "__y", "t").collect()), counts
 
