@@ -146,9 +146,37 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the smallest vertex reachable from each vertex of *edges* (a, b), by alternating large-
-    and small-star steps until nothing changes. Every step is written to the shared folder."""
+def forests(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges (a, b) with the same components: every task ties the vertices of its edges to their least."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = parent[p]
+                x = p
+            return x
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        tied = [(v, r) for v in list(parent) if (r := find(v)) != v]
+        for i in range(0, len(tied), 50_000):
+            part = tied[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in part], pa.int64()), pa.array([t[1] for t in part], pa.int64())], ["a", "b"])
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).repartition(parts).mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, task_edges: int = 200_000) -> DataFrame:
+    """(v, root): the smallest vertex reachable from each vertex of *edges* (a, b) but the smallest itself.
+
+    Tasks of about *task_edges* edges first contract their share to stars; where that took one task, it is
+    the result. Else alternating large- and small-star steps go on until nothing changes, each written to
+    the shared folder."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         # large: each vertex ties its larger neighbours to the least of all; small: the smaller ones.
@@ -162,6 +190,10 @@ def components(edges: DataFrame) -> DataFrame:
     tidy = lambda e: e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
     now = stage_table(tidy(edges), "edges")
+    parts = max(1, -(-now.count() // task_edges))
+    now = stage_table(forests(now, parts), "forests")
+    if parts == 1:
+        return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
     seen = mark(now)
     while seen[0]:
         now = stage_table(tidy(star(stage_table(tidy(star(now, True)), "edges"), False)), "edges")
@@ -302,7 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     All confirmations use the full sets.
 
     Null or empty texts and texts without words have the empty set, linked with nothing. Null ids stand
-    alone too. Ids are integers. Rows that repeat an id are one document, with one row's text in a link's
+    alone too, without a component, and are kept. Ids are integers. Rows that repeat an id are one document, with one row's text in a link's
     confirmation. An empty table gives no rows.
     """
     if docs.schema[id_col].dataType.simpleString() not in ("bigint", "int", "smallint"):
