@@ -24,12 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
+    """A path to write to, in a fresh folder of the shared one that goes when the driver's JVM ends."""
+    folder = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    files, path = _files(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return f"{folder}/data"
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 @contextmanager
@@ -54,12 +59,11 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
+def drop_table(df: DataFrame) -> None:
     """Delete the files of a stage table that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
+    for folder in {f.rsplit("/data/", 1)[0] for f in df.inputFiles()}:
+        files, path = _files(df.sparkSession, folder)
+        files.delete(path, True)
 
 
 def id_crc(col: str = "doc_id"):
@@ -68,8 +72,8 @@ def id_crc(col: str = "doc_id"):
 
 
 def known_texts(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 500_000) -> DataFrame:
-    """Rows of *docs* whose id is in *ids* (distinct). The ids are broadcast when a count has shown
-    that there are at most *most* (8 bytes each); beyond that both sides are shuffled."""
-    if ids.limit(most + 1).count() <= most:
+    """Rows of *docs* whose id is in *ids* (distinct, a stage table). The ids are broadcast when a count has
+    shown that there are at most *most* (8 bytes each); beyond that both sides are shuffled."""
+    if ids.count() <= most:
         ids = F.broadcast(ids)
     return docs.join(ids, id_col, "left_semi")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import MARKS, VOCABULARY, _at, byte_letters, units, vocabulary_path
-from tessera.llm.store import new_path, stage_table
+from tessera.llm.store import drop_table, freed_shuffles, new_path, stage_table
 
 STEP, LIMIT, MAGIC = 256, 20, b"TSHF0001"
 
@@ -243,7 +243,10 @@ def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             done.append(out.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["file", "n"])
 
-    return sorted((r["file"], int(r["n"])) for r in rows.mapInArrow(write, "file string, n long").collect())
+    with freed_shuffles(docs.sparkSession):
+        written = sorted((r["file"], int(r["n"])) for r in rows.mapInArrow(write, "file string, n long").collect())
+    drop_table(tokens)
+    return written
 
 
 class _Writer:
