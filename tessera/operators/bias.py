@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.numeric import as_float32
-from tessera.operators.binning import bucket_means, clamped_bucket, tidy_edges
+from tessera.operators.binning import bucket_means, clamped_bucket
 
 
 def kernel(size: int = 5, kind: str = "gaussian", std: float = 1.0) -> list[float]:
@@ -77,7 +77,3 @@ def apply_legacy_gc(bins: DataFrame, factors: DataFrame, x: str = "gc", col: str
     rows = bins.withColumn("bucket", k).join(F.broadcast(factors.select("chrom", "bucket", "factor")), ["chrom", "bucket"], "left")
     value = F.try_divide(F.col(col), F.nullif(F.col("factor"), F.lit(0.0)))
     return rows.withColumn(out, F.when(value < 0, 0.0).otherwise(value)).drop("bucket", "factor")
-
-
-def n_buckets(edges: list[float]) -> int:
-    return len(tidy_edges(edges)) - 1

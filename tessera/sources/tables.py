@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tessera.functions.numeric import no_nan, rint_to
@@ -156,6 +155,3 @@ def cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("label") % 2).cast("int").alias("y"),
         F.transform("embedding", lambda x: x.cast("double")).alias("features"),
     )
-
-
-BED_SCHEMA = T.StructType([T.StructField("chrom", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
