@@ -12,7 +12,7 @@ import shutil
 import struct
 import tempfile
 from collections import Counter
-from itertools import accumulate
+from itertools import accumulate, repeat
 
 import pyarrow as pa
 import regex
@@ -77,11 +77,13 @@ class Merges:
 
     def encode(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of least rank, the first of equals, is merged until none is left."""
-        parts = list(word.decode("latin-1").translate(self.table))
+        text = word.decode("latin-1")
+        # Printable ASCII stands for itself.
+        parts = list(text.replace(" ", self.letters[32]) if word.isascii() and text.isprintable() else text.translate(self.table))
         if len(parts) > 48:
             return self._encode_long(parts)
         rank, none = self.ranks.get, 1 << 60
-        ranks = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        ranks = list(map(rank, zip(parts, parts[1:]), repeat(none)))  # noqa: B905
         while ranks and (low := min(ranks)) < none:
             i = ranks.index(low)
             parts[i] += parts.pop(i + 1)
@@ -133,16 +135,16 @@ class Lexicon:
             setattr(self, name, view[at : at + 4 * n].cast("I"))
             at += 4 * n
         self.final, at = view[at : at + states], at + states
-        self.labels_at = at
+        self.labels = bytes(view[at : at + moves])  # a byte a transition; searching bytes is quicker than a map
 
     def find(self, word: bytes) -> list[int] | None:
-        state, place, at, find = 0, 0, self.labels_at, self.map.find
-        for i in range(len(word)):
-            t = find(word[i : i + 1], at + self.first[state], at + self.first[state + 1])
+        state, place, find, first, target, skip = 0, 0, self.labels.find, self.first, self.target, self.skip
+        for c in word:
+            t = find(c, first[state], first[state + 1])
             if t < 0:
                 return None
-            place += self.skip[t - at]
-            state = self.target[t - at]
+            place += skip[t]
+            state = target[t]
         return self.ids[self.offsets[place] : self.offsets[place + 1]].tolist() if self.final[state] else None
 
     @classmethod
@@ -220,7 +222,7 @@ class Units(dict):
 class Encoder:
     """Ids of whole texts as little-endian int32 bytes, and back."""
 
-    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 500_000):
+    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 800_000):
         self.merges, self.get = merges, Units(merges, lexicon, most).__getitem__
 
     def __call__(self, text: str) -> bytes:
