@@ -109,20 +109,29 @@ def fit(sample: list[tuple[object, int, str]], counts: dict[int, int], least: in
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if not bad or not good:
         return Model(prior=prior)
-    memo: dict[str, list[str]] = {}
-    tokens = [t.split() for _, _, t in sample]
+    shared: dict[str, str] = {}
+    tokens = [[shared.setdefault(w, w) for w in t.split()] for _, _, t in sample]
+    del shared
     once = {}  # copies of a text teach once
     for k, (_, y, t) in enumerate(sample):
         once.setdefault((y, hash(t)), k)
     own = sorted(once.values())
-    seen: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for y, words in ((sample[k][1], tokens[k]) for k in own):
-        for f in {f for w in set(words) for f in memo.setdefault(w, features(w))}:
-            seen[y][f] = seen[y].get(f, 0) + 1
-    share = lambda y, n, of: (n + 0.5) / (of + 1.0)
-    odds = {f: np.log(share(1, n, bad) / share(0, seen[0].get(f, 0), good)) for f, n in seen[1].items() if n >= least}
+
+    def spread(kind: int, among: dict[str, int] | None) -> dict[str, int]:
+        """In how many documents of a kind each feature is; only those *among* others, if given."""
+        out: dict[str, int] = {}
+        for k in own:
+            if sample[k][1] == kind:
+                for f in {f for w in set(tokens[k]) for f in features(w) if among is None or f in among}:
+                    out[f] = out.get(f, 0) + 1
+        return out
+
+    often = {f: n for f, n in spread(1, None).items() if n >= least}
+    rest = spread(0, often)
+    share = lambda n, of: (n + 0.5) / (of + 1.0)
+    odds = {f: np.log(share(n, bad) / share(rest.get(f, 0), good)) for f, n in often.items()}
     strong = {f for f, v in odds.items() if v >= np.log(8)}
-    names = {f: i for i, f in enumerate(sorted(f for f in odds if abs(odds[f]) * np.sqrt(seen[1][f]) > 3.0))}
+    names = {f: i for i, f in enumerate(sorted(f for f in odds if abs(odds[f]) * np.sqrt(often[f]) > 3.0))}
     if not names:
         return Model(prior=prior)
     # Segments with labelled tokens, and as many others.
@@ -130,7 +139,7 @@ def fit(sample: list[tuple[object, int, str]], counts: dict[int, int], least: in
     for y, words in ((sample[k][1], tokens[k]) for k in own):
         for i in range(0, len(words), segment):
             part = words[i : i + segment]
-            tags = [int(y == 1 and any(f in strong for f in memo[w])) for w in part]
+            tags = [int(y == 1 and any(f in strong for f in features(w))) for w in part]
             (hot if any(tags) else cold).append((part, tags))
     if not hot:
         return Model(prior=prior)
@@ -139,7 +148,7 @@ def fit(sample: list[tuple[object, int, str]], counts: dict[int, int], least: in
     lengths = np.array([len(p) for p, _ in use])
     flat = [w for p, _ in use for w in p]
     gold = np.array([t for _, ts in use for t in ts], float)
-    pairs = [(i, names[f]) for i, w in enumerate(flat) for f in memo[w] if f in names]
+    pairs = [(i, names[f]) for i, w in enumerate(flat) for f in features(w) if f in names]
     at, fid = (np.array(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     inner = np.ones(len(flat), bool)
@@ -191,7 +200,7 @@ def _messages(e: np.ndarray, lengths: np.ndarray, trans: tuple[float, ...]) -> t
 
 
 def _summaries(model: Model, tokens: list[list[str]]) -> np.ndarray:
-    get = _Emissions(model).__getitem__
+    get = _Emissions(model, 50_000).__getitem__
     lengths = np.array([len(w) for w in tokens], np.int64)
     e = np.fromiter((get(w) for ws in tokens for w in ws), float, int(lengths.sum()))
     return summary(marginals(e, lengths, model.trans), lengths)
