@@ -222,8 +222,9 @@ def candidates(open_: DataFrame, percent: int, errors: int) -> DataFrame:
     """(y, xs): for classes of buckets that hold several components, those classes outside the bucket's main
     component that they may be linked with, as packed ids. Rows: k, v, rep, comp, main, n, sig.
 
-    A bucket's rows meet in one task, those outside the main component first; the rest stream by. Pairs are
-    compared there by signature and size and stay packed, a row for each class and bucket, never a pair."""
+    A bucket's rows meet in one task, those outside the main component first, by id, so that each meets all
+    lesser ones in whatever batches they come; the rest stream by. Pairs are compared there by signature
+    and size and stay packed, a row for each class and bucket, never a pair."""
     most = CHUNKS * (errors + 1) - 1
 
     def run(batches):
@@ -263,7 +264,7 @@ def candidates(open_: DataFrame, percent: int, errors: int) -> DataFrame:
                             out_x.append(xr[at].astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int64()), pa.array(out_x, pa.binary())], ["y", "xs"])
 
-    rows = open_.repartition("k", "v").sortWithinPartitions("k", "v", F.col("comp") == F.col("main"))
+    rows = open_.repartition("k", "v").sortWithinPartitions("k", "v", F.col("comp") == F.col("main"), "rep")
     rows = rows.select("k", "v", "rep", "comp", "main", "n", "sig").mapInArrow(run, "y long, xs binary")
     return rows.groupBy("y").agg(F.collect_list("xs").alias("xs"))
 

@@ -141,6 +141,21 @@ def test_near_duplicates_chain_and_family(spark, empty):
     assert sorted(map(tuple, near_dedup.near_duplicates(odd, n=2).collect()), key=str) == sorted([(None, 2, None, True), (5, 2, 5, True), (5, 2, 5, True), (None, 0, None, True)], key=str)
 
 
+@pytest.mark.parametrize("most", [3, 10_000])
+def test_candidates_span_batches(spark, most):
+    # One bucket of two main rows and nine others, whose larger ids come first: every pair of components, however batches cut it.
+    sig = list(range(near_dedup.CHUNKS))
+    rows = [(0, 7, i, 1 if i < 3 else i, 1, 10, sig) for i in range(11, 0, -1)]
+    df = spark.createDataFrame(rows, "k int, v long, rep long, comp long, main long, n long, sig array<long>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+    try:
+        got = near_dedup.candidates(df, 80, 1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = sorted(tuple(sorted((r["y"], int(x)))) for r in got for part in r["xs"] for x in np.frombuffer(part, "<i8"))
+    assert pairs == [(i, j) for i in range(1, 12) for j in range(i + 1, 12) if j > 2]
+
+
 @pytest.mark.parametrize("share", [10_000, 7])
 def test_components(spark, share):
     r = random.Random(8)
