@@ -77,10 +77,9 @@ class CohortModel:
         return {"nonzero": sum(x != 0 for x in c), "min": min(c), "max": max(c), "intercept": float(self.classifier.intercept)}
 
 
-def train(rows: DataFrame, variance: float, strength: float, group: str | None = "dataset", iterations: int = 200) -> CohortModel:
-    """Fit to (features, y[, dataset]): varying features, rows scaled, columns scaled, the fewest principal
-    components that explain *variance*, those scaled, then L1 logistic regression of inverse strength C.
-    Datasets weigh alike. The penalty per row is 1 / (C * sum of weights); the weights sum to the rows."""
+def train_grid(rows: DataFrame, points: list[tuple[float, float]], group: str | None = "dataset", iterations: int = 200) -> list[CohortModel]:
+    """A model for each of *points* (variance, C), as :func:`train` has it. What comes before the components
+    is fitted once, and points that keep equally many components share their fit."""
     rows = rows.withColumn("raw", array_to_vector("features"))
     select = VarianceThresholdSelector(featuresCol="raw", outputCol="kept", varianceThreshold=0.0).fit(rows)
     v = row_scale(select.transform(rows).withColumn("features", vector_to_array("kept"))).withColumn("scaled_rows", array_to_vector("features"))
@@ -90,22 +89,42 @@ def train(rows: DataFrame, variance: float, strength: float, group: str | None =
         n, width = v.count(), len(select.selectedFeatures)
         columns = StandardScaler(inputCol="scaled_rows", outputCol="scaled", withMean=True, withStd=True).fit(v)
         pca = PCA(k=min(width, max(1, n - 1)), inputCol="scaled", outputCol="all_components").fit(columns.transform(v))
-        total, k = 0.0, 0
-        for k, share in enumerate(pca.explainedVariance, 1):
-            total += float(share)
-            if total >= variance:
-                break
-        slicer = VectorSlicer(inputCol="all_components", outputCol="components", indices=list(range(k)))
-        scale = StandardScaler(inputCol="components", outputCol="unit", withMean=True, withStd=True)
-        # StandardScaler divides by the sample deviation.
-        fix = ElementwiseProduct(inputCol="unit", outputCol="x", scalingVec=Vectors.dense([(n / max(1, n - 1)) ** 0.5] * k))
-        steps = Pipeline(stages=[columns, pca, slicer, scale, fix]).fit(v)
-        lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", elasticNetParam=1.0, regParam=1.0 / (strength * n), standardization=False, maxIter=iterations, tol=1e-6)
-        return CohortModel(select, steps, lr.fit(steps.transform(v)), variance, strength, k)
+        shares = [float(x) for x in pca.explainedVariance]
+
+        def needed(variance: float) -> int:
+            total, k = 0.0, 0
+            for k, share in enumerate(shares, 1):
+                total += share
+                if total >= variance:
+                    break
+            return k
+
+        fits = {}
+        for k in sorted({needed(p) for p, _ in points}):
+            slicer = VectorSlicer(inputCol="all_components", outputCol="components", indices=list(range(k)))
+            scale = StandardScaler(inputCol="components", outputCol="unit", withMean=True, withStd=True)
+            # StandardScaler divides by the sample deviation.
+            fix = ElementwiseProduct(inputCol="unit", outputCol="x", scalingVec=Vectors.dense([(n / max(1, n - 1)) ** 0.5] * k))
+            steps = Pipeline(stages=[columns, pca, slicer, scale, fix]).fit(v)
+            x = steps.transform(v).select("x", "y", "weight").cache()
+            try:
+                for c in sorted({c for p, c in points if needed(p) == k}):
+                    lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", elasticNetParam=1.0, regParam=1.0 / (c * n), standardization=False, maxIter=iterations, tol=1e-6)
+                    fits[k, c] = steps, lr.fit(x)
+            finally:
+                x.unpersist()
+        return [CohortModel(select, *fits[needed(p), c], p, c, needed(p)) for p, c in points]
     finally:
         v.unpersist()
 
 
+def train(rows: DataFrame, variance: float, strength: float, group: str | None = "dataset", iterations: int = 200) -> CohortModel:
+    """Fit to (features, y[, dataset]): varying features, rows scaled, columns scaled, the fewest principal
+    components that explain *variance*, those scaled, then L1 logistic regression of inverse strength C.
+    Datasets weigh alike. The penalty per row is 1 / (C * sum of weights); the weights sum to the rows."""
+    return train_grid(rows, [(variance, strength)], group, iterations)[0]
+
+
 def folds(rows: DataFrame, group: str = "dataset") -> list[str]:
     """The datasets in order; there are as many models as datasets, so they come to the driver."""
     return [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
@@ -122,13 +141,22 @@ def tune(rows: DataFrame, variances: list[float] = VARIANCES, strengths: list[fl
         for r in range(10):
             deal = F.pmod(F.xxhash64(F.lit(seed + r), "sample_id"), F.lit(5))
             parts += [(rows.filter(deal != k), rows.filter(deal == k)) for k in range(5)]
-    out = []
-    for p in variances:
-        for c in strengths:
-            for k, (a, b) in enumerate(parts):
-                scored = train(a, p, c, group).predict(b).select("score", "y")
-                best = evaluate.max_j(scored).head()["threshold"]
-                out.append((float(c), float(p), k, float(evaluate.confusion(scored, F.lit(best)).head()["balanced_accuracy"])))
+    points, out = [(p, c) for p in variances for c in strengths], []
+    for k, (a, b) in enumerate(parts):
+        models = train_grid(a, points, group)
+        alike = {(m.components, m.strength): m for m in models}  # one of those that share a fit is scored
+        scored = None
+        for i, m in enumerate(alike.values()):
+            part = m.predict(b).select(F.lit(i).alias("point"), "score", "y")
+            scored = part if scored is None else scored.unionByName(part)
+        scored = scored.cache()
+        try:
+            best = evaluate.max_j(scored, ["point"]).select("point", "threshold")
+            rates = evaluate.confusion(scored.join(F.broadcast(best), "point"), F.col("threshold"), ["point"]).collect()
+        finally:
+            scored.unpersist()
+        got = dict(zip(alike, (s for _, s in sorted((r["point"], float(r["balanced_accuracy"])) for r in rates)), strict=True))
+        out += [(float(m.strength), float(m.variance), k, got[m.components, m.strength]) for m in models]
     grid = spark.createDataFrame(out, "C double, variance double, fold int, score double")
     return evaluate.fold_scores(grid, ["C", "variance"])
 
