@@ -239,28 +239,33 @@ class Encoder:
 def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536, local: int = 50_000) -> list[str]:
     """The commonest words of all texts, by the pattern, at most *words*; ties in code point order.
 
-    Every task counts all units of its texts and reports its *local* commonest, so any unit that makes up
-    more than 1/*local* of all units is among those of some task; counts miss only what tasks didn't report.
+    Every task counts the units of its texts and passes on the counts of all their words, at the end and
+    whenever it holds more than 40 * *local* units; Spark adds them up, so counts are exact.
     """
 
     def run(batches):
         seen: Counter[str] = Counter()
+
+        def counted():
+            held = list(seen.items())
+            seen.clear()
+            for i in range(0, len(held), 10_000):
+                found: Counter[str] = Counter()
+                for u, n in held[i : i + 10_000]:
+                    for w in _WORDS.findall(u):
+                        found[w] += n
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["u", "n"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
                     seen.update(units(t))
             if len(seen) > 40 * local:
-                seen = Counter(dict(seen.most_common(20 * local)))
-        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:local]
-        for i in range(0, len(top), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top[i : i + 10_000]]), pa.array([v for _, v in top[i : i + 10_000]], pa.int64())], ["u", "n"])
-
-    top = docs.select(text_col).mapInArrow(run, "u string, n long").groupBy("u").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "u").limit(words).collect()
-    found: Counter[str] = Counter()
-    for r in top:
-        for w in _WORDS.findall(r["u"]):
-            found[w] += int(r["n"])
-    return [w for w, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:words]]
+                yield from counted()
+        yield from counted()
+
+    top = docs.select(text_col).mapInArrow(run, "u string, n long").groupBy("u").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "u").limit(words)
+    return [r["u"] for r in sorted(top.collect(), key=lambda r: (-r["n"], r["u"]))]
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY, words: int = 65_536) -> str:

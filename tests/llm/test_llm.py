@@ -564,3 +564,12 @@ def test_pipeline(spark, sf):
     assert out.count() == now.count() and out.filter("n_tokens <> size(ids)").count() == 0
     again = {tuple(r) for r in p.run(spark, sf).select("doc_id", "n_tokens").distinct().collect()}
     assert again == {tuple(r) for r in out.select("doc_id", "n_tokens").distinct().collect()}
+
+
+def test_frequent_words_counts_all(spark):
+    # "b" is second in every task but the commonest of all; units beyond a task's commonest count too.
+    texts = [f"a{i} a{i} a{i} b b".replace("0", "x").replace("1", "y").replace("2", "z") for i in range(3)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = bpe.Counter(w for t in texts for u in bpe.units(t) for w in bpe._WORDS.findall(u))
+    got = bpe.frequent_words(df, words=100, local=1)
+    assert got == [w for w, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))]
