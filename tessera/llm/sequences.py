@@ -221,13 +221,31 @@ def covered(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, shape
     late = once.filter(order > F.col("first")).unionByName(rows.filter("late"), allowMissingColumns=True)
     late = late.select("doc", "start", (F.col("start") + shape.length).alias("end"))
     known = found.filter("kind = 1").select("doc", F.col("at").alias("start"), F.col("context").alias("end"))
-    per = known.unionByName(late).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("r"))
+    return with_ranges(docs, known.unionByName(late), id_col, text_col)
+
+
+def with_ranges(docs: DataFrame, ranges_: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """*docs* (id, text) with ``starts`` and ``ends`` of their *ranges_* (doc, start, end), null if none."""
+    per = ranges_.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("r"))
     per = per.select(F.col("doc").alias("__doc"), F.transform("r", lambda x: x["start"]).alias("starts"), F.transform("r", lambda x: x["end"]).alias("ends"))
     per = stage_table(per, "ranges")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.join(per, texts["doc_id"] == per["__doc"], "left").select("doc_id", "text", "starts", "ends")
 
 
+def salted(rows: DataFrame, most: int, salts: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """*rows* (a stage table of entries) with ``salt``: 0, or for an anchor with over *most* entries of unlike
+    context a number from 1 to *salts* that follows from the context. Anchors are counted exactly; there are
+    at most rows / *most* such anchors, and they are broadcast if a count shows at most *broadcast_rows*."""
+    hot = rows.filter("kind = 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most)
+    hot = stage_table(hot.select("anchor", F.lit(True).alias("hot")), "hot")
+    n = hot.count()
+    if not n:
+        return rows.withColumn("salt", F.lit(0))
+    out = rows.join(F.broadcast(hot) if n <= broadcast_rows else hot, "anchor", "left")
+    return out.withColumn("salt", F.when(F.col("hot"), F.pmod("context", F.lit(salts)).cast("int") + 1).otherwise(0)).drop("hot")
+
+
 def mask_of(n: int, starts: list[int] | None, ends: list[int] | None) -> np.ndarray:
     """Which of *n* places some range covers."""
     edge = np.zeros(n + 1, np.int64)

@@ -1,138 +1,247 @@
-"""Substring dedup by bytes with a logarithmic family of sorted suffix arrays."""
+"""Substring dedup by bytes with a logarithmic family of suffix arrays."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.sequences import SCHEMA, ByteSymbols, Shape, covered, mask_of, mix, ranges, rows_of, sample, unpack
-from tessera.llm.store import stage_table
+from tessera.llm.sequences import SCHEMA, ByteSymbols, Hashes, Shape, mask_of, mix, ranges, rows_of, salted, sample, unpack, with_ranges
+from tessera.llm.store import drop_table, stage_table
 
 U = np.uint64
 
 
 class SuffixLevels:
-    """Sparse suffix arrays of geometrically growing sizes.
+    """Suffix arrays of geometrically growing sizes, each in the order of its suffixes' first *length* bytes.
 
-    An array holds sampled suffixes (entries at anchors) as rows (context, anchor, halves, doc, at), sorted
-    by the fingerprint of their context, one row for each context: its first place. A new batch gets an
-    array, is merge-scanned against every level, and joins the smallest level; levels of like size merge,
-    so that each row is merged O(log n) times. Places that a scan finds to come later are handed out.
+    A new batch of suffixes gets an array of its own, is merge-scanned against every level for common
+    prefixes of *length* bytes, and joins the family as its smallest level; levels of like size merge, so that
+    a suffix is merged O(log n) times. Of suffixes with a common prefix of that length the first one stays;
+    the places of the others are handed out.
     """
 
     def __init__(self, length: int):
         self.length, self.levels = length, []
 
-    def _scan(self, a: tuple, b: tuple) -> tuple[tuple, list]:
-        """Merge two arrays; of equal contexts the first place stays, the other is a repeat."""
-        both = tuple(np.concatenate(x) for x in zip(a, b, strict=True))
-        o = np.lexsort((both[4], both[3], both[1], both[0]))
-        both = tuple(x[o] for x in both)
-        same = np.zeros(len(o), bool)
-        same[1:] = (both[0][1:] == both[0][:-1]) & (both[1][1:] == both[1][:-1])
-        first = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(o) else same.nonzero()[0]
-        late = same & ((both[3] != both[3][first]) | (both[4] != both[4][first]))  # a repeated row is no repeat
-        return tuple(x[~same] for x in both), [(both[3][late], both[4][late])]
-
-    def add(self, batch: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(doc, place) of suffixes that a batch shows to repeat."""
-        none = tuple(x[:0] for x in batch)
-        new, found = self._scan(batch, none)
+    def array(self, data: np.ndarray, pos: np.ndarray, doc: np.ndarray, at: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Suffix array (prefix, doc, at, more) of the suffixes of *data* at *pos*; equal prefixes by doc and at."""
+        prefix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, self.length)[pos]).view(f"S{self.length}").ravel()
+        o = np.lexsort((at, doc))
+        o = o[np.argsort(prefix[o], kind="stable")]
+        return prefix[o], doc[o], at[o], more[o]
+
+    def add(self, new: tuple[np.ndarray, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Take in a batch's suffix array; (doc, at) of the suffixes that it shows to repeat."""
+        same = np.zeros(len(new[0]), bool)
+        same[1:] = new[0][1:] == new[0][:-1]
+        first = np.flatnonzero(~same)[np.cumsum(~same) - 1] if len(same) else np.zeros(0, np.int64)
+        late = same & ((new[1] != new[1][first]) | (new[2] != new[2][first]))  # a repeated row is no repeat
+        found = [(new[1][late], new[2][late])]
+        new = tuple(x[~same] for x in new)
         for i, level in enumerate(self.levels):
-            new, level, more = self._match(new, level)
-            self.levels[i] = level
-            found += more
+            new, self.levels[i], repeats = self._scan(new, level)
+            found += repeats
         self.levels.append(new)
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
             b, a = self.levels.pop(), self.levels.pop()
-            merged, more = self._scan(a, b)
-            self.levels.append(merged)
-            found += more
+            both = tuple(np.concatenate(x) for x in zip(a, b, strict=True))
+            o = np.argsort(both[0], kind="stable")  # two sorted runs: a merge
+            self.levels.append(tuple(x[o] for x in both))
         return found
 
-    def _match(self, new: tuple, level: tuple) -> tuple[tuple, tuple, list]:
-        """Scan a new array against a level: of two equal contexts the first place stays, in either one."""
+    def _scan(self, new: tuple, level: tuple) -> tuple[tuple, tuple, list]:
+        """Scan a new array against a level: of two equal prefixes the first place stays, in either one."""
         at = np.searchsorted(level[0], new[0])
         ok = at < len(level[0])
-        ok[ok] = (level[0][at[ok]] == new[0][ok]) & (level[1][at[ok]] == new[1][ok])
+        ok[ok] = level[0][at[ok]] == new[0][ok]
         i, j = np.flatnonzero(ok), at[ok]
-        later = (new[3][i] > level[3][j]) | ((new[3][i] == level[3][j]) & (new[4][i] > level[4][j]))
-        equal = (new[3][i] == level[3][j]) & (new[4][i] == level[4][j])  # a repeated row
-        out, back = i[later], j[~later & ~equal]
-        found = [(new[3][out], new[4][out]), (level[3][back], level[4][back])]
-        gone = i[later | equal]
-        return tuple(np.delete(x, gone) for x in new), tuple(np.delete(x, back) for x in level), found
-
-    def open(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """doc, place and flags of the suffixes left whose seed other contexts share, with a half context
-        (bit 1: left, bit 2: right) that recurs."""
-        while len(self.levels) > 1:
-            b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(self._scan(a, b)[0])
-        if not self.levels:
-            return (np.zeros(0, np.int64),) * 3
-        _, anchor, halves, doc, at = self.levels[0]
+        later = (new[1][i] > level[1][j]) | ((new[1][i] == level[1][j]) & (new[2][i] > level[2][j]))
+        equal = (new[1][i] == level[1][j]) & (new[2][i] == level[2][j])  # a repeated row
+        out, back, gone = i[later], j[~later & ~equal], i[later | equal]
+        found = [(new[1][out], new[2][out]), (level[1][back], level[2][back])]
+        keep = np.ones(len(new[0]), bool)
+        keep[gone] = False
+        if len(back):
+            left = np.ones(len(level[0]), bool)
+            left[back] = False
+            level = tuple(x[left] for x in level)
+        return tuple(x[keep] for x in new), level, found
+
+
+def sift(rows: DataFrame, shape: Shape, chunk: int = 200_000) -> DataFrame:
+    """Rows of kinds 1 and 2 from salted entries, anchor by anchor.
+
+    A context that an earlier place has too repeats whole. Of the others those stay open (kind 2) whose left
+    or right half some other context of their anchor shares; entries with a salt (which meet only their
+    likes) stay open on both sides. Anchors come sorted, so a task holds *chunk* rows and one anchor's.
+    """
+
+    def flush(held):
+        anchor, context, halves, doc, at, salt = (np.concatenate(x) for x in zip(*held, strict=True))
+        o = np.lexsort((at, doc, context, anchor))
+        anchor, context, halves, doc, at, salt = (x[o] for x in (anchor, context, halves, doc, at, salt))
+        same = np.zeros(len(o), bool)
+        same[1:] = (context[1:] == context[:-1]) & (anchor[1:] == anchor[:-1])
+        first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+        late = same & ((doc != doc[first]) | (at != at[first]))
+        if late.any():
+            yield ranges(doc[late], *unpack(at[late], shape.length))
+        anchor, halves, doc, at, salt = (x[~same] for x in (anchor, halves, doc, at, salt))
         flags = np.zeros(len(anchor), np.int64)
         for bit, half in ((1, halves >> U(32)), (2, halves & U(0xFFFFFFFF))):
             key = mix(anchor + half * U(0x9E3779B97F4A7C15))
-            o = np.argsort(key, kind="stable")
-            same = np.zeros(len(key) + 1, bool)
-            same[1:-1] = key[o][1:] == key[o][:-1]
-            flags[o[same[:-1] | same[1:]]] |= bit
+            by = np.argsort(key, kind="stable")
+            twice = np.zeros(len(key) + 1, bool)
+            twice[1:-1] = key[by][1:] == key[by][:-1]
+            flags[by[twice[:-1] | twice[1:]]] |= bit
+            flags[salt > 0] |= bit
             flags[half == 0] &= ~bit
         k = flags > 0
-        return doc[k], at[k], flags[k]
+        # context: the flags; halves: how often the anchor is split where its contexts are compared
+        yield rows_of(2, anchor[k], flags[k], salt[k], doc[k], at[k])
 
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            kind = b.column(0).to_numpy()
+            if (kind == 1).any():
+                yield b.filter(pa.array(kind == 1)).drop_columns(["salt"])
+            c = [b.column(k).to_numpy()[kind == 0] for k in range(1, 7)]
+            if not len(c[0]):
+                continue
+            new = (c[0].view(U), c[1].view(U), c[2].view(U), c[3], c[4], c[5].astype(np.int64))
+            if size >= chunk and (cut := int((new[0] != held[-1][0][-1]).argmax())) + int(new[0][0] != held[-1][0][-1]):
+                held.append(tuple(x[:cut] for x in new))
+                yield from flush(held)
+                new, held, size = tuple(x[cut:] for x in new), [], 0
+            held.append(new)
+            size += len(new[0])
+        if held:
+            yield from flush(held)
+
+    rows = rows.select("kind", "anchor", "context", "halves", "doc", "at", "salt")
+    return rows.repartition("anchor", "salt").sortWithinPartitions("anchor").mapInArrow(run, SCHEMA)
+
+
+def contexts(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFrame:
+    """(anchor, salt, doc, start, raw): the bytes that an open entry's windows cover, without those windows
+    whose half context recurs nowhere: they need both a seed and one whole half, so they can't repeat."""
+    per = open_.groupBy("doc").agg(F.collect_list(F.struct("at", "context", "anchor", "halves")).alias("o"))
+    part = lambda name: F.transform("o", lambda x: x[name]).alias(name)
+    per = per.select(F.col("doc").alias("__doc"), *(part(c) for c in ("at", "context", "anchor", "halves")))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    both = texts.join(per, texts["doc"] == per["__doc"]).select("doc", "text", "at", "context", "anchor", "halves")
+
+    def run(batches):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b, out = whole.slice(k, 256), ([], [], [], [], [])
+                for i, t, *o in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                    raw = (t or "").encode("utf-8", "replace")
+                    place, flag, anchor, salt = (np.array(x, np.int64) for x in o)
+                    start, end = unpack(place, shape.length)
+                    turn = (place >> 24) - shape.left  # the last start that reaches the whole left half
+                    lo = np.where(flag & 1, start, np.maximum(start, turn + 1))
+                    hi = np.where(flag & 2, end - shape.length, np.minimum(end - shape.length, turn))
+                    for a, s, x, y in zip(anchor[lo <= hi].tolist(), salt[lo <= hi].tolist(), lo[lo <= hi].tolist(), hi[lo <= hi].tolist(), strict=True):
+                        for c, v in zip(out, (a, s, i, x, raw[x : y + shape.length]), strict=True):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["anchor", "salt", "doc", "start", "raw"])
 
-def index(rows: DataFrame, shape: Shape, batch_rows: int = 200_000) -> DataFrame:
-    """Rows of kinds 1 and 2 from sampled suffixes; each task keeps the levels of its share of the seeds."""
+    return both.mapInArrow(run, "anchor long, salt long, doc long, start long, raw binary")
+
+
+def compare(rows: DataFrame, length: int, task_suffixes: int, batch_suffixes: int) -> DataFrame:
+    """Ranges (doc, start, end) of the suffixes of *rows* (a stage table of contexts) whose first *length*
+    bytes also start at an earlier place.
+
+    All suffixes that may be equal have one anchor and meet in one task, in order of document and place;
+    there they go through a :class:`SuffixLevels` in batches. Tasks are as many as keep about *task_suffixes*
+    in each. An anchor with a salt is dealt over many tasks by document; the suffixes that stay first there,
+    at most one of equals in each task, meet once more by 128-bit hashes of their bytes.
+    """
+    total = rows.agg(F.sum(F.length("raw") - (length - 1))).head()[0] or 0
+    parts = max(1, -(-int(total) // task_suffixes))
+    piece = F.when(F.col("salt") > 0, F.xxhash64("doc") % 1024).otherwise(0)
 
     def run(batches):
-        levels, held, size = SuffixLevels(shape.length), [], 0
+        levels = SuffixLevels(length)
 
-        def flush():
-            part = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            for doc, at in levels.add(part):
-                if len(doc):
-                    yield ranges(doc, *unpack(at, shape.length))
+        def flush(b):
+            raw = b.column(3).to_pylist()
+            size = np.fromiter(map(len, raw), np.int64, len(raw))
+            n = size - length + 1
+            which = np.repeat(np.arange(len(raw)), n)
+            off = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            doc, start, hot = (b.column(k).to_numpy() for k in (1, 2, 0))
+            new = levels.array(data, (np.cumsum(size) - size)[which] + off, doc[which], start[which] + off, hot[which] > 0)
+            for d, at in levels.add(new):
+                if len(d):
+                    r = ranges(d, at, at + length)
+                    none = pa.nulls(r.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([r.column(4), r.column(5), r.column(2), none, none], ["doc", "start", "end", "x", "y"])
 
+        held, size = [], 0
         for b in batches:
-            kind = b.column(0).to_numpy()
-            if (kind == 1).any():
-                yield b.filter(pa.array(kind == 1))
-            cols = [b.column(k).to_numpy()[kind == 0] for k in range(1, 6)]
-            if len(cols[0]):
-                anchor, context, halves = (c.view(U) for c in cols[:3])
-                held.append((context, anchor, halves, cols[3], cols[4]))
-                size += len(anchor)
-            if size >= batch_rows:
-                yield from flush()
-                held, size = [], 0
+            for i in range(0, b.num_rows, 1000):
+                held.append(b.slice(i, 1000))
+                size += held[-1].column(3).nbytes - 99 * held[-1].num_rows
+                if size >= batch_suffixes:
+                    yield from flush(pa.concat_batches(held))
+                    held, size = [], 0
         if held:
-            yield from flush()
-        doc, at, flags = levels.open()
-        for i in range(0, len(doc), batch_rows):
-            d = doc[i : i + batch_rows]
-            yield rows_of(2, np.zeros(len(d), np.int64), flags[i : i + batch_rows], np.zeros(len(d), np.int64), d, at[i : i + batch_rows])
+            yield from flush(pa.concat_batches(held))
+        for prefix, doc, at, hot in levels.levels:
+            where = np.flatnonzero(hot)
+            for i in range(0, len(where), 4096):
+                w = where[i : i + 4096]
+                h = np.arange(len(w)) * length
+                symbols = ByteSymbols.table[np.ascontiguousarray(prefix[w]).view(np.uint8)]
+                x, y = (Hashes(symbols, k).of(h, h + length).view(np.int64) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[w], at[w], at[w] + length, x, y)], ["doc", "start", "end", "x", "y"])
 
-    return rows.repartition("anchor").mapInArrow(run, SCHEMA).select("kind", "doc", "at", "context")
+    rows = rows.repartition(parts, "anchor", piece).sortWithinPartitions("doc", "start").select("salt", "doc", "start", "raw")
+    out = stage_table(rows.mapInArrow(run, "doc long, start long, end long, x long, y long"), "repeats")
+    first = F.min(F.struct("doc", "start")).over(Window.partitionBy("x", "y"))
+    late = out.filter("x is not null").withColumn("first", first).filter(F.struct("doc", "start") > F.col("first"))
+    return out.filter("x is null").select("doc", "start", "end").unionByName(late.select("doc", "start", "end"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, seed: int = 20) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = 100,
+    seed: int = 20,
+    hot_rows: int = 20_000,
+    task_suffixes: int = 500_000,
+    batch_suffixes: int = 200_000,
+) -> DataFrame:
     """Per row of *docs*: id, n_bytes, n_removed, n_spans, kept (the bytes that stay).
 
     A byte of a text's UTF-8 form goes if a string of *length* bytes covers it that also starts earlier: in
     a document of smaller id, or before in the same one. Overlaps count, the input decides, not what is
-    left, and strings don't cross documents. Suffixes are sampled by content (one in about
-    ``(length - seed) / 2`` bytes) so that every string of that length has a sampled place; what the
-    levels leave open is compared string by string, by 128-bit hashes.
+    left, and strings don't cross documents.
+    1. Suffixes are sampled by content (one in about ``(length - seed) / 2`` bytes) so that every string of
+       that length has a sampled place. Fingerprints of what surrounds a sampled place tell which contexts
+       repeat whole and where nothing can repeat (:func:`sift`).
+    2. All suffixes of the contexts left open go through families of suffix arrays (:func:`compare`).
+    An anchor with more than *hot_rows* unlike contexts is split over many tasks in both steps.
 
     A null or empty text has no bytes. A null id is compared with none. Rows that repeat an id must repeat
     its text; they are treated alike. An empty table gives no rows.
     """
     shape = Shape(length, seed)
-    found = stage_table(index(sample(docs, id_col, text_col, shape, ByteSymbols, True), shape), "suffixes")
+    rows = stage_table(sample(docs, id_col, text_col, shape, ByteSymbols, True), "entries")
+    found = stage_table(sift(salted(rows, hot_rows, 64), shape), "sifted")
+    drop_table(rows)
+    open_ = stage_table(contexts(docs, found.filter("kind = 2"), id_col, text_col, shape), "contexts")
+    late = compare(open_, length, task_suffixes, batch_suffixes)
+    known = found.filter("kind = 1").select("doc", F.col("at").alias("start"), F.col("context").alias("end"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -147,4 +256,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(raw[~mask].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n, gone, spans)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return covered(docs, found, id_col, text_col, shape, ByteSymbols, True).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return with_ranges(docs, known.unionByName(late), id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

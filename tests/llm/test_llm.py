@@ -232,23 +232,44 @@ def test_repeats_with_null_and_repeated_ids(spark):
     assert gone[9] == len(t) and gone[2] < len(t)
 
 
-def test_levels_in_any_order():
+@pytest.mark.parametrize("how", [{"hot_rows": 3}, {"task_suffixes": 900, "batch_suffixes": 150}])
+def test_suffix_dedup_split(docs, rows, how):
+    # Hot anchors split over tasks; many batches and levels.
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup.remove_repeats(docs, **how).collect()}
+    assert got == brute_bytes(rows)
+
+
+def test_repeats_in_very_long_texts(spark):
+    r = random.Random(12)
+    say = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 9))) for _ in range(k))
+    part = say(400)
+    long = say(90_000)
+    data = [(1, long[:300_000] + part + long[300_000:]), (2, part + say(100_000)), (3, say(50) + " " + long[262_000:262_400]), (4, "e" * 300)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {x[0]: (x[1], x[2], x[3], bytes(x[4])) for x in suffix_dedup.remove_repeats(df).collect()}
+    assert got == brute_bytes(data) and got[4][1] > 0
+    assert {x[0]: tuple(x[1:]) for x in substring_dedup.remove_repeats(df).collect()} == brute_words(data)
+
+
+@pytest.mark.parametrize("size", [7, 50, 500])
+def test_levels_in_any_order(size):
     rng = np.random.default_rng(4)
     n = 500
-    rows = [tuple(c) for c in zip(rng.integers(0, 60, n), rng.integers(0, 40, n), range(n))]
+    text = rng.integers(97, 99, 700).astype(np.uint8)
+    pos, doc, at = rng.integers(0, 690, n), rng.integers(0, 40, n), np.arange(n)
+    rows = [(text[p : p + 8].tobytes(), int(d), int(a)) for p, d, a in zip(pos, doc, at)]
     first = {}
-    for context, doc, at in sorted(rows, key=lambda x: (x[1], x[2])):
-        first.setdefault(context, (doc, at))
-    for size in (7, 50, 500):
-        levels, late = suffix_dedup.SuffixLevels(100), []
-        for i in range(0, n, size):
-            c, d, a = (np.array(x) for x in zip(*rows[i : i + size]))
-            z = np.zeros(len(c), np.uint64)
-            for doc, at in levels.add((c.astype(np.uint64), z, z, d.astype(np.int64), a.astype(np.int64))):
-                late += zip(doc.tolist(), at.tolist())
-        sizes = [len(x[0]) for x in levels.levels]
-        assert all(b * 2 < a for a, b in zip(sizes, sizes[1:]))
-        assert sorted(late) == sorted((d, a) for c, d, a in rows if (d, a) != first[c])
+    for s, d, a in sorted(rows, key=lambda x: x[1:]):
+        first.setdefault(s, (d, a))
+    levels, late = suffix_dedup.SuffixLevels(8), []
+    for i in range(0, n, size):
+        j = slice(i, i + size)
+        for d, a in levels.add(levels.array(text, pos[j], doc[j], at[j], at[j])):
+            late += zip(d.tolist(), a.tolist())
+    sizes = [len(x[0]) for x in levels.levels]
+    assert all(b * 2 < a for a, b in zip(sizes, sizes[1:]))
+    assert all((x[0][1:] > x[0][:-1]).all() for x in levels.levels)
+    assert sorted(late) == sorted((d, a) for s, d, a in rows if (d, a) != first[s])
 
 
 @settings(max_examples=60, deadline=None)
