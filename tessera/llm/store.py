@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.shared.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.shared.dir", found)
     return found.rstrip("/")
@@ -66,6 +70,27 @@ def drop_table(df: DataFrame) -> None:
         files.delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """*names*, with underscores added until no column of *df* is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(batch, column: int, rows: int, most: int):
+    """Parts of a record batch: at most *rows* rows whose *column* has about *most* bytes, one row at least."""
+    size = np.fromiter((len(x or "") for x in batch.column(column).to_pylist()), np.int64, batch.num_rows)
+    lo = 0
+    while lo < len(size):
+        n = int(np.searchsorted(np.cumsum(size[lo : lo + rows]), most, side="right"))
+        yield batch.slice(lo, max(1, n))
+        lo += max(1, n)
+
+
 def id_crc(col: str = "doc_id"):
     """crc32 of the id written as decimal text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
