@@ -2,8 +2,9 @@
 
 A file is: magic; u32 size and zlib bytes of the code lengths (u8 an id); blocks; u64 places of the blocks'
 starts, u32 their number and magic. A block is: u32 documents, u32 checkpoints, u64 ids in the file before
-it; i64 document ids (with a u8 null mark each); u32 numbers of ids; u32 bit offsets, from the block's first
-data byte, of every 256th id of a document; the documents' bits, each document beginning at a byte.
+it; i64 document ids (with a u8 null mark each); u64 numbers of ids; u64 bit offsets, from the block's first
+data byte, of every 256th id of a document; the documents' bits, each document beginning at a byte. A block
+ends with the document that brings its data to a size, or at a number of documents.
 All numbers are little-endian, bits run from the highest of a byte.
 """
 
@@ -21,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import MARKS, VOCABULARY, _at, byte_letters, units, vocabulary_path
-from tessera.llm.store import drop_table, freed_shuffles, new_path, stage_table
+from tessera.llm.store import drop_table, freed_shuffles, new_path, slices, stage_table
 
-STEP, LIMIT, MAGIC = 256, 20, b"TSHF0001"
+STEP, LIMIT, MAGIC = 256, 20, b"TSHF0002"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -67,7 +68,7 @@ def codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Bits, and checkpoints (u32 bit offsets of every 256th id), of documents whose *ids* follow each other."""
+    """Bits, and checkpoints (u64 bit offsets of every 256th id), of documents whose *ids* follow each other."""
     bits = lengths[ids].astype(np.int64)
     ends = np.cumsum(bits)
     last = np.cumsum(sizes)
@@ -85,7 +86,7 @@ def pack(ids: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, code: np.ndarr
     buf[word[starts] + 1] += np.add.reduceat(value & np.uint64(0xFFFFFFFF), starts)
     data = buf.astype(">u4").tobytes()
     first = last - sizes
-    marks = [inner[a:b:STEP].astype("<u4").tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+    marks = [inner[a:b:STEP].astype("<u8").tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
     return [data[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)], marks
 
 
@@ -101,12 +102,24 @@ class Table:
         end = int(span.sum())
         self.ids[:end], self.bits[:end] = np.repeat(order, span), np.repeat(lengths[order], span)
 
-    def decode(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Ids of streams that begin at bit *starts* and have *sizes* ids each; all streams advance together."""
+    def decode(self, data: bytes, starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+        """Ids of streams that begin at bit *starts*, in rising order, and have *sizes* ids each. Streams of about
+        *most* bytes at a time advance together."""
+        starts, out, lo = starts.astype(np.int64), np.empty(int(sizes.sum()), np.uint32), 0
+        first, done = starts >> 3, 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + most, side="right")))
+            end = len(data) if hi == len(starts) else int(first[hi]) + 1
+            n = int(sizes[lo:hi].sum())
+            out[done : done + n] = self._streams(data[int(first[lo]) : end], starts[lo:hi] - 8 * first[lo], sizes[lo:hi])
+            lo, done = hi, done + n
+        return out
+
+    def _streams(self, data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         b = np.frombuffer(data + bytes(8), np.uint8).astype(np.uint64)
         window = (b[:-4] << np.uint64(32)) | (b[1:-3] << np.uint64(24)) | (b[2:-2] << np.uint64(16)) | (b[3:-1] << np.uint64(8)) | b[4:]
         order = np.argsort(-sizes, kind="stable")
-        at, n = starts[order].astype(np.int64), sizes[order]
+        at, n = starts[order], sizes[order]
         to = (np.cumsum(sizes) - sizes)[order]
         out = np.empty(int(sizes.sum()), np.uint32)
         mask, shift = np.uint64((1 << self.limit) - 1), 40 - self.limit
@@ -166,8 +179,7 @@ def tokenize(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_i
     def run(batches):
         f, end = library_encoder(vocabulary), struct.pack("<I", end_id)
         for whole in batches:
-            for i in range(0, whole.num_rows, rows):
-                b = whole.slice(i, rows)
+            for b in slices(whole, 1, rows, 16 << 20):
                 ids = [(f(t) if t else b"") + end for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n", "ids"])
 
@@ -195,41 +207,45 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = 2, file_ids: int = 8_000_000, block_docs: int = 512) -> list[tuple[str, int]]:
+def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, end_id: int = 2, file_ids: int = 8_000_000, block_docs: int = 512, block_bytes: int = 16 << 20, max_files: int = 100_000) -> list[tuple[str, int]]:
     """Write the ids of *docs* in ascending order of id (nulls first; equal ids by their bits) to files of
-    about *file_ids* ids; returns (file, ids in it) in that order.
+    about *file_ids* ids, more where that would make over *max_files*; returns (file, ids in it) in that order.
+    The list of files, at most *max_files* rows, is all that comes to the driver besides the ids' counts.
 
-    Documents are coded where they are; a row's file follows from quantiles of the ids, and only coded
-    bits are shuffled. A task run again writes the same file under the same name.
+    Documents are coded where they are; a row's file follows from the ids' ranges, and only coded bits are
+    shuffled. A task run again writes the same file under the same name.
     """
     tokens = stage_table(tokenize(docs, id_col, text_col, vocabulary, end_id), "tokens")
     counts = id_counts(tokens)
     lengths = code_lengths(counts)
-    code, n_files = codes(lengths), max(1, -(-int(counts.sum()) // file_ids))
-    if dict(tokens.dtypes)["id"] == "string":
-        raise TypeError("ids must be numbers")
-    bounds = tokens.select(F.col("id").cast("double").alias("x")).approxQuantile("x", [k / n_files for k in range(1, n_files)], 0.0005) if n_files > 1 else []
-    kind = dict(tokens.dtypes)["id"]
+    kind, total = dict(tokens.dtypes)["id"], int(counts.sum())
+    if kind not in ("bigint", "int", "smallint"):
+        raise TypeError("ids must be integers, as files are in their order")
+    code, n_files = codes(lengths), max(1, -(-total // max(file_ids, -(-total // max_files))))
+    # The least id of every range but the first; Spark finds ranges of like numbers of rows.
+    bounds = np.zeros(0, np.int64)
+    if n_files > 1:
+        ranged = tokens.select(F.col("id").cast("long")).filter("id is not null").repartitionByRange(n_files, "id")
+        least = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("id")).collect()
+        bounds = np.array(sorted(r["id"] for r in least)[1:], np.int64)
 
     def coded(batches):
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
+            for b in slices(whole, 2, 256, 16 << 20):
                 ids = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4")
                 bits, marks = pack(ids, b.column(1).to_numpy(), lengths, code)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], ["id", "n", "bits", "marks"])
+                part = np.searchsorted(bounds, b.column(0).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(), side="right")
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary()), pa.array(marks, pa.binary()), pa.array(part, pa.int32())], ["id", "n", "bits", "marks", "part"])
 
-    rows = tokens.mapInArrow(coded, f"id {kind}, n long, bits binary, marks binary")
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x < F.col("id").cast("double"))), F.lit(0)) if bounds else F.lit(0)
-    rows = rows.withColumn("part", part).repartitionById(n_files, "part").sortWithinPartitions("part", F.asc_nulls_first("id"), "bits")
+    rows = tokens.mapInArrow(coded, f"id {kind}, n long, bits binary, marks binary, part int")
+    rows = rows.repartitionById(n_files, "part").sortWithinPartitions("part", F.asc_nulls_first("id"), "bits")
 
     def write(batches):
         files, root = _at(path)
         files.create_dir(root)
         done, out, name = [], None, ""
         for b in batches:
-            for i in range(0, b.num_rows, block_docs):
-                rest = b.slice(i, block_docs)
+            for rest in slices(b, 2, block_docs, block_bytes):
                 parts = rest.column(4).to_numpy(zero_copy_only=False)
                 cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
                 for lo, hi in zip(cuts, cuts[1:], strict=False):
@@ -266,12 +282,14 @@ class _Writer:
         self.places.append(self.at)
         offsets, at = [], 0
         for x, m in zip(bits, marks, strict=True):
-            offsets.append((np.frombuffer(m, "<u4") + np.uint32(8 * at)).astype("<u4").tobytes())
+            offsets.append((np.frombuffer(m, "<u8") + np.uint64(8 * at)).tobytes())
             at += len(x)
         checks = b"".join(offsets)
-        self.put(struct.pack("<IIQ", len(ids), len(checks) // 4, self.n))
+        self.put(struct.pack("<IIQ", len(ids), len(checks) // 8, self.n))
         self.put(np.array([i or 0 for i in ids], "<i8").tobytes() + bytes(i is None for i in ids))
-        self.put(np.array(sizes, "<u4").tobytes() + checks + b"".join(bits))
+        self.put(np.array(sizes, "<u8").tobytes() + checks)
+        for x in bits:
+            self.put(x)
         self.n += sum(sizes)
 
     def close(self) -> tuple[str, int]:
@@ -303,8 +321,8 @@ def read_file(path: str, files=None, blocks: range | None = None):
             at = 16
             ids, at = np.frombuffer(data, "<i8", docs, at), at + 8 * docs
             null, at = data[at : at + docs], at + docs
-            sizes, at = np.frombuffer(data, "<u4", docs, at).astype(np.int64), at + 4 * docs
-            starts, at = np.frombuffer(data, "<u4", checks, at), at + 4 * checks
+            sizes, at = np.frombuffer(data, "<u8", docs, at).astype(np.int64), at + 8 * docs
+            starts, at = np.frombuffer(data, "<u8", checks, at), at + 8 * checks
             # Streams: 256 ids from each checkpoint, fewer at a document's end.
             per = -(-sizes // STEP)
             first = np.cumsum(per) - per
@@ -326,12 +344,13 @@ def read_files(spark, written: list[tuple[str, int]], kind: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for file, before in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                held: list[tuple] = []
+                held, size = [], 0
                 for i, at, ids in read_file(file, _at("file://" + file)[0] if file.startswith("/") else None):
                     held.append((i, before + at, len(ids), ids.astype("<u4").tobytes()))
-                    if len(held) == 256:
+                    size += len(ids)
+                    if len(held) == 256 or size > 4_000_000:
                         yield _batch(held)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield _batch(held)
 
@@ -347,7 +366,7 @@ def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Write the files of *docs* to the shared folder and read them back: (doc_id, start, n_tokens, ids).
 
     A null or empty text has the end id alone. Null ids come first; rows that repeat an id are documents
-    of their own. An empty table gives no rows.
+    of their own. An empty table gives no rows. Texts may be of any length, and other columns are ignored.
     """
     spark = docs.sparkSession
     path = new_path(spark, "token-files")
