@@ -218,37 +218,59 @@ def nearest_leads(rows: DataFrame, info: DataFrame, turn: int, alike) -> DataFra
     return best.select(F.least("near.a", "b").alias("a"), F.greatest("near.a", "b").alias("b")).distinct()
 
 
-def candidates(open_: DataFrame, percent: int, errors: int) -> DataFrame:
+def cells(open_: DataFrame, size: int) -> DataFrame:
+    """*open_* with the cells (i, j) of its bucket that a row takes part in, and ``block``, its own.
+
+    A bucket of up to 2 * *size* rows is one cell. The rows of a larger one are dealt by a hash to blocks of
+    about *size*: 0, 1 .. for those outside the main component, -1, -2 .. for the main one's. Each pair of
+    blocks, but for two main ones, is a cell, so a cell has about 2 * *size* rows at most and every pair of rows
+    that must be compared has its cell. Rows: k, v, rep, comp, main, others, mains (numbers of either kind)."""
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / size), F.lit(1)).cast("int")
+    one, out = F.col("others") + F.col("mains") <= 2 * size, F.col("comp") != F.col("main")
+    own = F.pmod(F.xxhash64("rep"), F.when(out, blocks("others")).otherwise(blocks("mains"))).cast("int")
+    rows = open_.withColumn("block", F.when(one, 0).when(out, own).otherwise(-1 - own))
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    b = F.col("block")
+    with_others = F.transform(F.sequence(F.lit(0), blocks("others") - 1), lambda x: cell(F.least(b, x), F.greatest(b, x)))
+    with_mains = F.when(F.col("mains") > 0, F.transform(F.sequence(F.lit(1), blocks("mains")), lambda x: cell(b, -x))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    for_main = F.transform(F.sequence(F.lit(0), blocks("others") - 1), lambda x: cell(x, b))
+    all_ = F.when(one, F.array(cell(F.lit(0), F.lit(0)))).when(out, F.concat(with_others, with_mains)).otherwise(for_main)
+    return rows.withColumn("cell", F.explode(all_)).select("*", "cell.i", "cell.j").drop("cell")
+
+
+def candidates(open_: DataFrame, percent: int, errors: int, size: int = 1_000) -> DataFrame:
     """(y, xs): for classes of buckets that hold several components, those classes outside the bucket's main
-    component that they may be linked with, as packed ids. Rows: k, v, rep, comp, main, n, sig.
+    component that they may be linked with, as packed ids. Rows: k, v, rep, comp, main, others, mains, n, sig.
 
-    A bucket's rows meet in one task, those outside the main component first, by id, so that each meets all
-    lesser ones in whatever batches they come; the rest stream by. Pairs are compared there by signature
-    and size and stay packed, a row for each class and bucket, never a pair."""
+    The rows of a bucket's cell (:func:`cells`) meet in one task, those outside the main component first, by
+    id, so that each meets all lesser ones in whatever batches they come; the rest stream by. Pairs are
+    compared there by signature and size and stay packed, a row for each class and cell, never a pair."""
     most = CHUNKS * (errors + 1) - 1
 
     def run(batches):
         key, xs = None, []
         for b in batches:
-            k, v, rep, comp, main, n = (b.column(i).to_numpy() for i in range(6))
-            sig = b.column(6).flatten().to_numpy().reshape(-1, CHUNKS).view(np.uint16)
-            cuts = np.flatnonzero((np.diff(k) != 0) | (np.diff(v) != 0)) + 1
+            k, v, ci, cj, block, rep, comp, main, n = (b.column(i).to_numpy() for i in range(9))
+            sig = b.column(9).flatten().to_numpy().reshape(-1, CHUNKS).view(np.uint16)
+            cuts = np.flatnonzero((np.diff(k) != 0) | (np.diff(v) != 0) | (np.diff(ci) != 0) | (np.diff(cj) != 0)) + 1
             out_y, out_x = [], []
             for lo, hi in zip(np.append(0, cuts).tolist(), np.append(cuts, len(k)).tolist(), strict=True):
                 if hi == lo:
                     continue
-                if (k[lo], v[lo]) != key:
-                    key, xs = (k[lo], v[lo]), []
+                if (k[lo], v[lo], ci[lo], cj[lo]) != key:
+                    key, xs = (k[lo], v[lo], ci[lo], cj[lo]), []
                 out = np.flatnonzero(comp[lo:hi] != main[lo:hi]) + lo
                 if len(out):
-                    xs.append((rep[out], comp[out], n[out], sig[out]))
+                    xs.append((rep[out], comp[out], n[out], sig[out], block[out]))
                 if not xs:
                     continue
-                xr, xc, xn, xsig = (np.concatenate(c) for c in zip(*xs, strict=True))
+                xr, xc, xn, xsig, xb = (np.concatenate(c) for c in zip(*xs, strict=True))
                 for i in range(lo, hi):
                     ok = (xc != comp[i]) & (100 * np.minimum(xn, n[i]) >= percent * np.maximum(xn, n[i]))
                     if comp[i] != main[i]:
                         ok &= xr < rep[i]
+                        if ci[i] != cj[i]:  # pairs within a block have a cell of their own
+                            ok &= xb != block[i]
                     at = np.flatnonzero(ok)
                     if len(at):
                         same = xsig[at] == sig[i]
@@ -264,8 +286,8 @@ def candidates(open_: DataFrame, percent: int, errors: int) -> DataFrame:
                             out_x.append(xr[at].astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_y, pa.int64()), pa.array(out_x, pa.binary())], ["y", "xs"])
 
-    rows = open_.repartition("k", "v").sortWithinPartitions("k", "v", F.col("comp") == F.col("main"), "rep")
-    rows = rows.select("k", "v", "rep", "comp", "main", "n", "sig").mapInArrow(run, "y long, xs binary")
+    rows = cells(open_, size).repartition("k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j", F.col("comp") == F.col("main"), "rep")
+    rows = rows.select("k", "v", "i", "j", "block", "rep", "comp", "main", "n", "sig").mapInArrow(run, "y long, xs binary")
     return rows.groupBy("y").agg(F.collect_list("xs").alias("xs"))
 
 
@@ -330,8 +352,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. *turns* times every class is compared with one lead in each of its buckets, and the nearest that is
        in another component is confirmed. This joins most of what belongs together, at a pair a class.
     3. Buckets that still hold several components are searched whole: every class outside a bucket's main
-       component meets all classes of other components there. Nothing is capped; what is left out are
-       pairs already connected. Candidates stay packed and are confirmed block by block.
+       component meets all classes of other components there, large buckets block by block. Nothing is
+       capped; what is left out are pairs already connected. Candidates stay packed and are confirmed block by block.
     All confirmations use the full sets.
 
     Null or empty texts and texts without words have the empty set, linked with nothing. Null ids stand
@@ -358,8 +380,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         roots = stage_table(components(links), "components")
         marked = rows.join(roots, rows["rep"] == roots["v"], "left").select("k", rows["v"], "rep", F.coalesce("root", "rep").alias("comp"))
     sizes = marked.groupBy("k", "v", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("k", "v").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("c", "comp")).alias("main")).filter("parts > 1")
-    open_ = marked.join(mixed.select("k", "v", "main"), ["k", "v"]).join(info, "rep")
+    large = F.max(F.struct("c", "comp"))
+    mixed = sizes.groupBy("k", "v").agg(F.count(F.lit(1)).alias("parts"), large.alias("m"), F.sum("c").alias("all")).filter("parts > 1")
+    mixed = mixed.select("k", "v", F.col("m.comp").alias("main"), F.col("m.c").alias("mains"), (F.col("all") - F.col("m.c")).alias("others"))
+    open_ = marked.join(mixed, ["k", "v"]).join(info, "rep")
     cands = stage_table(candidates(open_, percent, errors), "candidates")
     late = stage_table(confirm_blocks(cands, docs, id_col, text_col, n, percent), "late")
     if late.head(1):
@@ -371,8 +395,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, most: int = 500_000) -> DataFrame:
-    """The rows of *docs*, all columns, that stand for their component: those of its smallest id. Rows of
-    null id stay. The ids that go are broadcast if a count shows at most *most* of them."""
+    """The rows of *docs*, all columns (of any names), that stand for their component: those of its smallest
+    id, every one that repeats it. Rows of null id stay. Empty texts are linked with nothing and stay. The ids that go are broadcast if a count shows at most *most* of them."""
     gone = stage_table(near_duplicates(docs, id_col, text_col, n, percent).filter("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
     if gone.count() <= most:
         gone = F.broadcast(gone)
