@@ -233,17 +233,38 @@ def with_ranges(docs: DataFrame, ranges_: DataFrame, id_col: str, text_col: str)
     return texts.join(per, texts["doc_id"] == per["__doc"], "left").select("doc_id", "text", "starts", "ends")
 
 
-def salted(rows: DataFrame, most: int, salts: int, broadcast_rows: int = 500_000) -> DataFrame:
-    """*rows* (a stage table of entries) with ``salt``: 0, or for an anchor with over *most* entries of unlike
-    context a number from 1 to *salts* that follows from the context. Anchors are counted exactly; there are
-    at most rows / *most* such anchors, and they are broadcast if a count shows at most *broadcast_rows*."""
+def _hot(rows: DataFrame, most: int, broadcast_rows: int = 500_000) -> DataFrame | None:
+    """Anchors with over *most* entries, by an exact count: at most rows / *most* of them, which are broadcast if
+    a count shows at most *broadcast_rows*. None if there are none."""
     hot = rows.filter("kind = 0").groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most)
-    hot = stage_table(hot.select("anchor", F.lit(True).alias("hot")), "hot")
+    hot = stage_table(hot.select("anchor"), "hot")
     n = hot.count()
-    if not n:
+    return None if not n else F.broadcast(hot) if n <= broadcast_rows else hot
+
+
+def split_hot(rows: DataFrame, most: int, salts: int = 64) -> DataFrame:
+    """*rows* (a stage table of entries) with ``salt``, such that no (anchor, salt) has many more than *most* entries.
+
+    An entry of an anchor with more is taken twice, under its anchor with the left and with the right half
+    of its context; equal contexts share one of these at least. Where even so many share anchor and half
+    (the border of a common passage), they are dealt by context to *salts* places; salt is 0 elsewhere.
+    """
+    hot = _hot(rows, most)
+    if hot is None:
         return rows.withColumn("salt", F.lit(0))
-    out = rows.join(F.broadcast(hot) if n <= broadcast_rows else hot, "anchor", "left")
-    return out.withColumn("salt", F.when(F.col("hot"), F.pmod("context", F.lit(salts)).cast("int") + 1).otherwise(0)).drop("hot")
+    cold = rows.join(hot, "anchor", "left_anti").withColumn("salt", F.lit(0))
+    left, right = F.shiftleft(F.shiftrightunsigned("halves", 32), 32), F.col("halves").bitwiseAND(F.lit(0xFFFFFFFF))
+    sides = F.filter(F.array(F.struct(F.lit(1).alias("s"), left.alias("h")), F.struct(F.lit(2).alias("s"), right.alias("h"))), lambda x: x["h"] != 0)
+    mine = rows.filter("kind = 0").join(hot, "anchor", "left_semi").withColumn("x", F.explode(sides))
+    mine = mine.select("kind", F.xxhash64("anchor", "x.s", "x.h").alias("anchor"), "context", F.col("x.h").alias("halves"), "doc", "at")
+    mine = stage_table(mine, "sides")
+    hot = _hot(mine, most)
+    if hot is None:
+        mine = mine.withColumn("salt", F.lit(0))
+    else:
+        mine = mine.join(hot.withColumn("hot", F.lit(True)), "anchor", "left")
+        mine = mine.withColumn("salt", F.when(F.col("hot"), F.pmod("context", F.lit(salts)).cast("int") + 1).otherwise(0)).drop("hot")
+    return cold.unionByName(mine)
 
 
 def mask_of(n: int, starts: list[int] | None, ends: list[int] | None) -> np.ndarray:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.sequences import SCHEMA, ByteSymbols, Hashes, Shape, mask_of, mix, ranges, rows_of, salted, sample, unpack, with_ranges
+from tessera.llm.sequences import SCHEMA, ByteSymbols, Hashes, Shape, mask_of, mix, ranges, rows_of, sample, split_hot, unpack, with_ranges
 from tessera.llm.store import drop_table, stage_table
 
 U = np.uint64
@@ -75,8 +77,8 @@ def sift(rows: DataFrame, shape: Shape, chunk: int = 200_000) -> DataFrame:
     """Rows of kinds 1 and 2 from salted entries, anchor by anchor.
 
     A context that an earlier place has too repeats whole. Of the others those stay open (kind 2) whose left
-    or right half some other context of their anchor shares; entries with a salt (which meet only their
-    likes) stay open on both sides. Anchors come sorted, so a task holds *chunk* rows and one anchor's.
+    or right half some other context of their anchor shares; entries with a salt, whose half many share,
+    stay open. Anchors come sorted, so a task holds *chunk* rows and one anchor's.
     """
 
     def flush(held):
@@ -100,8 +102,7 @@ def sift(rows: DataFrame, shape: Shape, chunk: int = 200_000) -> DataFrame:
             flags[salt > 0] |= bit
             flags[half == 0] &= ~bit
         k = flags > 0
-        # context: the flags; halves: how often the anchor is split where its contexts are compared
-        yield rows_of(2, anchor[k], flags[k], salt[k], doc[k], at[k])
+        yield rows_of(2, anchor[k], flags[k], halves[k], doc[k], at[k])  # context: the flags
 
     def run(batches):
         held, size = [], 0
@@ -127,45 +128,52 @@ def sift(rows: DataFrame, shape: Shape, chunk: int = 200_000) -> DataFrame:
 
 
 def contexts(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFrame:
-    """(anchor, salt, doc, start, raw): the bytes that an open entry's windows cover, without those windows
-    whose half context recurs nowhere: they need both a seed and one whole half, so they can't repeat."""
-    per = open_.groupBy("doc").agg(F.collect_list(F.struct("at", "context", "anchor", "halves")).alias("o"))
-    part = lambda name: F.transform("o", lambda x: x[name]).alias(name)
-    per = per.select(F.col("doc").alias("__doc"), *(part(c) for c in ("at", "context", "anchor", "halves")))
+    """(key, doc, start, raw): the bytes that an open entry's windows cover, in two rows: windows that reach
+    its whole left half, keyed by that half and the seed, and the others, which reach its whole right half,
+    keyed by the seed and that. Halves that recur nowhere are left out. Equal windows have equal keys."""
+    per = open_.groupBy("doc").agg(F.collect_list(F.struct("at", "context")).alias("o"))
+    per = per.select(F.col("doc").alias("__doc"), F.transform("o", lambda x: x["at"]).alias("at"), F.transform("o", lambda x: x["context"]).alias("flags"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    both = texts.join(per, texts["doc"] == per["__doc"]).select("doc", "text", "at", "context", "anchor", "halves")
+    both = texts.join(per, texts["doc"] == per["__doc"]).select("doc", "text", "at", "flags")
 
     def run(batches):
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
-                b, out = whole.slice(k, 256), ([], [], [], [], [])
-                for i, t, *o in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                b, out = whole.slice(k, 256), ([], [], [], [])
+                for i, t, place, flag in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                     raw = (t or "").encode("utf-8", "replace")
-                    place, flag, anchor, salt = (np.array(x, np.int64) for x in o)
+                    place, flag = np.unique(np.array([place, flag], np.int64), axis=1)
                     start, end = unpack(place, shape.length)
-                    turn = (place >> 24) - shape.left  # the last start that reaches the whole left half
-                    lo = np.where(flag & 1, start, np.maximum(start, turn + 1))
-                    hi = np.where(flag & 2, end - shape.length, np.minimum(end - shape.length, turn))
-                    for a, s, x, y in zip(anchor[lo <= hi].tolist(), salt[lo <= hi].tolist(), lo[lo <= hi].tolist(), hi[lo <= hi].tolist(), strict=True):
-                        for c, v in zip(out, (a, s, i, x, raw[x : y + shape.length]), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())], ["anchor", "salt", "doc", "start", "raw"])
+                    at, last = place >> 24, end - shape.length
+                    turn = at - shape.left  # the last start that reaches the whole left half
+                    for bit, lo, hi, half in ((1, start, np.minimum(last, turn), turn), (2, np.maximum(start, turn + 1), last, at)):
+                        ok = (flag & bit > 0) & (lo <= hi)
+                        size = shape.seed + (shape.left if bit == 1 else shape.right)
+                        for x, y, h in zip(lo[ok].tolist(), hi[ok].tolist(), half[ok].tolist(), strict=True):
+                            key = int.from_bytes(hashlib.blake2b(raw[h : h + size], digest_size=8, key=bytes([bit])).digest(), "little", signed=True)
+                            for c, v in zip(out, (key, i, x, raw[x : y + shape.length]), strict=True):
+                                c.append(v)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], ["key", "doc", "start", "raw"])
 
-    return both.mapInArrow(run, "anchor long, salt long, doc long, start long, raw binary")
+    return both.mapInArrow(run, "key long, doc long, start long, raw binary")
 
 
-def compare(rows: DataFrame, length: int, task_suffixes: int, batch_suffixes: int) -> DataFrame:
+def compare(rows: DataFrame, length: int, hot_rows: int, task_suffixes: int, batch_suffixes: int, broadcast_rows: int = 500_000) -> DataFrame:
     """Ranges (doc, start, end) of the suffixes of *rows* (a stage table of contexts) whose first *length*
     bytes also start at an earlier place.
 
-    All suffixes that may be equal have one anchor and meet in one task, in order of document and place;
-    there they go through a :class:`SuffixLevels` in batches. Tasks are as many as keep about *task_suffixes*
-    in each. An anchor with a salt is dealt over many tasks by document; the suffixes that stay first there,
-    at most one of equals in each task, meet once more by 128-bit hashes of their bytes.
+    Suffixes that may be equal have one key and meet in one task, in order of document and place; there
+    they go through a :class:`SuffixLevels` in batches. Tasks are as many as keep about *task_suffixes* in
+    each. A key with more than *hot_rows* rows is dealt by document to pieces of about that many; the
+    suffixes that stay first in a piece meet once more by 128-bit hashes of their bytes. Keys are counted
+    exactly; hot ones, at most rows / *hot_rows*, are broadcast if a count shows at most *broadcast_rows*.
     """
     total = rows.agg(F.sum(F.length("raw") - (length - 1))).head()[0] or 0
     parts = max(1, -(-int(total) // task_suffixes))
-    piece = F.when(F.col("salt") > 0, F.xxhash64("doc") % 1024).otherwise(0)
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > hot_rows)
+    hot = stage_table(hot.select("key", F.ceil(F.col("c") / hot_rows).alias("pieces")), "hot")
+    rows = rows.join(F.broadcast(hot) if hot.count() <= broadcast_rows else hot, "key", "left")
+    piece = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("pieces")), F.lit(0))
 
     def run(batches):
         levels = SuffixLevels(length)
@@ -177,8 +185,8 @@ def compare(rows: DataFrame, length: int, task_suffixes: int, batch_suffixes: in
             which = np.repeat(np.arange(len(raw)), n)
             off = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
             data = np.frombuffer(b"".join(raw), np.uint8)
-            doc, start, hot = (b.column(k).to_numpy() for k in (1, 2, 0))
-            new = levels.array(data, (np.cumsum(size) - size)[which] + off, doc[which], start[which] + off, hot[which] > 0)
+            hot, doc, start = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            new = levels.array(data, (np.cumsum(size) - size)[which] + off, doc[which], start[which] + off, hot[which])
             for d, at in levels.add(new):
                 if len(d):
                     r = ranges(d, at, at + length)
@@ -204,7 +212,8 @@ def compare(rows: DataFrame, length: int, task_suffixes: int, batch_suffixes: in
                 x, y = (Hashes(symbols, k).of(h, h + length).view(np.int64) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[w], at[w], at[w] + length, x, y)], ["doc", "start", "end", "x", "y"])
 
-    rows = rows.repartition(parts, "anchor", piece).sortWithinPartitions("doc", "start").select("salt", "doc", "start", "raw")
+    rows = rows.repartition(parts, "key", piece).sortWithinPartitions("doc", "start")
+    rows = rows.select(F.col("pieces").isNotNull().alias("hot"), "doc", "start", "raw")
     out = stage_table(rows.mapInArrow(run, "doc long, start long, end long, x long, y long"), "repeats")
     first = F.min(F.struct("doc", "start")).over(Window.partitionBy("x", "y"))
     late = out.filter("x is not null").withColumn("first", first).filter(F.struct("doc", "start") > F.col("first"))
@@ -217,7 +226,8 @@ def remove_repeats(
     text_col: str = "text",
     length: int = 100,
     seed: int = 20,
-    hot_rows: int = 20_000,
+    hot_entries: int = 50_000,
+    hot_rows: int = 2_000,
     task_suffixes: int = 500_000,
     batch_suffixes: int = 200_000,
 ) -> DataFrame:
@@ -230,17 +240,18 @@ def remove_repeats(
        that length has a sampled place. Fingerprints of what surrounds a sampled place tell which contexts
        repeat whole and where nothing can repeat (:func:`sift`).
     2. All suffixes of the contexts left open go through families of suffix arrays (:func:`compare`).
-    An anchor with more than *hot_rows* unlike contexts is split over many tasks in both steps.
+    An anchor with more than *hot_entries* entries is split over many tasks in step 1, a seed and half context
+    with more than *hot_rows* in step 2.
 
     A null or empty text has no bytes. A null id is compared with none. Rows that repeat an id must repeat
     its text; they are treated alike. An empty table gives no rows.
     """
     shape = Shape(length, seed)
     rows = stage_table(sample(docs, id_col, text_col, shape, ByteSymbols, True), "entries")
-    found = stage_table(sift(salted(rows, hot_rows, 64), shape), "sifted")
+    found = stage_table(sift(split_hot(rows, hot_entries), shape), "sifted")
     drop_table(rows)
     open_ = stage_table(contexts(docs, found.filter("kind = 2"), id_col, text_col, shape), "contexts")
-    late = compare(open_, length, task_suffixes, batch_suffixes)
+    late = compare(open_, length, hot_rows, task_suffixes, batch_suffixes)
     known = found.filter("kind = 1").select("doc", F.col("at").alias("start"), F.col("context").alias("end"))
     kind = docs.schema[id_col].dataType.simpleString()
 
