@@ -118,7 +118,7 @@ class Range(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
-        self.step = int(options.get("rangebytes", 8 << 20))
+        self.step = int(options.get("rangebytes", 32 << 20))
         self.batch = int(options.get("batchbytes", 4 << 20))
         self.tries = int(options.get("tries", 4))
 
@@ -133,40 +133,66 @@ class ArchiveReader(DataSourceReader):
             for at in range(0, x.size, self.step)
         ] or [Range("", 0, 0)]
 
+    @staticmethod
+    def parse(data: bytes, info: zipfile.ZipInfo) -> tuple[bytes, bytes, int]:
+        """Image, payload and length of the member whose local header *data* begins with."""
+        if data[:4] != b"PK\x03\x04":
+            raise ValueError("no member begins here")
+        name, extra = struct.unpack_from("<HH", data, 26)
+        image = bytes(data[30 + name + extra : 30 + name + extra + info.compress_size])
+        if zlib.crc32(image) != info.CRC:
+            raise ValueError("the member's check sum differs")
+        return image, *from_image(image)
+
     def member(self, files: pafs.FileSystem, path: str, info: zipfile.ZipInfo) -> tuple[bytes, bytes, int]:
-        """Image, payload and length of the member at its offset; each try opens the archive again."""
+        """The member at its offset, read alone; each try opens the archive again."""
         for k in range(self.tries):
             try:
                 with files.open_input_file(path) as f:
                     f.seek(info.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\x03\x04":
-                        raise ValueError("no member begins here")
-                    name, extra = struct.unpack_from("<HH", head, 26)
-                    f.seek(info.header_offset + 30 + name + extra)
-                    image = f.read(info.compress_size)
-                if zlib.crc32(image) != info.CRC:
-                    raise ValueError("the member's check sum differs")
-                return image, *from_image(image)
+                    return self.parse(f.read(self.most(info)), info)
             except (OSError, ValueError, struct.error, zlib.error) as e:
                 if k + 1 == self.tries:
                     raise OSError(f"{path} at {info.header_offset}, {self.tries} tries: {e}") from e
         raise AssertionError
 
+    @staticmethod
+    def most(info: zipfile.ZipInfo) -> int:
+        """Bytes that a member and its local header take at most."""
+        return 30 + len(info.filename.encode()) + len(info.extra) + 64 + info.compress_size
+
+    def stream(self, f, files: pafs.FileSystem, path: str, members: list[zipfile.ZipInfo]):
+        """Members in the order of their offsets. They follow each other, so a read of the open archive takes as
+        many as fit into a batch; one that can't be had from it is read again alone."""
+        i = 0
+        while i < len(members):
+            lo, j = members[i].header_offset, i + 1
+            while j < len(members) and members[j].header_offset + self.most(members[j]) - lo <= self.batch:
+                j += 1
+            try:
+                f.seek(lo)
+                data = memoryview(f.read(members[j - 1].header_offset + self.most(members[j - 1]) - lo))
+            except OSError:
+                data = memoryview(b"")
+            for m in members[i:j]:
+                try:
+                    yield m, *self.parse(data[m.header_offset - lo :], m)
+                except (ValueError, struct.error, zlib.error):
+                    yield m, *self.member(files, path, m)
+            i = j
+
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        files = _at(self.path)[0]
-        with files.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
-            members = [m for m in z.infolist() if partition.start <= m.header_offset < partition.stop]
-        rows, held = [], 0
-        for m in sorted(members, key=lambda m: m.header_offset):
-            image, payload, n = self.member(files, partition.path, m)
-            rows.append((m.filename.rpartition("/")[2].removesuffix(".png") or None, partition.path.rpartition("/")[2], m.header_offset, n, image, payload, feature_of(payload)))
-            held += len(image) + len(payload)
-            if held >= self.batch:
-                yield self.out(rows)
-                rows, held = [], 0
+        files, rows, held = _at(self.path)[0], [], 0
+        with files.open_input_file(partition.path) as f:
+            members = [m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.stop]
+            for m, image, payload, n in self.stream(f, files, partition.path, sorted(members, key=lambda m: m.header_offset)):
+                rows.append((m.filename.rpartition("/")[2].removesuffix(".png") or None, partition.path.rpartition("/")[2], m.header_offset, n, image, payload, feature_of(payload)))
+                held += len(image) + len(payload)
+                if held >= self.batch:
+                    yield self.out(rows)
+                    rows, held = [], 0
         if rows:
             yield self.out(rows)
 
@@ -206,7 +232,8 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tail_crc32, media_bytes, media_sha256, feature.
 
     A null or empty text is 64 zero bytes. Equal texts give equal values. A null id stays null. Rows that
-    repeat an id are members of their own. An empty table gives no rows.
+    repeat an id are members of their own. An empty table gives no rows. A text, however long, is one member
+    and passes through one task in memory; other columns are ignored.
     """
     path = new_path(docs.sparkSession, "media")
     write_archives(docs, path, id_col, text_col)
