@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import id_crc
+from tessera.llm.store import id_crc, stage_table
 
 _TOKEN = re.compile(r"\S+")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -52,8 +52,14 @@ class _Emissions(dict):
 
 
 def marginals(e: np.ndarray, lengths: np.ndarray, trans: tuple[float, ...]) -> np.ndarray:
-    """Log odds of the toxic state at every token by forward-backward. *e*: emissions of all sequences,
-    one after the other. All sequences advance together, the longest first."""
+    """Log odds of the toxic state at every token by forward-backward."""
+    f, b = messages(e, lengths, trans)
+    return f + b
+
+
+def messages(e: np.ndarray, lengths: np.ndarray, trans: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Forward log odds with, and backward ones without, a token's own emission. *e*: emissions of all
+    sequences, one after the other. All sequences advance together, the longest first."""
     t00, t01, t10, t11 = (float(np.exp(x)) for x in trans)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     order = np.argsort(-lengths, kind="stable")
@@ -69,7 +75,7 @@ def marginals(e: np.ndarray, lengths: np.ndarray, trans: tuple[float, ...]) -> n
         at = starts[: active[t]] + t
         odds = np.exp(np.clip(e[at] + b[at], -60, 60))
         b[at - 1] = np.log((t10 + t11 * odds) / (t00 + t01 * odds))
-    return f + b
+    return f, b
 
 
 def summary(logits: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -88,9 +94,12 @@ def summary(logits: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, each: int, max_bytes: int) -> tuple[list, dict[int, int]]:
     """At most *each* labelled documents of either kind, of up to *max_bytes*, by a hash of their id: the
-    bounded sample that a model is fitted on. Also how many labels of either kind there are."""
+    bounded sample that a model is fitted on, out of all documents that have a label. Also how many labels of
+    either kind there are."""
     known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("__id"), F.col("toxic").alias("__y")).dropDuplicates(["__id"])
     counts = {r["__y"]: int(r["count"]) for r in known.groupBy("__y").count().collect()}
+    short = docs.filter(F.octet_length(F.coalesce(text_col, F.lit(""))) <= max_bytes).select(F.col(id_col).alias("__id"))
+    known = stage_table(known.join(short, "__id", "left_semi"), "labelled")
     first = lambda y: known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(each)
     ids = first(0).unionByName(first(1))
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("t")).filter(F.octet_length("t") <= max_bytes)
@@ -162,10 +171,9 @@ def fit(sample: list[tuple[object, int, str]], counts: dict[int, int], least: in
         w, (bias, a, c, d) = theta[: len(names)], theta[len(names) :]
         e = bias + np.bincount(at, w[fid], len(flat))
         tr = (0.0, a, c, d)
-        logit = marginals(e, lengths, tr)
-        p = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+        fwd, bwd = messages(e, lengths, tr)
+        p = 1 / (1 + np.exp(-np.clip(fwd + bwd, -50, 50)))
         # Pair marginals from forward and backward odds.
-        fwd, bwd = _messages(e, lengths, tr)
         u, z = np.exp(np.clip(fwd[nxt - 1], -50, 50)), np.exp(np.clip(e[nxt] + bwd[nxt], -50, 50))
         joint = np.stack([np.ones_like(u), np.exp(a) * z, np.exp(c) * u, np.exp(d) * u * z])
         pair = (joint / joint.sum(0)).sum(1) / len(flat)
@@ -185,20 +193,6 @@ def fit(sample: list[tuple[object, int, str]], counts: dict[int, int], least: in
     return model
 
 
-def _messages(e: np.ndarray, lengths: np.ndarray, trans: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Forward odds with, and backward odds without, a token's own emission."""
-    zero = np.zeros(0)
-    total = marginals(e, lengths, trans)
-    t00, t01, t10, t11 = (float(np.exp(x)) for x in trans)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    f, top = e.astype(float).copy(), int(lengths.max()) if len(lengths) else 0
-    for t in range(1, top):
-        at = starts[lengths > t] + t
-        odds = np.exp(np.clip(f[at - 1], -60, 60))
-        f[at] += np.log((t01 + t11 * odds) / (t00 + t10 * odds))
-    return f, total - f if len(e) else zero
-
-
 def _summaries(model: Model, tokens: list[list[str]]) -> np.ndarray:
     get = _Emissions(model, 50_000).__getitem__
     lengths = np.array([len(w) for w in tokens], np.int64)
