@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import stage_table
+from tessera.llm.store import fresh, stage_table
 
 
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -26,7 +26,7 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
     return salted.groupBy("__digest", "__text").agg(F.max("k").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16, most: int = 10_000) -> DataFrame:
     """Per row of *docs*: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; a null text counts as empty. The largest id of a group stays;
@@ -34,14 +34,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document; :func:`keep_exact` returns it once), and so are the rows of a group of null ids. An empty
     table gives no rows. Other columns are ignored, whatever their names.
 
-    Rows find their winner by digest. Digests shared by unlike texts, which the combining has told
-    apart, are looked up by digest and text.
+    Rows find their winner by digest. Of digests with over *most* rows (and over one in 100,000 of all, so
+    at most 100,000 digests, which are broadcast) rows and winners meet in *salts* places each. Digests
+    shared by unlike texts, which the combining has told apart, are looked up by digest and text.
     """
     won = stage_table(winners(docs, id_col, text_col, salts).select("__digest", "keep_id", "group_size"), "winners")
+    total = won.agg(F.sum("group_size")).head()[0] or 0
+    large = F.col("group_size") > max(most, total // 100_000)
+    hot = won.filter(large).select("__digest", F.lit(True).alias("__hot")).distinct()
     base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).withColumn(
         "__digest", F.unhex(F.sha2(F.col("__text"), 256))
     )
-    found = base.select("__id", "__digest").join(won, "__digest")
+    spread = won.withColumn("__salt", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    rows = base.select("__id", "__digest", F.spark_partition_id().alias("__part")).join(F.broadcast(hot), "__digest", "left")
+    rows = rows.withColumn("__salt", F.when(F.col("__hot"), F.col("__part") % salts).otherwise(0))
+    found = rows.join(spread, ["__digest", "__salt"]).select("__id", "__digest", "keep_id", "group_size")
     clash = won.groupBy("__digest").count().filter("count > 1").select("__digest")
     if clash.head(1):
         by_text = winners(docs.join(clash, F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)) == clash["__digest"], "left_semi"), id_col, text_col, salts)
@@ -60,14 +67,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of *docs* that :func:`exact_dedup` keeps, all columns, one row for each id and text.
 
-    Rows are chosen by their text's winner, then by id; of rows that repeat both id and text one stays.
+    Rows are chosen by their text's winner, then by id; of rows that repeat both id and text one stays
+    (an arbitrary one, should other columns differ). Null texts count as empty, a null id stays if its text
+    has no other id, other columns may have any name, and an empty table gives no rows.
     """
+    d, k = fresh(docs, "digest", "keep")
     won = winners(docs, id_col, text_col)
-    kept = stage_table(won.select(F.col("keep_id").alias("__k"), F.col("__digest").alias("__d")), "kept")
-    rows = docs.withColumn("__d", F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)))
-    out = rows.join(kept, rows["__d"].eqNullSafe(kept["__d"]) & rows[id_col].eqNullSafe(kept["__k"]), "left_semi")
-    repeated = docs.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias("__r"))
+    kept = stage_table(won.select(F.col("keep_id").alias(k), F.col("__digest").alias(d)), "kept")
+    rows = docs.withColumn(d, F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)))
+    out = rows.join(kept, rows[d].eqNullSafe(kept[d]) & rows[id_col].eqNullSafe(kept[k]), "left_semi")
+    repeated = docs.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias(k))
     if repeated.head(1):
-        twice = out.join(repeated, out[id_col].eqNullSafe(repeated["__r"]), "left_semi").dropDuplicates([id_col, "__d"])
-        out = out.join(repeated, out[id_col].eqNullSafe(repeated["__r"]), "left_anti").unionByName(twice)
-    return out.drop("__d")
+        twice = out.join(repeated, out[id_col].eqNullSafe(repeated[k]), "left_semi").dropDuplicates([id_col, d])
+        out = out.join(repeated, out[id_col].eqNullSafe(repeated[k]), "left_anti").unionByName(twice)
+    return out.drop(d)
