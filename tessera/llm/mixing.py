@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.store import WORD, stage_table
+from tessera.llm.store import WORD, fresh, stage_table
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -142,9 +142,11 @@ def mix(
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = 16, **how) -> DataFrame:
     """The mix itself: each row of *docs*, all columns, as often as :func:`mix` takes it, shard by shard and
     within a shard in the order of the positions. Rows that aren't taken are left out; those of size 0
-    come along as often as their block."""
+    come along as often as their block. Rows that repeat id and source are each taken so often; other
+    columns may have any name."""
+    i, s, many, one = fresh(docs, "id", "of", "copies", "copy")
     dealt = mix(docs, id_col, text_col, source_col, shards=shards, **how).filter(F.size("copies") > 0)
-    dealt = stage_table(dealt.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).dropDuplicates(["__id"]), "copies")
-    rows = docs.join(dealt, docs[id_col].eqNullSafe(dealt["__id"])).withColumn("__copy", F.explode("__copies"))
-    rows = rows.repartitionById(shards, F.col("__copy.shard")).sortWithinPartitions("__copy.shard", "__copy.position", "__copy.epoch")
+    dealt = stage_table(dealt.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("copies").alias(many)).dropDuplicates([i, s]), "copies")
+    rows = docs.join(dealt, docs[id_col].eqNullSafe(dealt[i]) & docs[source_col].eqNullSafe(dealt[s])).withColumn(one, F.explode(many))
+    rows = rows.repartitionById(shards, F.col(f"{one}.shard")).sortWithinPartitions(f"{one}.shard", f"{one}.position", f"{one}.epoch")
     return rows.select(*[docs[c] for c in docs.columns])
