@@ -89,11 +89,45 @@ def test_exact_dedup_nulls_and_repeats(spark):
     assert sorted(map(tuple, keep_exact(df).collect()), key=str) == sorted([(4, "t"), (None, "u"), (8, "")], key=str)
 
 
+def test_exact_dedup_of_hot_groups(docs, rows):
+    got = sorted(map(tuple, exact_dedup(docs, most=1).collect()))
+    assert got == sorted(map(tuple, exact_dedup(docs).collect()))
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "source", "digest", "keep", "__d", "copies", "copy", "id", "of", "__id", "__digest"]
+    df = spark.createDataFrame([(i, f"t{i % 3} x y", "s", *"abcdefghi") for i in range(6)], f"doc_id long, {', '.join(n + ' string' for n in names[1:])}")
+    for f in (keep_exact, mixing.mixed, near_dedup.keep_representatives):
+        out = f(df)
+        assert out.columns == names and out.count() == (6 if f is mixing.mixed else 3), f
+        assert {tuple(r)[3:] for r in out.collect()} == {tuple("abcdefghi")}
+    assert exact_dedup(df).count() == 6
+
+
+def test_shared_folder_must_be_named():
+    from types import SimpleNamespace
+
+    from tessera.llm import store
+
+    conf = SimpleNamespace(get=lambda k, d=None: d, set=lambda k, v: None)
+    for master, ok in (("local[4]", True), ("local", True), ("local[*]", True), ("local-cluster[3,2,900]", False), ("yarn", False)):
+        spark = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if ok:
+            assert store.shared_dir(spark).startswith("file:///")
+        else:
+            with pytest.raises(ValueError, match="checkpoint.dir"):
+                store.shared_dir(spark)
+
+
 # Near dedup
 
 
 def brute_components(rows, n, percent=80):
-    sets = {r[0]: near_dedup.shingles(r[1], n) for r in rows}
+    def grams(t):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
+
+    sets = {r[0]: grams(r[1]) for r in rows}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -141,21 +175,39 @@ def test_near_duplicates_chain_and_family(spark, empty):
     assert sorted(map(tuple, near_dedup.near_duplicates(odd, n=2).collect()), key=str) == sorted([(None, 2, None, True), (5, 2, 5, True), (5, 2, 5, True), (None, 0, None, True)], key=str)
 
 
+OPEN = "k int, v long, rep long, comp long, main long, others long, mains long, n long, sig array<long>"
+
+
 @pytest.mark.parametrize("most", [3, 10_000])
-def test_candidates_span_batches(spark, most):
+@pytest.mark.parametrize("size", [1, 2, 4, 1000])
+def test_candidates_span_batches(spark, most, size):
     # One bucket of two main rows and nine others, whose larger ids come first: every pair of components, however batches cut it.
     sig = list(range(near_dedup.CHUNKS))
-    rows = [(0, 7, i, 1 if i < 3 else i, 1, 10, sig) for i in range(11, 0, -1)]
-    df = spark.createDataFrame(rows, "k int, v long, rep long, comp long, main long, n long, sig array<long>").coalesce(1)
+    rows = [(0, 7, i, 1 if i < 3 else i, 1, 9, 2, 10, sig) for i in range(11, 0, -1)]
+    df = spark.createDataFrame(rows, OPEN).coalesce(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
     try:
-        got = near_dedup.candidates(df, 80, 1).collect()
+        got = near_dedup.candidates(df, 80, 1, size).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     pairs = sorted(tuple(sorted((r["y"], int(x)))) for r in got for part in r["xs"] for x in np.frombuffer(part, "<i8"))
     assert pairs == [(i, j) for i in range(1, 12) for j in range(i + 1, 12) if j > 2]
 
 
+def test_one_bucket_of_many_unlike_classes(spark):
+    # 20,000 classes in one bucket, none like another but for 50 pairs: found, and no cell is large.
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 62, (20_000, near_dedup.CHUNKS))
+    sig[:, 0] = 77
+    sig[10_050:10_100] = sig[50:100]
+    rows = [(0, 7, i, i, 0, 19_999, 1, 10, s) for i, s in enumerate(sig.tolist())]
+    df = spark.createDataFrame(rows, OPEN)
+    per = near_dedup.cells(df, 1000).groupBy("i", "j").count().collect()
+    assert len(per) == 20 * 21 // 2 + 20 and max(r["count"] for r in per) < 2400
+    got = near_dedup.candidates(df, 80, 1).collect()
+    assert sorted((r["y"], int(x)) for r in got for part in r["xs"] for x in np.frombuffer(part, "<i8")) == [(i + 10_000, i) for i in range(50, 100)]
+
+
 @pytest.mark.parametrize("share", [10_000, 7])
 def test_components(spark, share):
     r = random.Random(8)
@@ -213,8 +265,9 @@ def brute_bytes(rows, n=100):
 
 
 def test_substring_dedup(docs, rows, empty):
-    got = {r[0]: tuple(r[1:]) for r in substring_dedup.remove_repeats(docs).collect()}
-    assert got == brute_words(rows) and any(v[1] for v in got.values())
+    for how in ({}, {"hot_seeds": 3}):
+        got = {r[0]: tuple(r[1:]) for r in substring_dedup.remove_repeats(docs, **how).collect()}
+        assert got == brute_words(rows) and any(v[1] for v in got.values())
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
@@ -232,7 +285,7 @@ def test_repeats_with_null_and_repeated_ids(spark):
     assert gone[9] == len(t) and gone[2] < len(t)
 
 
-@pytest.mark.parametrize("how", [{"hot_rows": 3}, {"task_suffixes": 900, "batch_suffixes": 150}])
+@pytest.mark.parametrize("how", [{"hot_rows": 3, "hot_entries": 3}, {"task_suffixes": 900, "batch_suffixes": 150}])
 def test_suffix_dedup_split(docs, rows, how):
     # Hot anchors split over tasks; many batches and levels.
     got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup.remove_repeats(docs, **how).collect()}
@@ -446,6 +499,49 @@ def test_token_files(spark, docs, rows, empty, library):
     assert [tuple(r) for r in token_files.token_files(odd).orderBy("start").select("doc_id", "n_tokens").collect()] == [(None, 2), (-2, 1), (3, 3), (3, 3)]
 
 
+def test_token_files_of_long_documents(spark, library):
+    # Blocks end by bytes, offsets pass 2^32 bits, files are as many as asked for, and even.
+    r = random.Random(6)
+    data = [(i, " ".join(r.choice(WORDS) for _ in range(30 if i % 50 else 20_000))) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x for x in token_files.token_files(df, file_ids=2000, block_bytes=3000, max_files=20).collect()}
+    at = 0
+    for i, t in data:
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], bytes(got[i]["ids"])) == (at, len(ids), ids.tobytes())
+        at += len(ids)
+    lengths = token_files.code_lengths(np.array([3, 2, 1]))
+    bits, marks = token_files.pack(np.array([0, 1, 2, 0], np.uint32), np.array([3, 1]), lengths, token_files.codes(lengths))
+
+    class Sink(token_files._Writer):
+        def __init__(self):
+            self.n, self.at, self.places, self.data = 0, 0, [], []
+
+        def put(self, data):
+            self.data.append(bytes(data))
+
+    class Huge(bytes):
+        def __len__(self):
+            return 1 << 30  # as if the first document had 8 * 2^30 bits
+
+    import pyarrow as pa
+
+    class Batch:
+        def column(self, k):
+            return [pa.array([1, 2]), pa.array([3, 1]), None, pa.array(marks)][k] if k != 2 else type("C", (), {"to_pylist": lambda self: [Huge(bits[0]), bits[1]]})()
+
+    sink = Sink()
+    sink.block(Batch())
+    assert np.frombuffer(sink.data[2][16:], "<u8").tolist() == [0, 1 << 33]
+
+
+def test_token_files_are_even(spark):
+    df = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    path = token_files.new_path(spark, "even")
+    sizes = [n for _, n in token_files.write_files(df, path, file_ids=800)]
+    assert 290 < len(sizes) <= 300 and max(sizes) < 3 * 800 and sum(sizes) == 240_000
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2000), min_size=1, max_size=300), st.integers(9, 20))
 def test_huffman(counts, limit):
@@ -462,9 +558,9 @@ def test_huffman(counts, limit):
     bits, marks = token_files.pack(ids, sizes, lengths, token_files.codes(lengths))
     table, at = token_files.Table(lengths), 0
     for b, m, n in zip(bits, marks, sizes):
-        starts = np.frombuffer(m, "<u4")
+        starts = np.frombuffer(m, "<u8")
         parts = np.array([min(256, n - 256 * k) for k in range(len(starts))])
-        assert (table.decode(b, starts, parts) == ids[at : at + n]).all()
+        assert (table.decode(b, starts, parts) == ids[at : at + n]).all() and (table.decode(b, starts, parts, 50) == ids[at : at + n]).all()
         at += n
 
 
