@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.operators import bias, binning, correlate, megabins, outliers
 from tessera.operators.insert_size import correct_insert_sizes, insert_size_factors
 from tessera.sources import tables as S
+from tessera.sources.stage import stage_table
 
 WIDTH = S.BIN
 MEGA, STRIDE = 48 * WIDTH, 288
@@ -24,28 +25,30 @@ def aligned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clipped(spark: SparkSession, d: str) -> DataFrame:
-    bins = aligned(spark, d)
+    """Bins are written once: thresholds come from them, and so does what they clip."""
+    bins = stage_table(aligned(spark, d), "aligned")
     return outliers.clip(bins, outliers.thresholds(outliers.zip_stats(bins)))
 
 
 def gc_corrected(spark: SparkSession, d: str) -> DataFrame:
-    bins = clipped(spark, d)
-    return bias.apply_factors(bins, bias.gc_factors(bins, GC_EDGES), "gc", "cov_clip", GC_EDGES, "cov_gc")
+    """Clipped bins are written once, read for the factors and for what they correct; corrected ones too."""
+    bins = stage_table(clipped(spark, d), "clipped")
+    return stage_table(bias.apply_factors(bins, bias.gc_factors(bins, GC_EDGES), "gc", "cov_clip", GC_EDGES, "cov_gc"), "corrected")
 
 
 def insert_size_corrected(spark: SparkSession, d: str) -> DataFrame:
     bins = gc_corrected(spark, d)
-    return correct_insert_sizes(bins, insert_size_factors(bins, LENGTH_EDGES), LENGTH_EDGES)
+    return stage_table(correct_insert_sizes(bins, insert_size_factors(bins, LENGTH_EDGES), LENGTH_EDGES), "corrected")
 
 
 def normalized(spark: SparkSession, d: str, insert_sizes: bool = False) -> DataFrame:
     bins, col = (insert_size_corrected(spark, d), "cov_is") if insert_sizes else (gc_corrected(spark, d), "cov_gc")
-    return megabins.normalize(bins, WIDTH, MEGA, STRIDE, col)
+    return stage_table(megabins.normalize(bins, WIDTH, MEGA, STRIDE, col), "normalized")
 
 
 def sums(spark: SparkSession, d: str, bins: DataFrame, col: str, keep_consensus: bool = False) -> DataFrame:
     """The six sums for every mask, after the consensus bins have gone."""
-    man = S.manifest(spark, d)
+    man = stage_table(S.manifest(spark, d), "manifest")
     rows = bins.select("chrom", "idx", col)
     none = S.consensus(spark, d)
     if keep_consensus:
@@ -56,9 +59,11 @@ def sums(spark: SparkSession, d: str, bins: DataFrame, col: str, keep_consensus:
 
 def features(spark: SparkSession, d: str, p_values: bool = True, keep_consensus: bool = False) -> DataFrame:
     """Slice: plain coverage against masks, no corrections."""
-    return correlate.features(sums(spark, d, aligned(spark, d), "cov", keep_consensus), p_values)
+    bins = stage_table(aligned(spark, d), "aligned")
+    return correlate.features(sums(spark, d, bins, "cov", keep_consensus), p_values)
 
 
 def flagship(spark: SparkSession, d: str, p_values: bool = False, insert_sizes: bool = False) -> DataFrame:
-    """Reads, coverage, clipping, GC correction, megabins, consensus, correlation: one lazy plan."""
+    """Reads, coverage, clipping, GC correction, megabins, consensus, correlation; bins are written after each
+    step that is read more than once."""
     return correlate.features(sums(spark, d, normalized(spark, d, insert_sizes), "cov_norm"), p_values)

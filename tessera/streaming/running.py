@@ -1,11 +1,11 @@
-"""Running sums over streams: states that merge by adding, in update mode."""
+"""Running sums over streams: states that merge by adding."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.operators.correlate import dense_sums
+from tessera.sources.stage import new_path
 
 
 def running_sums(stream: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -13,15 +13,17 @@ def running_sums(stream: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return dense_sums(stream, by, x, y)
 
 
-def running_counts(stream: DataFrame, by: list[str], col: str) -> DataFrame:
-    """(by, n, total, nonzero) so far: what a zero-inflated count model is fitted to."""
-    v = F.coalesce(F.col(col), F.lit(0.0))
-    return stream.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total"), F.count_if(v != 0).alias("nonzero"))
+def run_to_end(result: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream of sums over what is there now, in complete mode; the last state of each key. States are
+    kept in *checkpoint* (a fresh place of the shared folder), and each batch's table is written there by
+    the executors; nothing comes to the driver."""
+    spark = result.sparkSession
+    out = new_path(spark, name)
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
 
-def run_to_end(result: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Run a stream of sums over what is there now; the last state of each key."""
-    q = result.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    q = (q.option("checkpointLocation", checkpoint) if checkpoint else q).start()
+    q = result.writeStream.outputMode("complete").foreachBatch(write).trigger(availableNow=True)
+    q = q.option("checkpointLocation", checkpoint or new_path(spark, f"{name}-state")).start()
     q.awaitTermination()
-    return result.sparkSession.table(name)
+    return spark.read.schema(result.schema).parquet(out)
