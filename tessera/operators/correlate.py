@@ -101,11 +101,12 @@ def standardize(feats: DataFrame, col: str = "pearson_r") -> tuple[DataFrame, Da
 
 
 def zscore(rows: DataFrame, col: str, by: str = "chrom") -> DataFrame:
-    """Values less their mean over their population deviation, by chromosome; centred only if that is 0."""
-    w = Window.partitionBy(by)
-    sd = F.stddev_pop(col).over(w)
-    centred = F.col(col) - F.avg(col).over(w)
-    return rows.withColumn(col, F.when(sd > 0, centred / sd).otherwise(centred))
+    """Values less their mean over their population deviation, by chromosome; centred only if that is 0. A row
+    a chromosome is broadcast."""
+    per = rows.groupBy(by).agg(F.avg(col).alias("__mean"), F.stddev_pop(col).alias("__sd"))
+    centred = F.col(col) - F.col("__mean")
+    out = rows.join(F.broadcast(per), by)
+    return out.withColumn(col, F.when(F.col("__sd") > 0, centred / F.col("__sd")).otherwise(centred)).select(*rows.columns)
 
 
 def long_form(feats: DataFrame) -> DataFrame:

@@ -13,12 +13,16 @@ from pyspark.sql.window import Window
 TINY = 1e-10
 
 
+def with_ends(bins: DataFrame, width: int) -> DataFrame:
+    """*bins* with their start and their chromosome's first and last start; a row a chromosome is broadcast."""
+    rows = bins.withColumn("start", F.col("idx") * width)
+    return rows.join(F.broadcast(rows.groupBy("chrom").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))), "chrom")
+
+
 def tilings(bins: DataFrame, width: int, size: int, stride: int, col: str) -> DataFrame:
     """Every bin once for each tiling, with its megabin: the definition itself, and what quantiles need."""
     k = -(-size // stride)
-    span = Window.partitionBy("chrom")
-    rows = bins.withColumn("start", F.col("idx") * width)
-    rows = rows.withColumn("lo", F.min("start").over(span)).withColumn("hi", F.max("start").over(span))
+    rows = with_ends(bins, width)
     rows = rows.withColumn("tiling", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     first = F.col("lo") - F.when(F.col("tiling") > 0, size - stride * F.col("tiling")).otherwise(0)
     last = F.ceil((F.col("hi") - first) / size).cast("long") - 1
@@ -33,11 +37,10 @@ def _block_means(bins: DataFrame, width: int, size: int, stride: int, col: str)
     coordinate is on a tiling's edge (the span is a multiple of the stride), its row joins the megabin
     before that edge: its sums are added to megabin L - K, and block L reads that one instead of L."""
     k = size // stride
-    span = Window.partitionBy("chrom")
-    rows = bins.withColumn("start", F.col("idx") * width).withColumn("lo", F.min("start").over(span))
-    rows = rows.withColumn("b", F.expr(f"(start - lo) div {stride}"))
-    blocks = rows.groupBy("chrom", "b").agg(F.sum(col).alias("s"), F.count(col).alias("n"))
-    ends = rows.groupBy("chrom").agg(F.max("b").alias("last"), F.max(F.col("start") - F.col("lo")).alias("span"))
+    rows = with_ends(bins, width).withColumn("b", F.expr(f"(start - lo) div {stride}"))
+    blocks = rows.groupBy("chrom", "b").agg(F.sum(col).alias("s"), F.count(col).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    ends = blocks.groupBy("chrom").agg(F.max("b").alias("last"), F.max(F.col("hi") - F.col("lo")).alias("span"))
+    blocks = blocks.drop("lo", "hi")
     spine = ends.select("chrom", F.explode(F.sequence(F.lit(1 - k), F.col("last"))).alias("b"), "last", ((F.col("span") > 0) & (F.col("span") % stride == 0)).alias("edge"))
     dense = spine.join(blocks, ["chrom", "b"], "left")
     order = Window.partitionBy("chrom").orderBy("b")
@@ -65,7 +68,7 @@ def _mean(xs):
 def tile_means(bins: DataFrame, width: int, size: int, stride: int, col: str = "cov", clip_above: float | None = None) -> DataFrame:
     """*bins* with ``means``, the array of their megabins' means over the tilings."""
     if clip_above is None and size % stride == 0:
-        rows = bins.withColumn("b", F.expr(f"(idx * {width} - min(idx * {width}) over (partition by chrom)) div {stride}"))
+        rows = with_ends(bins, width).withColumn("b", F.expr(f"(start - lo) div {stride}")).drop("start", "lo", "hi")
         return rows.join(_block_means(bins, width, size, stride, col), ["chrom", "b"]).drop("b")
     rows = tilings(bins, width, size, stride, col)
     if clip_above is not None:
