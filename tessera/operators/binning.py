@@ -53,12 +53,23 @@ def mean_lengths(reads: DataFrame, width: int, **limits) -> DataFrame:
     return agg.select("chrom", "idx", F.try_divide(F.col("num"), F.nullif(F.col("den"), F.lit(0.0))).alias("mean_len"))
 
 
+def length_totals(reads: DataFrame, width: int, **limits) -> DataFrame:
+    """(chrom, idx, total): sums of fragment lengths weighted by the share of the bin they cover."""
+    return touched_bins(fragments(reads, **limits), width).groupBy("chrom", "idx").agg(F.sum(F.col("frag_len") * F.col("share")).alias("total"))
+
+
 def start_lengths(reads: DataFrame, width: int, **limits) -> DataFrame:
     """(chrom, idx, mean_len, median_len) of fragments that start in a bin."""
     rows = fragments(reads, **limits).withColumn("idx", F.expr(f"start div {width}"))
     return rows.groupBy("chrom", "idx").agg(F.avg("frag_len").alias("mean_len"), F.median("frag_len").alias("median_len"))
 
 
+def guarded_means(bins: DataFrame, total: str, cov: str, out: str = "mean_len", digits: int = 7) -> DataFrame:
+    """Adds *out*: the *total* of lengths over the coverage, where that is above 0; elsewhere the total itself."""
+    v = F.when(F.col(cov) > 0, F.col(total) / F.col(cov)).otherwise(F.col(total))
+    return bins.withColumn(out, rint_to(v, digits))
+
+
 def summary(rows: DataFrame, col: str, by: list[str]) -> DataFrame:
     """Mean, population deviation and median."""
     return rows.groupBy(*by).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.median(col).alias("median"))
@@ -71,9 +82,10 @@ def gc_fraction(seq: Column) -> Column:
 
 
 def gc_per_bin(seqs: DataFrame, key: str, seq: str, width: int) -> DataFrame:
-    """(key, idx, gc): GC of each *width* letters; the last bin may be shorter."""
-    n = F.greatest(F.lit(0).cast("long"), F.ceil(F.length(seq) / width).cast("long") - 1)
-    rows = seqs.filter(F.length(seq) > 0).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), n)))
+    """(key, idx, gc): GC of each *width* letters. There are ``length // width + 1`` bins: the last may be shorter,
+    and has no letters and 0 where the length is a multiple of the width. A null sequence has none."""
+    n = F.expr(f"length({seq}) div {width}")
+    rows = seqs.filter(F.col(seq).isNotNull()).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long"))))
     part = F.substring(F.col(seq), (F.col("idx") * width + 1).cast("int"), F.lit(width))
     return rows.select(key, "idx", gc_fraction(part).alias("gc"))
 
@@ -84,10 +96,26 @@ def rebin_mean(bins: DataFrame, col: str, factor: int = 10) -> DataFrame:
     return rows.groupBy("chrom", "idx").agg(F.avg(col).alias(col))
 
 
-def rebin_positional(bins: DataFrame, col: str, by: list[str], factor: int = 10) -> DataFrame:
-    """Sum of every *factor* rows that are there, in order of idx (rows, not numbers, are counted)."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy("idx")) - 1
-    rows = bins.withColumn("grp", F.floor(n / factor).cast("long"))
+def at_bin_size(bins: DataFrame, col: str, size: int, width: int = 10) -> DataFrame:
+    """Bins of *width* as they are, or the means of ten of them; other sizes are an error."""
+    if size == width:
+        return bins.select("chrom", "idx", col)
+    if size == 10 * width:
+        return rebin_mean(bins, col)
+    raise ValueError(f"bins of {size} from bins of {width}: only {width} and {10 * width} can be had")
+
+
+def rebin_positional(bins: DataFrame, col: str, by: list[str], factor: int = 10, block: int = 100_000) -> DataFrame:
+    """Sum of every *factor* rows that are there, in order of idx (rows, not numbers, are counted).
+
+    Rows are counted by blocks of *block* bins; a row's rank is its rank in its block plus the rows of the
+    blocks before, so only the counts of blocks pass through a window over a whole key."""
+    rows = bins.withColumn("__block", F.expr(f"idx div {block}"))
+    counts = rows.groupBy(*by, "__block").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*by, "__block", F.coalesce(before, F.lit(0)).alias("__before"))
+    n = F.row_number().over(Window.partitionBy(*by, "__block").orderBy("idx")) - 1 + F.col("__before")
+    rows = rows.join(counts, [*by, "__block"]).withColumn("grp", F.floor(n / factor).cast("long"))
     return rows.groupBy(*by, "grp").agg(F.sum(col).alias(col))
 
 

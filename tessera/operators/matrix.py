@@ -10,15 +10,23 @@ from tessera.functions.numeric import rint_to
 from tessera.operators.correlate import STATS
 
 
-def wide_form(long: DataFrame, missing: float | None = None) -> DataFrame:
-    """(mask_type, cell_type, ten statistics) of (feature, value). Keys that don't parse are an error;
-    missing statistics are NULL, or *missing*."""
-    parts = F.split("feature", "::", 2)
-    stat = F.regexp_extract(parts[0], "^(" + "|".join(STATS) + ")_(.*)$", 1)
-    kind = F.regexp_extract(parts[0], "^(" + "|".join(STATS) + ")_(.*)$", 2)
+def wide_form(long: DataFrame, missing: float | None = None, default: str = "DNase") -> DataFrame:
+    """(mask_type, cell_type, ten statistics) of (feature, value).
+
+    A key is stat_masktype::celltype, or stat_celltype for the mask type *default*; where both are there, the
+    first form counts. Keys of no statistic are an error; missing statistics are NULL, or *missing*."""
+    form = "^(" + "|".join(STATS) + ")_(.*)$"
+    stat, rest = F.regexp_extract("feature", form, 1), F.regexp_extract("feature", form, 2)
     bad = F.raise_error(F.concat(F.lit("no feature: "), "feature"))
-    rows = long.select(F.when(stat != "", stat).otherwise(bad).alias("stat"), kind.alias("mask_type"), parts[1].alias("cell_type"), "value")
-    out = rows.groupBy("mask_type", "cell_type").pivot("stat", STATS).agg(F.first("value"))
+    plain = ~F.contains(rest, F.lit("::"))
+    rows = long.select(
+        F.when(stat != "", stat).otherwise(bad).alias("stat"),
+        F.when(plain, F.lit(default)).otherwise(F.split_part(rest, F.lit("::"), F.lit(1))).alias("mask_type"),
+        F.when(plain, rest).otherwise(F.regexp_replace(rest, "^.*?::", "")).alias("cell_type"),
+        plain.alias("plain"),
+        "value",
+    )
+    out = rows.groupBy("mask_type", "cell_type").pivot("stat", STATS).agg(F.min_by("value", "plain"))
     return out if missing is None else out.fillna(missing, STATS)
 
 

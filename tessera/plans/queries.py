@@ -12,6 +12,7 @@ from tessera.operators import bias, binning, correlate, evaluate, matrix, megabi
 from tessera.operators import insert_size as isize
 from tessera.plans import pipeline as P
 from tessera.plans.oracle import GC, LENGTHS, bucket, clamped, curve, r, smoothed, sql, sums_of, tiles
+from tessera.sources import files
 from tessera.sources import tables as S
 from tessera.streaming import running
 
@@ -71,6 +72,18 @@ def q_mean_fraglen_overlap(spark, d):
     return rounded(binning.mean_lengths(S.reads(spark, d), W), "mean_len")
 
 
+@query(
+    sql(
+        f"SELECT d.chrom, d.idx, {r('CASE WHEN d.cov > 0 THEN coalesce(t.total, 0.0) / d.cov ELSE coalesce(t.total, 0.0) END', 7)} AS mean_len FROM dense d LEFT JOIN totals t USING (chrom, idx)",
+        totals="SELECT chrom, idx, sum(len * share) AS total FROM ftouch GROUP BY ALL",
+    )
+)
+def q_mean_fraglen_guarded(spark, d):
+    bins = binning.on_spine(S.spine(spark, d), binning.coverage(S.reads(spark, d), W))
+    total = binning.length_totals(S.reads(spark, d), W).withColumnRenamed("total", "value")
+    return binning.guarded_means(files.gather(bins, total, "total"), "total", "cov").select("chrom", "idx", "mean_len")
+
+
 @query(sql(f"SELECT chrom, s // 60 AS idx, {r('avg(len)')} AS mean_len, {r('median(len)')} AS median_len FROM frags GROUP BY ALL"))
 def q_fraglen_start_mean_median(spark, d):
     return rounded(binning.start_lengths(S.reads(spark, d), W), "mean_len", "median_len")
@@ -93,8 +106,8 @@ def q_gc_string_fraction(spark, d):
 
 
 @query(
-    f"""WITH p AS (SELECT doc_id, i AS idx, substring(text, (i * 100 + 1)::INT, 100) AS t FROM documents, generate_series(0, greatest(0, ceil(len(text) / 100)::INT - 1)) AS g(i) WHERE len(text) > 0)
-    SELECT doc_id, idx::BIGINT AS idx, {r("len(regexp_replace(t, '[^GCgc]', '', 'g')) / len(t)")} AS gc FROM p"""
+    f"""WITH p AS (SELECT doc_id, i AS idx, substring(text, (i * 100 + 1)::INT, 100) AS t FROM documents, generate_series(0, len(text) // 100) AS g(i) WHERE text IS NOT NULL)
+    SELECT doc_id, idx::BIGINT AS idx, {r("coalesce(len(regexp_replace(t, '[^GCgc]', '', 'g')) / nullif(len(t), 0), 0.0)")} AS gc FROM p"""
 )
 def q_gc_per_bin(spark, d):
     return rounded(binning.gc_per_bin(S.table(spark, d, "documents"), "doc_id", "text", 100), "gc")
@@ -534,7 +547,7 @@ def q_variance_threshold(spark, d):
 
 @query(sql("SELECT held, count(*) FILTER (dataset <> held) AS n_train, count(*) FILTER (dataset = held) AS n_test, sum(y) FILTER (dataset = held)::BIGINT AS positives FROM (SELECT DISTINCT sample_id, dataset, y FROM flat) CROSS JOIN (SELECT DISTINCT dataset AS held FROM flat) GROUP BY held", **_COHORT))
 def q_lodo_folds(spark, d):
-    rows = S.cohort(spark, d).drop("features")
+    rows = S.cohort(spark, d).filter(F.col("dataset").isin(model.folds(S.cohort(spark, d)))).drop("features")
     per = rows.groupBy(F.col("dataset").alias("held")).agg(F.count(F.lit(1)).alias("n_test"), F.sum(F.col("y").cast("long")).alias("positives"))
     total = rows.agg(F.count(F.lit(1)).alias("all"))
     return per.join(F.broadcast(total)).select("held", (F.col("all") - F.col("n_test")).alias("n_train"), "n_test", "positives")
