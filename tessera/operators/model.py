@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VarianceThresholdSelector, VectorSlicer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VarianceThresholdSelector, VarianceThresholdSelectorModel, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluate
@@ -29,23 +29,29 @@ def row_scale(rows: DataFrame, col: str = "features") -> DataFrame:
     return rows.withColumn(col, F.zip_with(off, F.array_repeat(F.when(sd > 0, sd).otherwise(1.0), n), lambda v, s: v / s))
 
 
-def column_stats(rows: DataFrame, col: str = "features") -> DataFrame:
-    """(pos, mean, std) of every feature, population deviation."""
-    flat = rows.select(F.posexplode(col).alias("pos", "v"))
-    return flat.groupBy("pos").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+def varying(rows: DataFrame):
+    """Fitted selector, raw to kept, of the features that vary."""
+    return VarianceThresholdSelector(featuresCol="raw", outputCol="kept", varianceThreshold=0.0).fit(rows)
 
 
 def kept_features(rows: DataFrame, col: str = "features") -> DataFrame:
-    """Positions whose values vary."""
-    return rows.select(F.posexplode(col).alias("pos", "v")).groupBy("pos").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).filter("lo <> hi").select("pos")
+    """Positions whose values vary, as :func:`train` keeps them."""
+    found = varying(rows.withColumn("raw", array_to_vector(col))).selectedFeatures
+    return rows.sparkSession.createDataFrame([(int(i),) for i in found], "pos int")
+
+
+def scaler(inputs: str, outputs: str, n: int, width: int) -> list:
+    """Steps that centre columns and divide them by their population deviation (StandardScaler has the sample's)."""
+    scale = StandardScaler(inputCol=inputs, outputCol=f"{outputs}_sample", withMean=True, withStd=True)
+    return [scale, ElementwiseProduct(inputCol=f"{outputs}_sample", outputCol=outputs, scalingVec=Vectors.dense([(n / max(1, n - 1)) ** 0.5] * width))]
 
 
 def column_scale(rows: DataFrame, key: str, col: str = "features") -> DataFrame:
-    """(key, pos, value): features less their mean over their population deviation."""
-    flat = rows.select(key, F.posexplode(col).alias("pos", "v"))
-    s = F.broadcast(column_stats(rows, col))
-    centred = F.col("v") - F.col("mean")
-    return flat.join(s, "pos").select(key, "pos", F.when(F.col("std") > 0, centred / F.col("std")).otherwise(centred).alias("value"))
+    """(key, pos, value): features less their mean over their population deviation, as :func:`train` scales them."""
+    rows = rows.withColumn("raw", array_to_vector(col))
+    first = rows.select(F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("w")).head()
+    out = Pipeline(stages=scaler("raw", "scaled", int(first["n"]), int(first["w"] or 0))).fit(rows).transform(rows)
+    return out.select(key, F.posexplode(vector_to_array("scaled")).alias("pos", "value"))
 
 
 @dataclass
@@ -72,6 +78,18 @@ class CohortModel:
     def coefficients(self) -> list[float]:
         return [float(x) for x in self.classifier.coefficients]
 
+    def save(self, path: str) -> None:
+        """Write the fitted steps and the parameters below *path*."""
+        for name in ("select", "steps", "classifier"):
+            getattr(self, name).write().overwrite().save(f"{path}/{name}")
+        SparkSession.active().createDataFrame([(float(self.variance), float(self.strength), int(self.components))], "variance double, strength double, components int").coalesce(1).write.mode("overwrite").json(f"{path}/parameters")
+
+    @classmethod
+    def load(cls, path: str) -> CohortModel:
+        p = SparkSession.active().read.schema("variance double, strength double, components int").json(f"{path}/parameters").head()
+        steps = VarianceThresholdSelectorModel.load(f"{path}/select"), PipelineModel.load(f"{path}/steps"), LogisticRegressionModel.load(f"{path}/classifier")
+        return cls(*steps, p["variance"], p["strength"], p["components"])
+
     def summary(self) -> dict[str, float]:
         c = self.coefficients()
         return {"nonzero": sum(x != 0 for x in c), "min": min(c), "max": max(c), "intercept": float(self.classifier.intercept)}
@@ -81,13 +99,13 @@ def train_grid(rows: DataFrame, points: list[tuple[float, float]], group: str |
     """A model for each of *points* (variance, C), as :func:`train` has it. What comes before the components
     is fitted once, and points that keep equally many components share their fit."""
     rows = rows.withColumn("raw", array_to_vector("features"))
-    select = VarianceThresholdSelector(featuresCol="raw", outputCol="kept", varianceThreshold=0.0).fit(rows)
+    select = varying(rows)
     v = row_scale(select.transform(rows).withColumn("features", vector_to_array("kept"))).withColumn("scaled_rows", array_to_vector("features"))
     v = evaluate.balanced_weights(v, group) if group else v.withColumn("weight", F.lit(1.0))
     v = v.cache()
     try:
         n, width = v.count(), len(select.selectedFeatures)
-        columns = StandardScaler(inputCol="scaled_rows", outputCol="scaled", withMean=True, withStd=True).fit(v)
+        columns = Pipeline(stages=scaler("scaled_rows", "scaled", n, width)).fit(v)
         pca = PCA(k=min(width, max(1, n - 1)), inputCol="scaled", outputCol="all_components").fit(columns.transform(v))
         shares = [float(x) for x in pca.explainedVariance]
 
@@ -102,10 +120,7 @@ def train_grid(rows: DataFrame, points: list[tuple[float, float]], group: str |
         fits = {}
         for k in sorted({needed(p) for p, _ in points}):
             slicer = VectorSlicer(inputCol="all_components", outputCol="components", indices=list(range(k)))
-            scale = StandardScaler(inputCol="components", outputCol="unit", withMean=True, withStd=True)
-            # StandardScaler divides by the sample deviation.
-            fix = ElementwiseProduct(inputCol="unit", outputCol="x", scalingVec=Vectors.dense([(n / max(1, n - 1)) ** 0.5] * k))
-            steps = Pipeline(stages=[columns, pca, slicer, scale, fix]).fit(v)
+            steps = Pipeline(stages=[columns, pca, slicer, *scaler("components", "x", n, k)]).fit(v)
             x = steps.transform(v).select("x", "y", "weight").cache()
             try:
                 for c in sorted({c for p, c in points if needed(p) == k}):
@@ -167,6 +182,11 @@ def train_final(rows: DataFrame, variances: list[float] = VARIANCES, strengths:
     return train(rows, best["variance"], best["C"], group)
 
 
+def write_results(scores: DataFrame, path: str, group: str = "dataset") -> None:
+    """One CSV of the AUC and the number of samples of each held-out dataset: a row a dataset."""
+    evaluate.auc(scores, [group]).orderBy(group).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def leave_one_out(rows: DataFrame, variances: list[float] = VARIANCES, strengths: list[float] = STRENGTHS, group: str = "dataset", never_held: tuple[str, ...] = ()) -> DataFrame:
     """(sample_id, dataset, y, score, C, variance): every dataset scored by a model tuned and trained on the
     others. Those in *never_held* are trained on but not held out."""
