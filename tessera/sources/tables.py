@@ -27,15 +27,12 @@ def read_bins(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("idx").cast("long").alias("idx"), rint_to(no_nan(F.col("GC").cast("double")), 2).alias("gc"))
 
 
-def read_sparse(spark: SparkSession, path: str) -> DataFrame:
-    """Sparse vectors as (chrom, idx, value); absent rows are zeros."""
-    return spark.read.parquet(path).select("chrom", F.col("idx").cast("long").alias("idx"), no_nan(F.col("value").cast("double")).alias("value"))
-
-
-def read_reads(spark: SparkSession, path: str, chrom: str | None = None) -> DataFrame:
-    """Aligned reads; a chromosome is pushed into the scan."""
+def read_reads(spark: SparkSession, path: str, chrom: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Aligned reads (Parquet) of a chromosome that touch [start, end); all three reach the scan."""
     rows = spark.read.parquet(path)
-    return rows.filter(F.col("chrom") == chrom) if chrom else rows
+    rows = rows if chrom is None else rows.filter(F.col("chrom") == chrom)
+    rows = rows if end is None else rows.filter(F.col("start") < end)
+    return rows if start is None else rows.filter(F.col("end") > start)
 
 
 def read_cell_types(spark: SparkSession, path: str) -> DataFrame:

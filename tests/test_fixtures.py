@@ -259,6 +259,92 @@ def test_row_scale_and_model(spark):
     assert {r[0] for r in out.select("dataset").distinct().collect()} == {"ds0", "ds1"}
 
 
+def test_model_equals_its_definition(spark, tmp_path):
+    # Scaling, components and shares by NumPy; the coefficients by the conditions of an L1 optimum.
+    rng = np.random.default_rng(7)
+    raw = rng.normal(size=(90, 5)) @ rng.normal(size=(5, 5)) + 3
+    y, ds = (raw[:, 0] + rng.normal(size=90) > 3).astype(int), [f"ds{i % 3 if i < 70 else 0}" for i in range(90)]
+    df = spark.createDataFrame([(i, ds[i], int(y[i]), [*map(float, raw[i]), 4.0]) for i in range(90)], "sample_id long, dataset string, y int, features array<double>").coalesce(2)
+    m = model.train(df, 0.9, 0.5)
+    x = raw - raw.mean(1, keepdims=True)
+    x = x / raw.std(1, keepdims=True)
+    x = (x - x.mean(0)) / x.std(0)
+    value, vector = np.linalg.eigh(np.cov(x.T))
+    order = np.argsort(-value)
+    share = np.cumsum(value[order]) / value.sum()
+    k = int((share < 0.9).sum()) + 1
+    assert m.components == k and m.select.selectedFeatures == [0, 1, 2, 3, 4]
+    z = x @ vector[:, order[:k]]
+    z = z / z.std(0)
+    got = np.array([r["x"].toArray() for r in m.prepare(df).orderBy("sample_id").collect()])
+    assert np.abs(got) == pytest.approx(np.abs(z), abs=1e-8)
+    w = np.array([r["weight"] for r in evaluate.balanced_weights(df, "dataset").orderBy("sample_id").collect()])
+    beta, bias_ = np.array(m.coefficients()), float(m.classifier.intercept)
+    p = 1 / (1 + np.exp(-(got @ beta + bias_)))
+    slope, limit = got.T @ (w * (y - p)), w.sum() / (0.5 * 90)
+    assert abs((w * (y - p)).sum()) < 0.05
+    for s, b in zip(slope, beta):
+        assert (s == pytest.approx(limit * np.sign(b), abs=0.05)) if b else abs(s) <= limit + 0.05
+    m.save(str(tmp_path / "model"))
+    again = model.CohortModel.load(str(tmp_path / "model"))
+    a, b = ([r["score"] for r in x.predict(df).orderBy("sample_id").collect()] for x in (m, again))
+    assert a == b and (again.variance, again.strength, again.components) == (0.9, 0.5, k)
+    model.write_results(m.predict(df), str(tmp_path / "results"))
+    assert {r["dataset"] for r in spark.read.option("header", True).csv(str(tmp_path / "results")).collect()} == set(ds)
+
+
+def test_mixture_equals_numeric_density():
+    # The mixture's curve against densities written out from the gamma function.
+    fit = Fit([0], [True], [1.0], [1], [100.0], [float(x) for x in range(100, 221, 10)])
+    from tessera.operators import insert_size as isz
+
+    def t(x, df, m, s):
+        c = math.gamma((df + 1) / 2) / (math.gamma(df / 2) * math.sqrt(df * math.pi) * s)
+        return c * (1 + ((x - m) / s) ** 2 / df) ** (-(df + 1) / 2)
+
+    steps = np.linspace(100, 220, 20_001)
+    scale, skew, mean, depths, shares = 1.7, -0.6, 163.0, np.array([1.0, 3.0]), np.array([0.6, 0.3])
+    mass = np.trapezoid([t(v, isz.DF, mean, isz.SIGMA * scale) for v in steps], steps)
+    total = np.zeros(len(fit.mid))
+    for d, share in zip(depths, shares):
+        s = isz.SIGMA * scale / math.sqrt(d)
+        pdf = np.array([t(v, isz.DF, mean, s) * (1 + math.erf(skew * (v - mean) / (s * math.sqrt(2)))) for v in fit.mid])
+        total += share * pdf / np.trapezoid(pdf, fit.mid) / (mass * s)
+    assert fit.mixture(depths, shares, scale, skew, mean) == pytest.approx(total / total.mean(), rel=1e-5)
+
+
+def test_gc_bins_past_the_end(spark):
+    df = spark.createDataFrame([("a", "GCAT"), ("b", "GCATG"), ("c", ""), ("d", None)], "k string, s string")
+    got = sorted(map(tuple, binning.gc_per_bin(df, "k", "s", 2).collect()))
+    assert got == [("a", 0, 1.0), ("a", 1, 0.0), ("a", 2, 0.0), ("b", 0, 1.0), ("b", 1, 0.0), ("b", 2, 1.0), ("c", 0, 0.0)]
+    bins = spark.createDataFrame([("c", i, i / 10) for i in range(20)], "chrom string, idx long, gc double")
+    assert binning.at_bin_size(bins, "gc", 10).count() == 20 and binning.at_bin_size(bins, "gc", 100).count() == 2
+    with pytest.raises(ValueError, match="bins of 50"):
+        binning.at_bin_size(bins, "gc", 50)
+
+
+def test_guarded_means(spark):
+    df = spark.createDataFrame([(300.0, 2.0), (5.0, 0.0), (0.0, 0.0), (1.0, 3.0)], "total double, cov double")
+    assert [r["mean_len"] for r in binning.guarded_means(df, "total", "cov").collect()] == [150.0, 5.0, 0.0, 0.3333333]
+
+
+def test_rebin_by_blocks(spark):
+    rows = [("c", i * i % 97 * 3, float(i)) for i in range(97)] + [("d", 5, 1.0)]
+    rows = list({(c, i): (c, i, v) for c, i, v in rows}.values())
+    df = spark.createDataFrame(rows, "chrom string, idx long, cov double")
+    want = sorted(map(tuple, binning.rebin_positional(df, "cov", ["chrom"]).collect()))
+    for block in (1, 7, 50):
+        assert sorted(map(tuple, binning.rebin_positional(df, "cov", ["chrom"], block=block).collect())) == want
+    mine = [v for c, i, v in sorted(rows) if c == "c"]
+    assert [v for c, g, v in want if c == "c"] == [sum(mine[k : k + 10]) for k in range(0, len(mine), 10)]
+
+
+def test_keys_without_mask_type(spark):
+    long = spark.createDataFrame([("x_sum_k1", 1.0), ("x_sum_DNase::k1", 2.0), ("y_sum_k1", 3.0), ("x_sum_ATAC::a::b", 4.0), ("n_k2", 5.0)], "feature string, value double")
+    got = {(r["mask_type"], r["cell_type"]): (r["x_sum"], r["y_sum"], r["n"]) for r in matrix.wide_form(long).collect()}
+    assert got == {("DNase", "k1"): (2.0, 3.0, None), ("ATAC", "a::b"): (4.0, None, None), ("DNase", "k2"): (None, None, 5.0)}
+
+
 def test_grid_shares_fits(spark):
     rng = np.random.default_rng(1)
     rows = [(i, f"ds{i % 3}", i % 2, [*map(float, rng.normal(size=4) + [2.0 * (i % 2), 0, 0, 0])]) for i in range(60)]
