@@ -167,6 +167,61 @@ def sample(docs: DataFrame, id_col: str, text_col: str, shape: Shape, symbols_of
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
 
 
+def sift(rows: DataFrame, shape: Shape, same_doc: bool, chunk: int = 200_000) -> DataFrame:
+    """Rows of kinds 1 and 2 from entries that :func:`split_hot` has dealt, anchor by anchor.
+
+    A context that an earlier document (with *same_doc*, an earlier place) has too repeats whole. Of the others those stay open (kind 2) whose left
+    or right half some other entry of their anchor shares; those that were salted, whose half many share, stay
+    open. Anchors come sorted, so a task holds *chunk* rows and one anchor's.
+    """
+
+    def flush(held):
+        anchor, context, halves, doc, at, salt = (np.concatenate(x) for x in zip(*held, strict=True))
+        o = np.lexsort((at, doc, context, anchor))
+        anchor, context, halves, doc, at, salt = (x[o] for x in (anchor, context, halves, doc, at, salt))
+        same = np.zeros(len(o), bool)
+        same[1:] = (context[1:] == context[:-1]) & (anchor[1:] == anchor[:-1])
+        first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+        late = same & ((doc != doc[first]) | ((at != at[first]) if same_doc else False))
+        gone = same if same_doc else late
+        if late.any():
+            yield ranges(doc[late], *unpack(at[late], shape.length))
+        anchor, halves, doc, at, salt = (x[~gone] for x in (anchor, halves, doc, at, salt))
+        flags = np.zeros(len(anchor), np.int64)
+        for bit, half in ((1, halves >> U(32)), (2, halves & U(0xFFFFFFFF))):
+            key = mix(anchor + half * U(0x9E3779B97F4A7C15))
+            by = np.argsort(key, kind="stable")
+            twice = np.zeros(len(key) + 1, bool)
+            twice[1:-1] = key[by][1:] == key[by][:-1]
+            flags[by[twice[:-1] | twice[1:]]] |= bit
+            flags[salt > 0] |= bit
+            flags[half == 0] &= ~bit
+        k = flags > 0
+        yield rows_of(2, anchor[k], flags[k], halves[k], doc[k], at[k])  # context: the flags
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            kind = b.column(0).to_numpy()
+            if (kind == 1).any():
+                yield b.filter(pa.array(kind == 1)).drop_columns(["salt"])
+            c = [b.column(k).to_numpy()[kind == 0] for k in range(1, 7)]
+            if not len(c[0]):
+                continue
+            new = (c[0].view(U), c[1].view(U), c[2].view(U), c[3], c[4], c[5].astype(np.int64))
+            if size >= chunk and (cut := int((new[0] != held[-1][0][-1]).argmax())) + int(new[0][0] != held[-1][0][-1]):
+                held.append(tuple(x[:cut] for x in new))
+                yield from flush(held)
+                new, held, size = tuple(x[cut:] for x in new), [], 0
+            held.append(new)
+            size += len(new[0])
+        if held:
+            yield from flush(held)
+
+    rows = rows.select("kind", "anchor", "context", "halves", "doc", "at", "salt")
+    return rows.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SCHEMA).select("kind", "doc", "at", "context")
+
+
 def windows(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, shape: Shape, symbols_of, same_doc: bool) -> DataFrame:
     """(x, y, doc, start, late): 128-bit hashes of the windows of entries of kind 2. Windows that reach past
     a half context that doesn't recur can't recur and are left out. Each task combines its own: ``late``
@@ -243,11 +298,11 @@ def _hot(rows: DataFrame, most: int, broadcast_rows: int = 500_000) -> DataFrame
 
 
 def split_hot(rows: DataFrame, most: int, salts: int = 64) -> DataFrame:
-    """*rows* (a stage table of entries) with ``salt``, such that no (anchor, salt) has many more than *most* entries.
+    """*rows* (a stage table of entries) with anchors that have not many more than *most* entries each.
 
     An entry of an anchor with more is taken twice, under its anchor with the left and with the right half
     of its context; equal contexts share one of these at least. Where even so many share anchor and half
-    (the border of a common passage), they are dealt by context to *salts* places; salt is 0 elsewhere.
+    (the border of a common passage), they are dealt by context to *salts* anchors; ``salt`` marks them with 1.
     """
     hot = _hot(rows, most)
     if hot is None:
@@ -263,7 +318,8 @@ def split_hot(rows: DataFrame, most: int, salts: int = 64) -> DataFrame:
         mine = mine.withColumn("salt", F.lit(0))
     else:
         mine = mine.join(hot.withColumn("hot", F.lit(True)), "anchor", "left")
-        mine = mine.withColumn("salt", F.when(F.col("hot"), F.pmod("context", F.lit(salts)).cast("int") + 1).otherwise(0)).drop("hot")
+        place = F.xxhash64("anchor", F.pmod("context", F.lit(salts)))
+        mine = mine.withColumn("anchor", F.when(F.col("hot"), place).otherwise(F.col("anchor"))).withColumn("salt", F.when(F.col("hot"), 1).otherwise(0)).drop("hot")
     return cold.unionByName(mine)
 
 

@@ -5,46 +5,20 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.sequences import Shape, WordSymbols, covered, mask_of, sample, split_hot
+from tessera.llm.sequences import Shape, WordSymbols, covered, mask_of, sample, sift, split_hot
 from tessera.llm.store import drop_table, stage_table
 
 
-def extend(seeds: DataFrame, shape: Shape) -> DataFrame:
-    """Join seeds on their anchor and extend them; rows of kinds 1 and 2.
-
-    All rows of an anchor and salt meet in one task, where windows over it sort and spill. A seed is first
-    extended to its whole context: with a smaller document of equal context all its windows repeat. The
-    others are extended by half a window to either side: a side on which no other document agrees can't
-    be crossed by a repeat, and seeds with no such side are dropped. Seeds with a salt have a half that
-    many share, and stay.
-    """
-    rows = seeds.repartition("anchor", "salt")
-    by = lambda *c: Window.partitionBy("anchor", "salt", *c)
-    shared = lambda *c: F.min("doc").over(by(*c)) < F.max("doc").over(by(*c))
-    rows = rows.withColumn("shared", shared()).filter("kind = 1 or salt > 0 or shared").drop("shared")
-    start = F.shiftright("at", 24) - F.shiftright("at", 12).bitwiseAND(F.lit(0xFFF))
-    end = start + F.col("at").bitwiseAND(F.lit(0xFFF)) + shape.length
-    rows = rows.withColumn("first", F.min("doc").over(by("context")))
-    rows = rows.withColumn("l", F.shiftrightunsigned("halves", 32)).withColumn("r", F.col("halves").bitwiseAND(F.lit(0xFFFFFFFF)))
-    rows = rows.withColumn("left", (F.col("l") != 0) & (shared("l") | (F.col("salt") > 0))).withColumn("right", (F.col("r") != 0) & (shared("r") | (F.col("salt") > 0)))
-    whole = (F.col("kind") == 0) & (F.col("doc") > F.col("first"))
-    return rows.filter((F.col("kind") == 1) | whole | F.col("left") | F.col("right")).select(
-        F.when((F.col("kind") == 1) | whole, 1).otherwise(2).alias("kind"),
-        "doc",
-        F.when(whole, start).otherwise(F.col("at")).alias("at"),
-        F.when(F.col("kind") == 1, F.col("context")).when(whole, end).otherwise(F.col("left").cast("long") + 2 * F.col("right").cast("long")).alias("context"),
-    )
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 13, seed: int = 5, hot_seeds: int = 50_000) -> DataFrame:
     """Per row of *docs*: id, n_words, n_removed, kept (the words that stay, joined by one blank).
 
     Words are runs of anything but blank, tab, newline, VT, FF and CR, unchanged. A word goes if a window
     of *words* consecutive words covers it whose words also start in a document of smaller id; the input
-    decides, not what is left. Pairs of documents are never listed: every repeat is found against the
+    decides, not what is left. Seeds, runs of *seed* words, meet on their anchor and are extended: to the whole
+    context that their windows cover, where with a smaller document of equal context all of it repeats; else by
+    half a window to either side, where a side on which nothing agrees can't be crossed by a repeat; and the
+    seeds then left, window by window. Pairs of documents are never listed: every repeat is found against the
     smallest document that has it. An anchor with more than *hot_seeds* entries is split over many tasks.
 
     A null or empty text has no words. A null id is smaller than none and compared with none. Rows that
@@ -52,7 +26,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     shape = Shape(words, seed)
     rows = stage_table(sample(docs, id_col, text_col, shape, WordSymbols, False), "seeds")
-    found = stage_table(extend(split_hot(rows, hot_seeds), shape), "repeats")
+    found = stage_table(sift(split_hot(rows, hot_seeds), shape, False), "repeats")
     drop_table(rows)
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.sequences import SCHEMA, ByteSymbols, Hashes, Shape, mask_of, mix, ranges, rows_of, sample, split_hot, unpack, with_ranges
+from tessera.llm.sequences import ByteSymbols, Hashes, Shape, mask_of, ranges, sample, sift, split_hot, unpack, with_ranges
 from tessera.llm.store import drop_table, stage_table
 
 U = np.uint64
@@ -73,60 +73,6 @@ class SuffixLevels:
         return tuple(x[keep] for x in new), level, found
 
 
-def sift(rows: DataFrame, shape: Shape, chunk: int = 200_000) -> DataFrame:
-    """Rows of kinds 1 and 2 from salted entries, anchor by anchor.
-
-    A context that an earlier place has too repeats whole. Of the others those stay open (kind 2) whose left
-    or right half some other context of their anchor shares; entries with a salt, whose half many share,
-    stay open. Anchors come sorted, so a task holds *chunk* rows and one anchor's.
-    """
-
-    def flush(held):
-        anchor, context, halves, doc, at, salt = (np.concatenate(x) for x in zip(*held, strict=True))
-        o = np.lexsort((at, doc, context, anchor))
-        anchor, context, halves, doc, at, salt = (x[o] for x in (anchor, context, halves, doc, at, salt))
-        same = np.zeros(len(o), bool)
-        same[1:] = (context[1:] == context[:-1]) & (anchor[1:] == anchor[:-1])
-        first = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-        late = same & ((doc != doc[first]) | (at != at[first]))
-        if late.any():
-            yield ranges(doc[late], *unpack(at[late], shape.length))
-        anchor, halves, doc, at, salt = (x[~same] for x in (anchor, halves, doc, at, salt))
-        flags = np.zeros(len(anchor), np.int64)
-        for bit, half in ((1, halves >> U(32)), (2, halves & U(0xFFFFFFFF))):
-            key = mix(anchor + half * U(0x9E3779B97F4A7C15))
-            by = np.argsort(key, kind="stable")
-            twice = np.zeros(len(key) + 1, bool)
-            twice[1:-1] = key[by][1:] == key[by][:-1]
-            flags[by[twice[:-1] | twice[1:]]] |= bit
-            flags[salt > 0] |= bit
-            flags[half == 0] &= ~bit
-        k = flags > 0
-        yield rows_of(2, anchor[k], flags[k], halves[k], doc[k], at[k])  # context: the flags
-
-    def run(batches):
-        held, size = [], 0
-        for b in batches:
-            kind = b.column(0).to_numpy()
-            if (kind == 1).any():
-                yield b.filter(pa.array(kind == 1)).drop_columns(["salt"])
-            c = [b.column(k).to_numpy()[kind == 0] for k in range(1, 7)]
-            if not len(c[0]):
-                continue
-            new = (c[0].view(U), c[1].view(U), c[2].view(U), c[3], c[4], c[5].astype(np.int64))
-            if size >= chunk and (cut := int((new[0] != held[-1][0][-1]).argmax())) + int(new[0][0] != held[-1][0][-1]):
-                held.append(tuple(x[:cut] for x in new))
-                yield from flush(held)
-                new, held, size = tuple(x[cut:] for x in new), [], 0
-            held.append(new)
-            size += len(new[0])
-        if held:
-            yield from flush(held)
-
-    rows = rows.select("kind", "anchor", "context", "halves", "doc", "at", "salt")
-    return rows.repartition("anchor", "salt").sortWithinPartitions("anchor").mapInArrow(run, SCHEMA)
-
-
 def contexts(docs: DataFrame, open_: DataFrame, id_col: str, text_col: str, shape: Shape) -> DataFrame:
     """(key, doc, start, raw): the bytes that an open entry's windows cover, in two rows: windows that reach
     its whole left half, keyed by that half and the seed, and the others, which reach its whole right half,
@@ -248,7 +194,7 @@ def remove_repeats(
     """
     shape = Shape(length, seed)
     rows = stage_table(sample(docs, id_col, text_col, shape, ByteSymbols, True), "entries")
-    found = stage_table(sift(split_hot(rows, hot_entries), shape), "sifted")
+    found = stage_table(sift(split_hot(rows, hot_entries), shape, True), "sifted")
     drop_table(rows)
     open_ = stage_table(contexts(docs, found.filter("kind = 2"), id_col, text_col, shape), "contexts")
     late = compare(open_, length, hot_rows, task_suffixes, batch_suffixes)
