@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import new_path
+from tessera.llm.store import new_path, stage_table
 
 VOCABULARY = "byte_bpe_50k.json"
 # White space as the pattern's \s has it, and the vocabulary's word pattern.
@@ -240,7 +240,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536,
     """The commonest words of all texts, by the pattern, at most *words*; ties in code point order.
 
     Every task counts the units of its texts and passes on the counts of all their words, at the end and
-    whenever it holds more than 40 * *local* units; Spark adds them up, so counts are exact.
+    whenever it holds more than 40 * *local* units; Spark adds them up, so counts are exact. At most 4 * *words*
+    rows come to the driver.
     """
 
     def run(batches):
@@ -264,7 +265,15 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536,
                 yield from counted()
         yield from counted()
 
-    top = docs.select(text_col).mapInArrow(run, "u string, n long").groupBy("u").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "u").limit(words)
+    counts = stage_table(docs.select(text_col).mapInArrow(run, "u string, n long").groupBy("u").agg(F.sum("n").alias("n")), "words")
+    # How many words have a count from 2^k on tells which can be among the first; those few go to few tasks, as
+    # every task sends its own first *words* to the driver.
+    left, least = words, 1
+    for r in sorted(counts.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).count().collect(), reverse=True):
+        left, least = left - r["count"], 2 ** r["k"]
+        if left <= 0:
+            break
+    top = counts.filter(F.col("n") >= least).coalesce(4).orderBy(F.desc("n"), "u").limit(words)
     return [r["u"] for r in sorted(top.collect(), key=lambda r: (-r["n"], r["u"]))]
 
 
