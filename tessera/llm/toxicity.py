@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import re
 from dataclasses import dataclass, field
 
@@ -157,8 +158,14 @@ def fit(sample: list[tuple[object, int, str]], counts: dict[int, int], least: in
     lengths = np.array([len(p) for p, _ in use])
     flat = [w for p, _ in use for w in p]
     gold = np.array([t for _, ts in use for t in ts], float)
-    pairs = [(i, names[f]) for i, w in enumerate(flat) for f in features(w) if f in names]
-    at, fid = (np.array(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+    pairs = array.array("i")
+    known = {w: [names[f] for f in features(w) if f in names] for w in set(flat)}
+    for i, w in enumerate(flat):
+        for f in known[w]:
+            pairs.append(i)
+            pairs.append(f)
+    at, fid = np.frombuffer(pairs, np.int32).reshape(-1, 2).T.astype(np.int64)
+    del known
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     inner = np.ones(len(flat), bool)
     inner[first] = False
