@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import pickle
 import re
 from dataclasses import dataclass, field
 
@@ -93,10 +94,10 @@ def summary(logits: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, each: int, max_bytes: int) -> tuple[list, dict[int, int]]:
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, each: int, max_bytes: int) -> tuple[DataFrame, dict[int, int]]:
     """At most *each* labelled documents of either kind, of up to *max_bytes*, by a hash of their id: the
-    bounded sample that a model is fitted on, out of all documents that have a label. Also how many labels of
-    either kind there are."""
+    bounded sample (__id, __y, t) that a model is fitted on, out of all documents that have a label. Also how
+    many labels of either kind there are."""
     known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col(id_col).alias("__id"), F.col("toxic").alias("__y")).dropDuplicates(["__id"])
     counts = {r["__y"]: int(r["count"]) for r in known.groupBy("__y").count().collect()}
     short = docs.filter(F.octet_length(F.coalesce(text_col, F.lit(""))) <= max_bytes).select(F.col(id_col).alias("__id"))
@@ -104,7 +105,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, eac
     first = lambda y: known.filter(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(each)
     ids = first(0).unionByName(first(1))
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("t")).filter(F.octet_length("t") <= max_bytes)
-    return sorted((r["__id"], r["__y"], r["t"]) for r in rows.join(F.broadcast(ids), "__id").select("__id", "__y", "t").collect()), counts
+    return rows.join(F.broadcast(ids), "__id").select("__id", F.col("__y").cast("int").alias("__y"), "t"), counts
 
 
 def fit(sample: list[tuple[object, int, str]], counts: dict[int, int], least: int = 6, rounds: int = 60, segment: int = 48, seed: int = 5) -> Model:
@@ -222,8 +223,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 40
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", each: int = 1500, max_bytes: int = 65_536) -> Model:
     """Fit a model to labels whose id's crc32 mod 4 is not 2 (the rest is held out), on a sample of at
-    most *each* documents of either kind. No labels of one kind: every score is the toxic share."""
-    return fit(*labelled(docs, labels.filter(id_crc(id_col) % 4 != 2), id_col, text_col, each, max_bytes))
+    most *each* documents of either kind, so one task holds at most 2 * each * max_bytes of text; the driver
+    sees the model alone. No labels of one kind: every score is the toxic share. Repeated labels of an id
+    count once; rows that repeat an id and a text teach once."""
+    sample, counts = labelled(docs, labels.filter(id_crc(id_col) % 4 != 2), id_col, text_col, each, max_bytes)
+
+    def run(batches):
+        got = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sorted(got), counts))], pa.binary())], ["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([], counts)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
