@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA, ElementwiseProduct, StandardScaler, VarianceThresholdSelector, VarianceThresholdSelectorModel, VectorSlicer
@@ -95,9 +97,10 @@ class CohortModel:
         return {"nonzero": sum(x != 0 for x in c), "min": min(c), "max": max(c), "intercept": float(self.classifier.intercept)}
 
 
-def train_grid(rows: DataFrame, points: list[tuple[float, float]], group: str | None = "dataset", iterations: int = 200) -> list[CohortModel]:
+def train_grid(rows: DataFrame, points: list[tuple[float, float]], group: str | None = "dataset", iterations: int = 200, parallelism: int = 8) -> list[CohortModel]:
     """A model for each of *points* (variance, C), as :func:`train` has it. What comes before the components
-    is fitted once, and points that keep equally many components share their fit."""
+    is fitted once, and points that keep equally many components share their fit. *parallelism* fits run at
+    once: each is many small Spark jobs, which alone would leave most of a cluster idle."""
     rows = rows.withColumn("raw", array_to_vector("features"))
     select = varying(rows)
     v = row_scale(select.transform(rows).withColumn("features", vector_to_array("kept"))).withColumn("scaled_rows", array_to_vector("features"))
@@ -117,16 +120,24 @@ def train_grid(rows: DataFrame, points: list[tuple[float, float]], group: str |
                     break
             return k
 
-        fits = {}
-        for k in sorted({needed(p) for p, _ in points}):
-            slicer = VectorSlicer(inputCol="all_components", outputCol="components", indices=list(range(k)))
-            steps = Pipeline(stages=[columns, pca, slicer, *scaler("components", "x", n, k)]).fit(v)
-            x = steps.transform(v).select("x", "y", "weight").cache()
-            try:
-                for c in sorted({c for p, c in points if needed(p) == k}):
-                    lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", elasticNetParam=1.0, regParam=1.0 / (c * n), standardization=False, maxIter=iterations, tol=1e-6)
-                    fits[k, c] = steps, lr.fit(x)
-            finally:
+        inputs, fits = {}, {}
+        try:
+            for k in sorted({needed(p) for p, _ in points}):
+                slicer = VectorSlicer(inputCol="all_components", outputCol="components", indices=list(range(k)))
+                steps = Pipeline(stages=[columns, pca, slicer, *scaler("components", "x", n, k)]).fit(v)
+                inputs[k] = steps, steps.transform(v).select("x", "y", "weight").cache()
+
+            def fit(at: tuple[int, float]):
+                k, c = at
+                lr = LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", elasticNetParam=1.0, regParam=1.0 / (c * n), standardization=False, maxIter=iterations, tol=1e-6)
+                return lr.fit(inputs[k][1])
+
+            todo = sorted({(needed(p), c) for p, c in points})
+            with ThreadPool(min(parallelism, len(todo))) as pool:
+                for at, lr in zip(todo, pool.map(inheritable_thread_target(rows.sparkSession)(fit), todo, chunksize=1), strict=True):
+                    fits[at] = inputs[at[0]][0], lr
+        finally:
+            for _, x in inputs.values():
                 x.unpersist()
         return [CohortModel(select, *fits[needed(p), c], p, c, needed(p)) for p, c in points]
     finally:
