@@ -172,8 +172,14 @@ def tune(rows: DataFrame, variances: list[float] = VARIANCES, strengths: list[fl
         models = train_grid(a, points, group)
         alike = {(m.components, m.strength): m for m in models}  # one of those that share a fit is scored
         scored = None
-        for i, m in enumerate(alike.values()):
-            part = m.predict(b).select(F.lit(i).alias("point"), "score", "y")
+        for width in sorted({m.components for m in models}):
+            part, scores = None, []
+            for i, m in enumerate(alike.values()):
+                if m.components == width:
+                    part, lr = m.prepare(b) if part is None else part, m.classifier
+                    part = lr.copy({lr.probabilityCol: f"p{i}", lr.rawPredictionCol: "", lr.predictionCol: ""}).transform(part)
+                    scores.append(F.struct(F.lit(i).alias("point"), vector_to_array(f"p{i}")[1].alias("score")))
+            part = part.select("y", F.inline(F.array(*scores)))
             scored = part if scored is None else scored.unionByName(part)
         scored = scored.cache()
         try:
