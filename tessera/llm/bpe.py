@@ -240,19 +240,18 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536,
     """The commonest words of all texts, by the pattern, at most *words*; ties in code point order.
 
     Every task counts the units of its texts and passes on the counts of all their words, at the end and
-    whenever it holds more than 40 * *local* units; Spark adds them up, so counts are exact. At most 4 * *words*
+    whenever it holds more than 10 * *local* units; Spark adds them up, so counts are exact. At most 4 * *words*
     rows come to the driver.
     """
 
     def run(batches):
+        forget()
         seen: Counter[str] = Counter()
 
         def counted():
-            held = list(seen.items())
-            seen.clear()
-            for i in range(0, len(held), 10_000):
+            while seen:
                 found: Counter[str] = Counter()
-                for u, n in held[i : i + 10_000]:
+                for u, n in (seen.popitem() for _ in range(min(10_000, len(seen)))):
                     for w in _WORDS.findall(u):
                         found[w] += n
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["u", "n"])
@@ -261,8 +260,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536,
             for t in b.column(0).to_pylist():
                 if t:
                     seen.update(units(t))
-            if len(seen) > 40 * local:
-                yield from counted()
+                if len(seen) > 10 * local:
+                    yield from counted()
         yield from counted()
 
     counts = stage_table(docs.select(text_col).mapInArrow(run, "u string, n long").groupBy("u").agg(F.sum("n").alias("n")), "words")
@@ -316,6 +315,11 @@ def opened(vocabulary: str, lexicon: str | None) -> Encoder:
     return _opened[key]
 
 
+def forget() -> None:
+    """Free what a worker keeps of an earlier lexicon and its words. By name, as tasks get copies of globals."""
+    _opened.clear()
+
+
 def encode(docs: DataFrame, lexicon: str | None, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, rows: int = 256, keep: list[str] | None = None) -> DataFrame:
     """Per row of *docs*: id, columns *keep*, ids (those of the vocabulary's own library), decoded (text of the ids).
 
