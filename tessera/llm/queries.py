@@ -85,6 +85,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (langid.id_crc() % 5 == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import merkle
+
+    docs, columns = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars"]
+    text = F.col("text")
+    tampered = F.when(merkle.id_crc() % 2 == 0, F.replace(text, F.lit("\n"))).otherwise(text)
+    changed = merkle.leaf_digest(*map(F.col, columns), tampered)
+    out = merkle.manifest(docs, merkle.leaf_digest(*map(F.col, columns), text), keep={"changed": changed})
+    out = out.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("proof")))
+    digest = merkle.proof_digest(F.col("proof")).alias("proof_sha256")
+    return out.select("doc_id", "leaf", "subroot", "root", digest, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import whitening
+
+    return whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -105,4 +124,58 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_merkle": r"""
+        WITH RECURSIVE
+        crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], list_transform(range(8), lambda x: 0::BIGINT)),
+                                            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS ct),
+        marked AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ascii(x)::BIGINT)),
+                                 lambda c, b: xor(c >> 8, ct[(xor(c, b) & 255) + 1]))) % 2 = 0 AS tamper FROM documents, crc_table),
+        heads AS (SELECT doc_id, source, text, tamper, coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-')
+                         || coalesce(strlen(source)::VARCHAR || ':' || source, '-') || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-')
+                         || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head FROM marked),
+        leaves AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+                          sha256(head || coalesce(strlen(t)::VARCHAR || ':' || t, '-')) AS changed
+                   FROM (SELECT *, CASE WHEN tamper THEN replace(text, chr(10), '') ELSE text END AS t FROM heads)),
+        placed AS (SELECT *, row_number() OVER same AS row_no, row_number() OVER same - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+                   FROM leaves WINDOW same AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+        low(source, lev, pos, h, n) AS (
+            SELECT source, 0, pos, leaf, n FROM placed
+            UNION ALL
+            SELECT source, lev + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM low WHERE n > 1 GROUP BY source, lev, pos // 3, n),
+        tops AS (SELECT source, h, lev, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+        high(lev, pos, h, n) AS (
+            SELECT 0, pos, h, n FROM tops
+            UNION ALL
+            SELECT lev + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM high WHERE n > 1 GROUP BY lev, pos // 3, n),
+        walk(source, pos0, lev, pos, n) AS (
+            SELECT source, pos, 0, pos, n FROM placed
+            UNION ALL
+            SELECT source, pos0, lev + 1, pos // 3, (n + 2) // 3 FROM walk WHERE n > 1),
+        climb(source, pos0, step, up, pos, n) AS (
+            SELECT w.source, pos0, above, 0, t.pos, t.n FROM (SELECT source, pos0, max(lev) + 1 AS above FROM walk GROUP BY source, pos0) w
+            JOIN tops t ON w.source IS NOT DISTINCT FROM t.source
+            UNION ALL
+            SELECT source, pos0, step + 1, up + 1, pos // 3, (n + 2) // 3 FROM climb WHERE n > 1),
+        sides AS (
+            SELECT w.source, w.pos0, w.lev AS step, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < w.pos), '') AS l,
+                   coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > w.pos), '') AS r
+            FROM walk w JOIN low s ON w.source IS NOT DISTINCT FROM s.source AND s.lev = w.lev AND s.pos // 3 = w.pos // 3
+            WHERE w.n > 1 GROUP BY ALL
+            UNION ALL
+            SELECT w.source, w.pos0, w.step, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < w.pos), ''),
+                   coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > w.pos), '')
+            FROM climb w JOIN high s ON s.lev = w.up AND s.pos // 3 = w.pos // 3
+            WHERE w.n > 1 GROUP BY ALL),
+        steps AS (SELECT source, pos0, l, r, row_number() OVER (PARTITION BY source, pos0 ORDER BY step) AS k FROM sides),
+        folded(source, pos0, k, h) AS (
+            SELECT source, pos, 0, changed FROM placed
+            UNION ALL
+            SELECT f.source, f.pos0, f.k + 1, sha256(s.l || f.h || s.r) FROM folded f JOIN steps s ON f.source IS NOT DISTINCT FROM s.source AND f.pos0 = s.pos0 AND s.k = f.k + 1),
+        last AS (SELECT source, pos0, arg_max(h, k) AS folded_root FROM folded GROUP BY source, pos0),
+        proofs AS (SELECT source, pos0, string_agg(l || r, '' ORDER BY k) AS proof FROM steps GROUP BY source, pos0)
+        SELECT p.doc_id, p.leaf, t.h AS subroot, (SELECT h FROM high WHERE n = 1) AS root, sha256(coalesce(q.proof, '')) AS proof_sha256,
+               a.folded_root, a.folded_root = (SELECT h FROM high WHERE n = 1) AS verified
+        FROM placed p JOIN tops t ON p.source IS NOT DISTINCT FROM t.source
+        JOIN last a ON p.source IS NOT DISTINCT FROM a.source AND p.pos = a.pos0
+        LEFT JOIN proofs q ON p.source IS NOT DISTINCT FROM q.source AND p.pos = q.pos0""",
 }
