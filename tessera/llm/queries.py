@@ -85,6 +85,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (langid.id_crc() % 5 == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import merkle
 
