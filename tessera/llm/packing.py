@@ -10,6 +10,8 @@ seed's best unused neighbours. Document frequencies and mean length are those of
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from itertools import accumulate
 
 import numpy as np
@@ -18,17 +20,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import vocabulary_path
+from tessera.llm.bpe import byte_letters, vocabulary_path
 from tessera.llm.store import slices, stage_table
 
 VOCABULARY, WINDOW, END_ID = "word_bpe_49k.json", 4096, 2
-_BLANKS = str.maketrans("\t\n\r", "   ")
 _memo: dict = {}
+# Units of printable ASCII and Latin letters up to U+017E (but for one whose lower case is two characters) are in
+# composed form, and their lower case is that of each character; the vocabulary's pattern on them, in lower case.
+_PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017e]+").fullmatch
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u017e"
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+").findall
 
 
-def word_encoder(vocabulary: str, dtype: str, most: int = 200_000):
+def word_encoder(vocabulary: str, dtype: str, most: int = 400_000):
     """text -> bytes of its ids (*dtype*), as the tokenizers library encodes it. The vocabulary drops white space, so
-    what stands between blanks is encoded alone and kept, at most *most* such units."""
+    what stands between blanks is encoded alone and kept, and so are the words of such units; at most *most* of each.
+    Words of plain units go to the library's model without its normalizer and splitter."""
     key = (vocabulary, dtype)
     if key not in _memo:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,18 +45,34 @@ def word_encoder(vocabulary: str, dtype: str, most: int = 200_000):
         lib.no_truncation()
         lib.no_padding()
         whole = lambda t: np.array(lib.encode(t, add_special_tokens=False).ids, dtype).tobytes()
+        model, letters, code = lib.model.tokenize, dict(enumerate(byte_letters())), "H" if dtype == "<u2" else "I"
+
+        class Words(dict):
+            def __missing__(self, w: str) -> bytes:
+                v = array(code, [t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]).tobytes()
+                if len(self) < most:
+                    self[w] = v
+                return v
+
+        word = Words().__getitem__
 
         class Units(dict):
             def __missing__(self, u: str) -> bytes:
-                v = whole(u) if u else b""
+                v = b"".join(map(word, _WORDS(u.lower()))) if _PLAIN(u) else whole(u) if u else b""
                 if len(self) < most:
                     self[u] = v
                 return v
 
         special = [t.content for t in lib.get_added_tokens_decoder().values()]
         get = Units().__getitem__
+
+        def encode(t: str) -> bytes:
+            if any(s in t for s in special):
+                return whole(t)
+            return b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+
         _memo.clear()
-        _memo[key] = lambda t: whole(t) if any(s in t for s in special) else b"".join(map(get, t.translate(_BLANKS).split(" ")))
+        _memo[key] = encode
     return _memo[key]
 
 

@@ -77,11 +77,19 @@ def test_units_encode_as_whole_texts(library):
     f = packing.word_encoder(packing.VOCABULARY, "<u2", most=50)
     r = random.Random(2)
     chars = ["a", "B", "é", "é", "'s", "'", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "　", "1", "23", "!", "Σ", "ς", "İ", "漢", "<|endoftext|>", "<|", "́", "퟿", "​", " "]
-    for _ in range(3000):
-        t = "".join(r.choice(chars) for _ in range(r.randrange(0, 14)))
+    latin = [chr(c) for c in range(33, 0x250)]
+    for _ in range(20_000):
+        t = "".join(r.choice(chars + latin) for _ in range(r.randrange(0, 14)))
         assert np.frombuffer(f(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_every_character_alone_and_within_a_word(library):
+    f = packing.word_encoder(packing.VOCABULARY, "<u2")
+    for c in map(chr, [*range(1, 0x600), *range(0x1E00, 0x2200)]):
+        for t in (c, f"a{c}b", f"A1{c}'S"):
+            assert np.frombuffer(f(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def bm25(ids, idf, mean, seed):
     out = []
     for x in ids:
