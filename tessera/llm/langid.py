@@ -20,28 +20,31 @@ def plain(text: str) -> str:
     return _REST.sub(" ", text.lower())
 
 
-def train(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = 100, dict_bytes: int = 32_768, max_langs: int = 500
-) -> dict[str, bytes]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = 100, dict_bytes: int = 32_768) -> dict[str, bytes]:
     """A raw-content dictionary of at most *dict_bytes* for each language, from at most *docs_each* of its
-    documents: whole texts, those of up to 16 KB first, by a hash of the id (a bounded sample, whatever
-    the order of the input). More than *max_langs* languages is an error. Rows without text, letters or
-    language teach nothing."""
+    documents: those of up to 16 KB first, by a hash of the id (a bounded sample, whatever the order of the
+    input); of each, what can find a place in the dictionary. Rows without text, letters or language teach nothing;
+    rows that repeat an id are candidates each.
+
+    Dictionaries are put together in tasks. They alone come to the driver: *dict_bytes* for each language, however
+    many there are."""
     some = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), (F.octet_length(text_col) > 16384).alias("long"), F.xxhash64(id_col).alias("h"), F.col(id_col).alias("__id"), F.col(text_col).alias("t")
+        F.col(lang_col).alias("lang"), (F.octet_length(text_col) > 16384).alias("long"), F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("th"), F.substring(text_col, 1, 4 * dict_bytes).alias("t")
     )
-    rank = Window.partitionBy("lang").orderBy("long", "h", "__id")
-    ids = some.select("lang", "long", "h", "__id").withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= docs_each)
-    if len(langs := ids.select("lang").distinct().limit(max_langs + 1).collect()) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    if not langs:
-        return {}
-    # At most docs_each * max_langs ids are broadcast.
-    rows = some.join(F.broadcast(ids.select("__id", "lang").distinct()), ["__id", "lang"]).select("lang", "long", "h", "t").collect()
-    found: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["long"], r["h"], r["t"])):
-        found.setdefault(r["lang"], []).append(plain(r["t"]).encode("utf-8", "replace"))
-    return {k: b" ".join(v)[:dict_bytes] for k, v in sorted(found.items())}
+    # The first of each task, then of all: a language that most documents have is never sorted as a whole by one task.
+    keys = ["long", "h", "th"]
+    local = Window.partitionBy("lang", "salt").orderBy(*keys)
+    some = some.withColumn("salt", F.pmod("th", F.lit(64))).withColumn("n", F.row_number().over(local)).filter(F.col("n") <= docs_each)
+    rank = Window.partitionBy("lang").orderBy(*keys)
+    some = some.withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= docs_each).select("lang", "n", "t")
+
+    def run(table: pa.Table) -> pa.Table:
+        texts = [t for _, t in sorted(zip(table["n"].to_pylist(), table["t"].to_pylist(), strict=True))]
+        content = b" ".join(plain(t).encode("utf-8", "replace") for t in texts)[:dict_bytes]
+        return pa.table({"lang": pa.array([table["lang"][0].as_py()]), "content": pa.array([content], pa.binary())})
+
+    found = some.groupBy("lang").applyInArrow(run, "lang string, content binary").collect()
+    return {r["lang"]: bytes(r["content"]) for r in sorted(found, key=lambda r: r["lang"])}
 
 
 class Classifier:
@@ -81,12 +84,14 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     Each part of 1024 bytes is coded with every dictionary; the gains over the mean size, bounded, add up.
     The score is the best language's lead over the next (0 to 1). ``rejected`` marks leads below *margin*, where the caller should not trust lang_pred. A text that is
     null or has no letter is ``und`` (score 0, rejected). Equal sizes: the first language by name. Whole
-    texts are read. An empty table gives no rows; without dictionaries every text is ``und``.
+    texts are read; rows that repeat are judged each, and other columns may have any name. An empty table gives no
+    rows; without dictionaries every text is ``und``.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches):
-        c = Classifier(dictionaries)
+        c = Classifier(sent.value)
         for b in batches:
             got = [c.predict(t, margin) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
