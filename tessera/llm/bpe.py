@@ -20,7 +20,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import new_path, stage_table
+from tessera.llm.store import frugal, new_path, stage_table
 
 VOCABULARY = "byte_bpe_50k.json"
 # White space as the pattern's \s has it, and the vocabulary's word pattern.
@@ -222,7 +222,7 @@ class Units(dict):
 class Encoder:
     """Ids of whole texts as little-endian int32 bytes, and back."""
 
-    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 800_000):
+    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 400_000):
         self.merges, self.get = merges, Units(merges, lexicon, most).__getitem__
 
     def __call__(self, text: str) -> bytes:
@@ -236,7 +236,7 @@ class Encoder:
         return b"".join(map(self.merges.bytes_of.__getitem__, memoryview(ids).cast("i"))).decode("utf-8", "replace")
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536, local: int = 50_000) -> list[str]:
+def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536, local: int = 20_000) -> list[str]:
     """The commonest words of all texts, by the pattern, at most *words*; ties in code point order.
 
     Every task counts the units of its texts and passes on the counts of all their words, at the end and
@@ -264,7 +264,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536,
                     yield from counted()
         yield from counted()
 
-    counts = stage_table(docs.select(text_col).mapInArrow(run, "u string, n long").groupBy("u").agg(F.sum("n").alias("n")), "words")
+    counts = stage_table(docs.select(text_col).mapInArrow(frugal(run), "u string, n long").groupBy("u").agg(F.sum("n").alias("n")), "words")
     # How many words have a count from 2^k on tells which can be among the first; those few go to few tasks, as
     # every task sends its own first *words* to the driver.
     left, least = words, 1
@@ -344,4 +344,4 @@ def encode(docs: DataFrame, lexicon: str | None, id_col: str = "doc_id", text_co
                     ["doc_id", *keep, "ids", "decoded"],
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col), *keep).mapInArrow(run, f"doc_id {kind}{types}, ids array<int>, decoded string")
+    return docs.select(F.col(id_col), F.col(text_col), *keep).mapInArrow(frugal(run), f"doc_id {kind}{types}, ids array<int>, decoded string")

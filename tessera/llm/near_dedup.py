@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import known_texts, stage_table
+from tessera.llm.store import frugal, known_texts, stage_table
 
 CHUNKS, LANES = 12, 4
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -95,7 +95,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 ["id", "n_shingles", "digest", "sig"],
             )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n_shingles long, digest binary, sig array<long>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(frugal(run), f"id {kind}, n_shingles long, digest binary, sig array<long>")
 
 
 def _unlike(a: Column, b: Column) -> Column:
@@ -143,7 +143,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(frugal(run), "a long, b long")
 
 
 def forests(edges: DataFrame, parts: int) -> DataFrame:
@@ -341,7 +341,7 @@ def confirm_blocks(cands: DataFrame, docs: DataFrame, id_col: str, text_col: str
                             b_.append(max(i, j))
             yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, errors: int = 1, turns: int = 3) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +47,20 @@ def known_texts(docs: DataFrame, ids: DataFrame, id_col: str, most: int = 500_00
     if ids.count() <= most:
         ids = F.broadcast(ids)
     return docs.join(ids, id_col, "left_semi")
+
+
+def frugal(run):
+    """*run* of a mapInArrow whose worker gives freed memory back to the system at its end. Workers outlive their tasks,
+    and what one stage held for its words would else stay beside what the next one holds."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import id_crc, stage_table
+from tessera.llm.store import frugal, id_crc, slices, stage_table
 
 _TOKEN = re.compile(r"\S+")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             )
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
-        run, f"doc_id {kind}, score double, predicted int, expected double, spans array<struct<start:int,end:int>>"
+        frugal(run), f"doc_id {kind}, score double, predicted int, expected double, spans array<struct<start:int,end:int>>"
     )
 
 
@@ -282,16 +282,18 @@ def _scores(model: Model, get, texts: list[str]) -> tuple[np.ndarray, np.ndarray
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of *docs*, all columns, whose score is below *threshold*. Null and empty texts are scored
-    like any other. Without a fitted model every row stays."""
+    like any other, and so is each of rows that repeat. Without a fitted model every row stays; an empty table
+    stays empty."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         get = _Emissions(model).__getitem__
-        for b in batches:
-            s = _scores(model, get, [t or "" for t in b.column(at).to_pylist()])[3]
-            yield b.filter(pa.array(s < threshold))
+        for whole in batches:
+            for b in slices(whole, at, 2048, 8 << 20):
+                s = _scores(model, get, [t or "" for t in b.column(at).to_pylist()])[3]
+                yield b.filter(pa.array(s < threshold))
 
-    return docs.mapInArrow(run, docs.schema) if model.weights else docs
+    return docs.mapInArrow(frugal(run), docs.schema) if model.weights else docs
 
 
 def _offsets(text: str, hot: np.ndarray) -> list[dict[str, int]]:
