@@ -84,10 +84,11 @@ def gc_fraction(seq: Column) -> Column:
 def gc_per_bin(seqs: DataFrame, key: str, seq: str, width: int) -> DataFrame:
     """(key, idx, gc): GC of each *width* letters. There are ``length // width + 1`` bins: the last may be shorter,
     and has no letters and 0 where the length is a multiple of the width. A null sequence has none."""
-    n = F.expr(f"length({seq}) div {width}")
-    rows = seqs.filter(F.col(seq).isNotNull()).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long"))))
-    part = F.substring(F.col(seq), (F.col("idx") * width + 1).cast("int"), F.lit(width))
-    return rows.select(key, "idx", gc_fraction(part).alias("gc"))
+    # The sequence is cut once, from its start to its end; a substring for each bin would walk to it each time.
+    parts = F.regexp_extract_all(F.col(seq), F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    parts = F.when(F.length(seq) % width == 0, F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    rows = seqs.filter(F.col(seq).isNotNull()).select(key, F.posexplode(parts).alias("idx", "part"))
+    return rows.select(key, F.col("idx").cast("long").alias("idx"), gc_fraction(F.col("part")).alias("gc"))
 
 
 def rebin_mean(bins: DataFrame, col: str, factor: int = 10) -> DataFrame:

@@ -46,15 +46,15 @@ def normalized(spark: SparkSession, d: str, insert_sizes: bool = False) -> DataF
     return stage_table(megabins.normalize(bins, WIDTH, MEGA, STRIDE, col), "normalized")
 
 
-def sums(spark: SparkSession, d: str, bins: DataFrame, col: str, keep_consensus: bool = False) -> DataFrame:
-    """The six sums for every mask, after the consensus bins have gone."""
+def sums(spark: SparkSession, d: str, bins: DataFrame, col: str, keep_consensus: bool = False, masks: DataFrame | None = None) -> DataFrame:
+    """The six sums for every mask (those of *masks*, if given), after the consensus bins have gone."""
     man = stage_table(S.manifest(spark, d), "manifest")
     rows = bins.select("chrom", "idx", col)
     none = S.consensus(spark, d)
     if keep_consensus:
         none = none.filter("false")
     rows = correlate.without_consensus(rows, none, man)
-    return correlate.sparse_sums(rows, S.masks(spark, d), man, col)
+    return correlate.sparse_sums(rows, S.masks(spark, d) if masks is None else masks, man, col)
 
 
 def features(spark: SparkSession, d: str, p_values: bool = True, keep_consensus: bool = False) -> DataFrame:

@@ -12,8 +12,9 @@ from tessera.operators import bias, binning, correlate, evaluate, matrix, megabi
 from tessera.operators import insert_size as isize
 from tessera.plans import pipeline as P
 from tessera.plans.oracle import GC, LENGTHS, bucket, clamped, curve, r, smoothed, sql, sums_of, tiles
-from tessera.sources import files
+from tessera.sources import arrays, bam, fasta, files
 from tessera.sources import tables as S
+from tessera.sources.stage import new_path
 from tessera.streaming import running
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +151,29 @@ def q_bed_bins(spark, d):
     return binning.bed_bins(S.parse_bed(lines), 43200, W)
 
 
+# Files: what the tables hold is written in a format and read back through its data source
+
+
+@query(sql(f"SELECT chrom, idx, {r('cov')} AS cov FROM cov"))
+def q_bam_coverage(spark, d):
+    path = new_path(spark, "bam")
+    bam.write_bam(S.reads(spark, d), path)
+    return rounded(binning.coverage(bam.read_bam(spark, path), W), "cov")
+
+
+@query(
+    f"""WITH s AS (SELECT 'd' || doc_id AS chrom, regexp_replace(text, '[^A-Za-z]', '', 'g') AS seq FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT chrom, i AS idx, substring(seq, (i * 100 + 1)::INT, 100) AS t FROM s, generate_series(0, len(seq) // 100) AS g(i))
+    SELECT chrom, idx::BIGINT AS idx, {r("coalesce(len(regexp_replace(t, '[^GCgc]', '', 'g')) / nullif(len(t), 0), 0.0)")} AS gc FROM p"""
+)
+def q_fasta_gc(spark, d):
+    path = new_path(spark, "fasta")
+    docs = S.table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("chrom"), F.regexp_replace("text", "[^A-Za-z]", "").alias("seq"))
+    fasta.write_fasta(docs, path)
+    fasta.index_fasta(spark, path)
+    return rounded(fasta.gc_of_chunks(fasta.read_sequences(spark, path), 100), "gc")
+
+
 # Bucket curves
 
 
@@ -314,6 +338,17 @@ def q_pearson_sums_sparse(spark, d):
     return rounded(P.sums(spark, d, P.aligned(spark, d), "cov"), "sx", "sxx", "sy", "syy", "sxy", digits=6)
 
 
+@query(sql(f"SELECT mask_type, cell_type, n, {_SUM_COLS} FROM sums", **_PLAIN))
+def q_mask_files_sums(spark, d):
+    path = new_path(spark, "masks")
+    arrays.write_masks(S.masks(spark, d), path, S.BINS)
+    masks = None
+    for kind in sorted(r["mask_type"] for r in S.masks(spark, d).select("mask_type").distinct().collect()):
+        rows = files.read_masks(spark, f"{path}/{kind}", kind)
+        masks = rows if masks is None else masks.unionByName(rows)
+    return rounded(P.sums(spark, d, P.aligned(spark, d), "cov", masks=masks), "sx", "sxx", "sy", "syy", "sxy", digits=6)
+
+
 _FEAT = f"SELECT mask_type, cell_type, {rr(*_RATIOS)}, {rr(*_RAW, digits=5)}, n FROM feat"
 
 

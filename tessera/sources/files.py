@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import rint_to
+from tessera.sources.arrays import mask_paths, read_rows
 
 
 def _sparse_rows(content: bytes) -> tuple[int, np.ndarray, np.ndarray]:
@@ -61,10 +62,11 @@ def read_sparse_vectors(spark: SparkSession, path: str | list[str], decimals: in
 
 def read_masks(spark: SparkSession, folder: str, mask_type: str, cell_types: list[str] | None = None, chrom: str | None = None) -> DataFrame:
     """(mask_type, cell_type, chrom, idx, overlap) of ``folder/<cell type>/<chrom>.npz``, 32-bit floats rounded to
-    2 decimals. Cell types without a file are skipped."""
-    rows = read_sparse_vectors(spark, folder, 2, True, chrom)
-    if cell_types is not None:
-        rows = rows.filter(F.col("group").isin(cell_types))
+    2 decimals. Cell types without a file are skipped; files of others and of other chromosomes aren't opened."""
+    paths = mask_paths(spark, folder, cell_types, None if chrom is None else [chrom])
+    if not paths:
+        return spark.createDataFrame([], "mask_type string, cell_type string, chrom string, idx long, overlap double")
+    rows = read_sparse_vectors(spark, paths, 2, True)
     return rows.select(F.lit(mask_type).alias("mask_type"), F.col("group").alias("cell_type"), "chrom", "idx", F.col("value").alias("overlap"))
 
 
@@ -105,8 +107,10 @@ def read_indices(spark: SparkSession, paths: list[str], skip_bad: bool = True) -
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, seq) of a FASTA file: names up to the first blank, lines joined."""
-    rows = spark.read.option("lineSep", ">").text(path).filter(F.length(F.trim("value")) > 0)
+    """(chrom, seq) of a small FASTA file: names up to the first blank, lines joined, a row a sequence. See
+    :mod:`tessera.sources.fasta` for files of any size."""
+    # Only a > that begins a line begins a sequence; the first one has no newline before it.
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^\\s*>", "").alias("value")).filter(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^(\S+)", 1)
     return rows.select(head.alias("chrom"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
@@ -119,18 +123,10 @@ def fasta_range(seqs: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
 def read_panel(spark: SparkSession, folders: dict[str, str], panel: int = 0) -> DataFrame:
     """(dataset, row, features, and the columns of the metadata) of several cohorts.
 
-    A folder has ``feature_dataset.npy``, an array (samples, panels, features) of which one panel is taken,
+    A folder has ``feature_dataset.npy``, an array (samples, panels, features) of which one panel is taken, a range of rows a task,
     and ``meta_data.csv`` with a row for each sample in the same order; unlike numbers are an error."""
     import pandas as pd
 
-    def run(batches):
-        for b in batches:
-            for where, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.load(io.BytesIO(content), allow_pickle=False)[:, panel, :].astype(float)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([where] * len(x)), pa.array(range(len(x)), pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["path", "row", "features"]
-                )
-
     def meta_rows(batches):
         for b in batches:
             for content in b.column(0).to_pylist():
@@ -140,10 +136,10 @@ def read_panel(spark: SparkSession, folders: dict[str, str], panel: int = 0) ->
 
     out = None
     for name, folder in folders.items():
-        tensor = spark.read.format("binaryFile").load(f"{folder}/feature_dataset.npy").select("path", "content").mapInArrow(run, "path string, row long, features array<double>")
+        tensor = read_rows(spark, f"{folder}/feature_dataset.npy", panel)
         meta = spark.read.format("binaryFile").load(f"{folder}/meta_data.csv").select("content").mapInArrow(meta_rows, "row long, meta map<string,string>")
         lost = F.raise_error(F.lit(f"{name}: features and metadata have different numbers of rows"))
-        rows = tensor.drop("path").withColumn("x", F.lit(True)).join(meta.withColumn("y", F.lit(True)), "row", "full_outer")
+        rows = tensor.withColumn("x", F.lit(True)).join(meta.withColumn("y", F.lit(True)), "row", "full_outer")
         rows = rows.filter(F.when(F.col("x") & F.col("y"), True).otherwise(lost.cast("boolean"))).select(F.lit(name).alias("dataset"), "row", "features", "meta")
         out = rows if out is None else out.unionByName(rows)
     return out
