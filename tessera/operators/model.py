@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -14,7 +15,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluate
+from tessera.operators import evaluate, search
+from tessera.sources.stage import stage_table
 
 #: The grids of the search (twelve shares of variance, as a half-open range of thousandths gives them).
 VARIANCES = [round(0.987 + 0.001 * i, 3) for i in range(12)]
@@ -156,40 +158,47 @@ def folds(rows: DataFrame, group: str = "dataset") -> list[str]:
     return [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
 
 
+def _inner_folds(rows: DataFrame, group: str, seed: int) -> tuple[DataFrame, list[str], list[tuple[search.Fold, object]]]:
+    """Rows, columns of groups, and (fold, held group): one dataset left out in turn; with a single dataset 50 folds, a
+    fifth of the rows ten times over, dealt so that classes are in every fold alike."""
+    names = folds(rows, group)
+    if len(names) >= 2:
+        return rows, [group], [(search.Fold(0, frozenset([d])), d) for d in names]
+    rows, columns = search.stratified(rows, 5, [seed + r for r in range(10)]), [f"fold{r}" for r in range(10)]
+    return rows, columns, [(search.Fold(r, frozenset([k])), k) for r in range(10) for k in range(5)]
+
+
+def _grid_scores(data: search.Scans, inner: list[tuple[int, search.Fold, object]], variances: list[float], strengths: list[float]) -> DataFrame:
+    """(outer, C, variance, fold, score): the balanced accuracy at each fold's best threshold, for (outer, fold, held group)."""
+    spark, space = data.spark, search.spaces(data, [f for _, f, _ in inner])
+    fits = search.fit_all(data, space, [(f, space[f].needed(p), c) for _, f, _ in inner for p in variances for c in strengths])
+    asked, place = [], {}
+    for _, f, held in inner:
+        for k in sorted({space[f].needed(p) for p in variances}):
+            for c in strengths:
+                if (f, held, k, c) not in place:
+                    place[f, held, k, c] = len(asked)
+                    asked.append((len(asked), fits[f, k, c], held))
+    scored = stage_table(search.held_out_scores(data, space, asked), "scores")
+    best = evaluate.max_j(scored, ["name"]).select("name", "threshold")
+    rates = evaluate.confusion(scored.join(F.broadcast(best), "name"), F.col("threshold"), ["name"])  # a row a fit
+    got = {r["name"]: float(r["balanced_accuracy"]) for r in rates.select("name", "balanced_accuracy").collect()}
+    out = [
+        (outer, float(c), float(p), i, got[place[f, held, space[f].needed(p), c]])
+        for i, (outer, f, held) in enumerate(inner) for p in variances for c in strengths if place[f, held, space[f].needed(p), c] in got
+    ]
+    return spark.createDataFrame(out, "outer int, C double, variance double, fold int, score double")
+
+
 def tune(rows: DataFrame, variances: list[float] = VARIANCES, strengths: list[float] = STRENGTHS, group: str = "dataset", seed: int = 1) -> DataFrame:
     """(C, variance, mean_score, se): for every pair of parameters the balanced accuracy at each fold's best
-    threshold. Folds leave one dataset out; with a single dataset there are 50 random ones, a tenth of them five by five."""
-    names, spark = folds(rows, group), rows.sparkSession
-    if len(names) >= 2:
-        parts = [(rows.filter(F.col(group) != d), rows.filter(F.col(group) == d)) for d in names]
-    else:
-        parts = []
-        for r in range(10):
-            deal = F.pmod(F.xxhash64(F.lit(seed + r), "sample_id"), F.lit(5))
-            parts += [(rows.filter(deal != k), rows.filter(deal == k)) for k in range(5)]
-    points, out = [(p, c) for p in variances for c in strengths], []
-    for k, (a, b) in enumerate(parts):
-        models = train_grid(a, points, group)
-        alike = {(m.components, m.strength): m for m in models}  # one of those that share a fit is scored
-        scored = None
-        for width in sorted({m.components for m in models}):
-            part, scores = None, []
-            for i, m in enumerate(alike.values()):
-                if m.components == width:
-                    part, lr = m.prepare(b) if part is None else part, m.classifier
-                    part = lr.copy({lr.probabilityCol: f"p{i}", lr.rawPredictionCol: "", lr.predictionCol: ""}).transform(part)
-                    scores.append(F.struct(F.lit(i).alias("point"), vector_to_array(f"p{i}")[1].alias("score")))
-            part = part.select("y", F.inline(F.array(*scores)))
-            scored = part if scored is None else scored.unionByName(part)
-        scored = scored.cache()
-        try:
-            best = evaluate.max_j(scored, ["point"]).select("point", "threshold")
-            rates = evaluate.confusion(scored.join(F.broadcast(best), "point"), F.col("threshold"), ["point"]).collect()
-        finally:
-            scored.unpersist()
-        got = dict(zip(alike, (s for _, s in sorted((r["point"], float(r["balanced_accuracy"])) for r in rates)), strict=True))
-        out += [(float(m.strength), float(m.variance), k, got[m.components, m.strength]) for m in models]
-    grid = spark.createDataFrame(out, "C double, variance double, fold int, score double")
+    threshold. Folds leave one dataset out; with a single dataset there are 50, five by five and stratified by class."""
+    rows, columns, inner = _inner_folds(rows, group, seed)
+    data = search.Scans(rows, columns, balanced=columns == [group])
+    try:
+        grid = _grid_scores(data, [(0, f, held) for f, held in inner], variances, strengths)
+    finally:
+        data.close()
     return evaluate.fold_scores(grid, ["C", "variance"])
 
 
@@ -206,12 +215,27 @@ def write_results(scores: DataFrame, path: str, group: str = "dataset") -> None:
 
 def leave_one_out(rows: DataFrame, variances: list[float] = VARIANCES, strengths: list[float] = STRENGTHS, group: str = "dataset", never_held: tuple[str, ...] = ()) -> DataFrame:
     """(sample_id, dataset, y, score, C, variance): every dataset scored by a model tuned and trained on the
-    others. Those in *never_held* are trained on but not held out."""
-    out = None
-    for d in folds(rows, group):
-        if d in never_held:
-            continue
-        m = train_final(rows.filter(F.col(group) != d), variances, strengths, group)
-        part = m.predict(rows.filter(F.col(group) == d)).select("sample_id", group, "y", "score", F.lit(m.strength).alias("C"), F.lit(m.variance).alias("variance"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    others. Those in *never_held* are trained on but not held out.
+
+    All folds of all datasets are fitted together, see :mod:`tessera.operators.search`; a fold of two datasets serves
+    whichever of them is held out. Where but one dataset is left to train on, that one is tuned by itself."""
+    names = folds(rows, group)
+    outer = [d for d in names if d not in never_held]
+    data = search.Scans(rows, [group])
+    try:
+        if len(names) > 2:
+            inner = [(k, search.Fold(0, frozenset([d, i])), i) for k, d in enumerate(outer) for i in names if i != d]
+            grid = evaluate.fold_scores(_grid_scores(data, inner, variances, strengths), ["outer", "C", "variance"])
+        else:
+            alone = [tune(rows.filter(F.col(group) != d), variances, strengths, group).withColumn("outer", F.lit(k)) for k, d in enumerate(outer)]
+            grid = reduce(DataFrame.unionByName, alone)
+        grid = stage_table(grid.select("outer", "C", "variance", "mean_score", "se"), "grid")
+        best = {k: evaluate.one_se(grid.filter(F.col("outer") == k), "C", "variance").head() for k in range(len(outer))}
+        space = search.spaces(data, [search.Fold(0, frozenset([d])) for d in outer])
+        wanted = [(f := search.Fold(0, frozenset([d])), space[f].needed(best[k]["variance"]), best[k]["C"]) for k, d in enumerate(outer)]
+        fits = search.fit_all(data, space, wanted)
+        scores = search.held_out_scores(data, space, [(k, fits[w], d) for k, (w, d) in enumerate(zip(wanted, outer, strict=True))])
+        chosen = rows.sparkSession.createDataFrame([(k, d, float(best[k]["C"]), float(best[k]["variance"])) for k, d in enumerate(outer)], f"name int, {group} string, C double, variance double")
+        return stage_table(scores.join(F.broadcast(chosen), "name").select("sample_id", group, "y", "score", "C", "variance"), "held-out")
+    finally:
+        data.close()

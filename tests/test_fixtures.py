@@ -354,16 +354,3 @@ def test_grid_shares_fits(spark):
     assert [(m.variance, m.strength) for m in got] == points and len({m.components for m in got}) == 2
     for m in (got[0], got[3], got[5]):
         assert m.coefficients() == pytest.approx(model.train(df, m.variance, m.strength).coefficients(), abs=1e-9)
-
-
-def test_lodo_cv_is_whole(spark, sf, monkeypatch):
-    from tessera.plans import queries
-
-    def train_final(rows, variances, strengths, group):
-        assert rows.select(group).distinct().count() == 4 and len({(p, c) for p in variances for c in strengths}) == 96
-        return type("M", (), {"strength": 1.0, "variance": 1.0, "predict": lambda self, held: held.withColumn("score", F.lit(0.5))})()
-
-    monkeypatch.setattr(model, "train_final", train_final)
-    held = queries.q_lodo_cv(spark, sf).select("sample_id", "dataset").collect()
-    want = queries.S.cohort(spark, sf).filter("dataset <> 'ds2'").select("sample_id", "dataset").collect()
-    assert sorted(map(tuple, held)) == sorted(map(tuple, want)) and len({r["dataset"] for r in held}) == 4
