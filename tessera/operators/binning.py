@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.numeric import rint_to
+from tessera.operators.select import quantiles
+from tessera.sources.stage import stage_table
 
 
 def good_reads(reads: DataFrame, min_mapq: int = 20) -> DataFrame:
@@ -71,8 +73,10 @@ def guarded_means(bins: DataFrame, total: str, cov: str, out: str = "mean_len",
 
 
 def summary(rows: DataFrame, col: str, by: list[str]) -> DataFrame:
-    """Mean, population deviation and median."""
-    return rows.groupBy(*by).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"), F.median(col).alias("median"))
+    """Mean, population deviation and exact median; no task holds all values of a group."""
+    rows = stage_table(rows.select(*by, col), "summed")
+    out = rows.groupBy(*by).agg(F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"))
+    return out.join(quantiles(rows, by, {"median": (col, 0.5)}, stored=True), by)
 
 
 def gc_fraction(seq: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.operators.select import running
 
 
 def balanced_weights(rows: DataFrame, group: str = "dataset") -> DataFrame:
@@ -15,43 +16,46 @@ def balanced_weights(rows: DataFrame, group: str = "dataset") -> DataFrame:
     return rows.join(F.broadcast(per), group).withColumn("weight", F.col("__all") / (F.col("__groups") * F.col("__n"))).drop("__n", "__all", "__groups")
 
 
+def _steps(scores: DataFrame, by: list[str]) -> DataFrame:
+    """(by, threshold) for every distinct score with pos and neg, its rows of either class, and their running sums from the
+    highest score down, sums of the group, and numbers at the next lower score."""
+    per = scores.groupBy(*by, F.col("score").alias("threshold")).agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count(F.lit(1)).alias("all"))
+    per = per.select(*by, "threshold", "pos", (F.col("all") - F.col("pos")).alias("neg"))
+    return running(per, by, "threshold", ["pos", "neg"])
+
+
 def cumulative(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, threshold, tp, fp, p, n): true and false positives at every score from the highest down.
-    Rows are first combined by score, so that windows run over distinct scores."""
+    Rows are first combined by score, and no task holds all scores of a group."""
     by = by or []
-    per = scores.groupBy(*by, F.col("score").alias("threshold")).agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count(F.lit(1)).alias("all"))
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return per.select(
-        *by, "threshold", F.sum("pos").over(w).alias("tp"), F.sum(F.col("all") - F.col("pos")).over(w).alias("fp"),
-        F.sum("pos").over(whole).alias("p"), F.sum(F.col("all") - F.col("pos")).over(whole).alias("n"),
-    )
+    return _steps(scores, by).select(*by, "threshold", F.col("run_pos").alias("tp"), F.col("run_neg").alias("fp"), F.col("all_pos").alias("p"), F.col("all_neg").alias("n"))
 
 
 def roc_points(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, threshold, fpr, tpr): the curve's corners from an infinite threshold down; points within a
     straight piece (equal steps on both sides) are left out."""
     by = by or []
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    rows = cumulative(scores, by)
-    bend = lambda c: F.lead(c).over(w) - 2 * F.col(c) + F.lag(c).over(w)
-    rows = rows.withColumn("keep", F.coalesce((bend("tp") != 0) | (bend("fp") != 0), F.lit(True))).filter("keep")
-    zero = rows.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "p", "n").distinct()
-    return zero.unionByName(rows.drop("keep").withColumn("threshold", F.col("threshold").cast("double"))).select(
-        *by, "threshold", F.try_divide("fp", "n").alias("fpr"), F.try_divide("tp", "p").alias("tpr")
-    )
+    rows = _steps(scores, by)
+    # The step to a score is its own rows, that from it the rows of the next; ends have one of them.
+    first = (F.col("run_pos") == F.col("pos")) & (F.col("run_neg") == F.col("neg"))
+    straight = ~first & (F.col("next_pos") == F.col("pos")) & (F.col("next_neg") == F.col("neg"))
+    rows = rows.filter(~F.coalesce(straight, F.lit(False)))
+    zero = rows.filter(first).select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0).cast("long").alias("run_neg"), F.lit(0).cast("long").alias("run_pos"), "all_neg", "all_pos")
+    rows = zero.unionByName(rows.select(*by, F.col("threshold").cast("double").alias("threshold"), "run_neg", "run_pos", "all_neg", "all_pos"))
+    return rows.select(*by, "threshold", F.try_divide("run_neg", "all_neg").alias("fpr"), F.try_divide("run_pos", "all_pos").alias("tpr"))
 
 
 def _best(rows: DataFrame, by: list[str], *order) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("__k", F.row_number().over(w)).filter("__k = 1").drop("__k")
+    """Of each group the row that is largest by *order*, column after column."""
+    best = rows.groupBy(*by).agg(F.max(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*[c for c in rows.columns if c not in by]).alias("row"))).alias("best"))
+    return best.select(*by, "best.row.*")
 
 
 def max_j(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, threshold, j): the highest threshold of largest sensitivity + specificity - 1."""
     by = by or []
     rows = roc_points(scores, by).withColumn("j", F.col("tpr") - F.col("fpr"))
-    return _best(rows, by, F.desc("j"), F.desc("threshold")).select(*by, "threshold", "j")
+    return _best(rows, by, F.col("j"), F.col("threshold")).select(*by, "threshold", "j")
 
 
 def high_specificity(scores: DataFrame, by: list[str] | None = None, target: float = 0.95) -> DataFrame:
@@ -61,7 +65,7 @@ def high_specificity(scores: DataFrame, by: list[str] | None = None, target: flo
     rows = roc_points(scores, by).select(*by, "threshold", F.col("tpr").alias("sensitivity"), (1 - F.col("fpr")).alias("specificity"))
     ok = F.col("specificity") >= target
     key = F.when(ok, F.col("sensitivity")).otherwise(F.col("specificity"))
-    return _best(rows, by, F.desc(ok.cast("int")), F.desc(key), F.desc("threshold"))
+    return _best(rows, by, ok.cast("int"), key, F.col("threshold"))
 
 
 def confusion(scores: DataFrame, threshold, by: list[str] | None = None) -> DataFrame:
@@ -81,11 +85,9 @@ def confusion(scores: DataFrame, threshold, by: list[str] | None = None) -> Data
 def auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, auc, n_samples): share of pairs of a positive and a negative in order, ties counting half; NULL with one class."""
     by = by or []
-    rows = cumulative(scores, by)
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    step = lambda c: F.col(c) - F.lag(c, 1, 0).over(w)
-    rows = rows.withColumn("area", step("fp") * (F.col("tp") + F.lag("tp", 1, 0).over(w)) / 2)
-    return rows.groupBy(*by).agg(F.try_divide(F.sum("area"), F.max("p") * F.max("n")).alias("auc"), (F.max("p") + F.max("n")).alias("n_samples"))
+    rows = _steps(scores, by).withColumn("area", F.col("neg") * (2 * F.col("run_pos") - F.col("pos")) / 2)
+    p, n = F.max("all_pos"), F.max("all_neg")
+    return rows.groupBy(*by).agg(F.try_divide(F.sum("area"), p * n).alias("auc"), (p + n).alias("n_samples"))
 
 
 def mean_auc(aucs: DataFrame) -> DataFrame:

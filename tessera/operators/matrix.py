@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from tessera.functions.numeric import rint_to
 from tessera.operators.correlate import STATS
+from tessera.operators.select import quantiles
+from tessera.sources.stage import stage_table
 
 
 def wide_form(long: DataFrame, missing: float | None = None, default: str = "DNase") -> DataFrame:
@@ -32,9 +34,12 @@ def wide_form(long: DataFrame, missing: float | None = None, default: str = "DNa
 
 def in_order(wide: DataFrame, dims: DataFrame, first: str) -> DataFrame:
     """Columns of the matrix in order: mask type *first* before others, then the dimension's own order;
-    adds col_idx. Cell types without features are an error."""
+    adds col_idx. Cell types without features are an error, and so is any statistic that one of them lacks."""
     rows = dims.select("mask_type", "cell_type", "row_ord").join(wide, ["mask_type", "cell_type"], "left")
-    checked = F.coalesce(F.col("n"), F.raise_error(F.concat(F.lit("no features: "), "cell_type")).cast("double"))
+    stats = [c for c in STATS if c in wide.columns]
+    lost = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in stats]))
+    bad = F.raise_error(F.concat(F.lit("no features: "), F.col("mask_type"), F.lit("::"), F.col("cell_type"), F.lit(" ("), F.array_join(lost, ", "), F.lit(")")))
+    checked = F.when(F.size(lost) == 0, F.col("n")).otherwise(bad.cast("double"))
     w = Window.orderBy((F.col("mask_type") != first).cast("int"), "mask_type", "row_ord")
     return rows.withColumn("n", checked).withColumn("col_idx", (F.row_number().over(w) - 1).cast("long")).drop("row_ord")
 
@@ -50,7 +55,9 @@ def diffs(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("mask_type", "cel
 
 def diff_stats(d: DataFrame) -> DataFrame:
     """max, mean, median and 99th percentile (interpolated) by statistic."""
-    return d.groupBy("stat").agg(F.max("diff").alias("max"), F.avg("diff").alias("mean"), F.median("diff").alias("median"), F.percentile("diff", F.lit(0.99)).alias("p99"))
+    d = stage_table(d.select("stat", "diff"), "diffs")
+    ends = d.groupBy("stat").agg(F.max("diff").alias("max"), F.avg("diff").alias("mean"))
+    return ends.join(quantiles(d, ["stat"], {"median": ("diff", 0.5), "p99": ("diff", 0.99)}, stored=True), "stat")
 
 
 def value_counts(d: DataFrame, digits: int = 2) -> DataFrame:
@@ -74,3 +81,9 @@ def examples(d: DataFrame, each: int = 3, digits: int = 2) -> DataFrame:
     rows = d.withColumn("rounded", rint_to(F.col("diff"), digits))
     w = Window.partitionBy("stat", "rounded").orderBy("mask_type", "cell_type")
     return rows.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= each).select("stat", "rounded", "k", "mask_type", "cell_type")
+
+
+def worst(d: DataFrame, each: int = 5) -> DataFrame:
+    """(stat, rank, mask_type, cell_type, diff): the *each* largest differences of every statistic, of equals the first columns."""
+    w = Window.partitionBy("stat").orderBy(F.desc("diff"), "mask_type", "cell_type")
+    return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= each).select("stat", "rank", "mask_type", "cell_type", "diff")

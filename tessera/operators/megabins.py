@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.select import quantiles
+from tessera.sources.stage import stage_table
+
 TINY = 1e-10
 
 
@@ -96,8 +99,9 @@ def normalize(
     if scale == "mean":
         value = F.try_divide(v, _mean(F.col("means")) + TINY)
     elif scale == "median":
-        rows = rows.withColumn("__v", F.try_divide(v, _median(F.col("means")) + TINY))
-        per = rows.groupBy("chrom").agg(F.try_divide(F.median(col), F.nullif(F.median("__v"), F.lit(0.0))).alias("__s"))
+        rows = stage_table(rows.withColumn("__v", F.try_divide(v, _median(F.col("means")) + TINY)), "tiled")
+        per = quantiles(rows, ["chrom"], {"a": (col, 0.5), "b": ("__v", 0.5)}, stored=True)
+        per = per.select("chrom", F.try_divide("a", F.nullif("b", F.lit(0.0))).alias("__s"))
         rows = rows.join(F.broadcast(per), "chrom")
         value = F.col("__v") * F.col("__s")
     elif center == "mean":

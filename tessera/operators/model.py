@@ -158,6 +158,17 @@ def folds(rows: DataFrame, group: str = "dataset") -> list[str]:
     return [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
 
 
+def components_needed(rows: DataFrame, variances: list[float]) -> DataFrame:
+    """(variance, components): the fewest principal components of the scaled features that explain each share."""
+    data = search.Scans(rows.withColumn("__all", F.lit(0)), ["__all"])
+    try:
+        whole = search.Fold(0, frozenset())
+        space = search.spaces(data, [whole])[whole]
+        return rows.sparkSession.createDataFrame([(p, space.needed(p)) for p in variances], "variance double, components int")
+    finally:
+        data.close()
+
+
 def _inner_folds(rows: DataFrame, group: str, seed: int) -> tuple[DataFrame, list[str], list[tuple[search.Fold, object]]]:
     """Rows, columns of groups, and (fold, held group): one dataset left out in turn; with a single dataset 50 folds, a
     fifth of the rows ten times over, dealt so that classes are in every fold alike."""

@@ -46,9 +46,9 @@ def normalized(spark: SparkSession, d: str, insert_sizes: bool = False) -> DataF
     return stage_table(megabins.normalize(bins, WIDTH, MEGA, STRIDE, col), "normalized")
 
 
-def sums(spark: SparkSession, d: str, bins: DataFrame, col: str, keep_consensus: bool = False, masks: DataFrame | None = None) -> DataFrame:
+def sums(spark: SparkSession, d: str, bins: DataFrame, col: str, keep_consensus: bool = False, masks: DataFrame | None = None, man: DataFrame | None = None) -> DataFrame:
     """The six sums for every mask (those of *masks*, if given), after the consensus bins have gone."""
-    man = stage_table(S.manifest(spark, d), "manifest")
+    man = stage_table(S.manifest(spark, d), "manifest") if man is None else man
     rows = bins.select("chrom", "idx", col)
     none = S.consensus(spark, d)
     if keep_consensus:
@@ -63,6 +63,13 @@ def features(spark: SparkSession, d: str, p_values: bool = True, keep_consensus:
     return correlate.features(sums(spark, d, bins, "cov", keep_consensus), p_values)
 
 
+def both_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The slice without and with consensus bins, from the same bins, masks and manifest."""
+    bins, masks, man = stage_table(aligned(spark, d), "aligned"), stage_table(S.masks(spark, d), "masks"), stage_table(S.manifest(spark, d), "manifest")
+    without, with_ = (correlate.features(sums(spark, d, bins, "cov", keep, masks, man), p_values=False) for keep in (False, True))
+    return without, with_
+
+
 def flagship(spark: SparkSession, d: str, p_values: bool = False, insert_sizes: bool = False) -> DataFrame:
     """Reads, coverage, clipping, GC correction, megabins, consensus, correlation; bins are written after each
     step that is read more than once."""

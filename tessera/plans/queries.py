@@ -428,8 +428,7 @@ _DIFF = _PLAIN | _OTHER | {
 
 
 def _diffs(spark, d) -> DataFrame:
-    a, b = (P.features(spark, d, p_values=False, keep_consensus=k) for k in (False, True))
-    return rounded(matrix.diffs(a, b), "diff", digits=5)
+    return rounded(matrix.diffs(*P.both_features(spark, d)), "diff", digits=5)
 
 
 @query(sql(f"SELECT stat, {r('max(diff)')} AS max, {r('avg(diff)')} AS mean, {r('median(diff)')} AS median, {r('quantile_cont(diff, 0.99)')} AS p99 FROM diffs GROUP BY stat", **_DIFF))
@@ -464,6 +463,11 @@ def q_diff_examples(spark, d):
     return matrix.examples(_diffs(spark, d)).withColumn("k", F.col("k").cast("long"))
 
 
+@query(sql(f"SELECT stat, row_number() OVER (PARTITION BY stat ORDER BY diff DESC, mask_type, cell_type) AS rank, mask_type, cell_type, diff FROM diffs QUALIFY row_number() OVER (PARTITION BY stat ORDER BY diff DESC, mask_type, cell_type) <= 5", **_DIFF))
+def q_worst_diffs(spark, d):
+    return matrix.worst(_diffs(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
 # Evaluation
 
 
@@ -597,8 +601,7 @@ def q_union_by_name(spark, d):
 
 @query()
 def q_pca_k(spark, d):
-    m = model.train(S.cohort(spark, d), 0.987, 0.2, iterations=20)
-    return spark.createDataFrame([(m.variance, m.components)], "variance double, components int")
+    return model.components_needed(S.cohort(spark, d), [0.987])
 
 
 @query()
