@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.store import id_crc
+from tessera.llm.store import id_crc, stage_table
 
 _LETTER = re.compile(r"[^\W\d_]")
 _REST = re.compile(r"[\W\d_]+")
@@ -24,22 +24,24 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A raw-content dictionary of at most *dict_bytes* for each language, from at most *docs_each* of its
     documents: those of up to 16 KB first, by a hash of the id (a bounded sample, whatever the order of the
     input); of each, what can find a place in the dictionary. Rows without text, letters or language teach nothing;
-    rows that repeat an id are candidates each.
+    rows that repeat id and text teach once.
 
     Dictionaries are put together in tasks. They alone come to the driver: *dict_bytes* for each language, however
     many there are."""
+    keys = ["lang", "long", "h", "th"]
     some = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), (F.octet_length(text_col) > 16384).alias("long"), F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("th"), F.substring(text_col, 1, 4 * dict_bytes).alias("t")
     )
-    # The first of each task, then of all: a language that most documents have is never sorted as a whole by one task.
-    keys = ["long", "h", "th"]
-    local = Window.partitionBy("lang", "salt").orderBy(*keys)
-    some = some.withColumn("salt", F.pmod("th", F.lit(64))).withColumn("n", F.row_number().over(local)).filter(F.col("n") <= docs_each)
-    rank = Window.partitionBy("lang").orderBy(*keys)
-    some = some.withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= docs_each).select("lang", "n", "t")
+    # The first by hash alone are found, in 64 parts of a language and then in all; then their texts are fetched.
+    part = some.select(*keys, F.pmod("h", F.lit(64)).alias("part"))
+    for by in (["lang", "part"], ["lang"]):
+        part = part.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("long", "h", "th"))).filter(F.col("n") <= docs_each)
+    first = stage_table(part.select(*keys).distinct(), "learners")
+    small = F.broadcast if first.count() <= 500_000 else lambda df: df  # 25 bytes each
+    some = some.join(small(first), keys).dropDuplicates(keys)
 
     def run(table: pa.Table) -> pa.Table:
-        texts = [t for _, t in sorted(zip(table["n"].to_pylist(), table["t"].to_pylist(), strict=True))]
+        texts = [r[-1] for r in sorted(zip(*(table[c].to_pylist() for c in ("long", "h", "th", "t")), strict=True))]
         content = b" ".join(plain(t).encode("utf-8", "replace") for t in texts)[:dict_bytes]
         return pa.table({"lang": pa.array([table["lang"][0].as_py()]), "content": pa.array([content], pa.binary())})
 
