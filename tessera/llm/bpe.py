@@ -197,46 +197,61 @@ class Lexicon:
 
 
 class Units(dict):
-    """Little-endian int32 ids of text units, as bytes, kept for at most *most* units; words come from the
-    lexicon, those it doesn't have are merged."""
+    """Little-endian int32 ids of text units that follow a blank, as bytes, kept for at most *most* units without that
+    blank; their words, kept as well, come from the lexicon, and those it doesn't have are merged."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int):
         super().__init__()
         self.merges, self.lexicon, self.most = merges, lexicon, most
+        self.words: dict[str, bytes] = {}  # half as many
 
     def __missing__(self, u: str) -> bytes:
+        v = self.ids_of(" " + u)
+        if len(self) < self.most:
+            self[u] = v
+        return v
+
+    def ids_of(self, u: str) -> bytes:
+        """Ids of a whole unit, with its blank if it has one."""
         # Letters, with a blank before, are one word; so are marks after them.
         core = u.rstrip(MARKS)
         words = [core, u[len(core) :]] if (core[1:] if core[:1] == " " else core).isalpha() else _WORDS.findall(u)
-        out: list[int] = []
-        for w in words:
-            if w:
-                raw = w.encode("utf-8", "replace")
-                out += (self.lexicon.find(raw) if self.lexicon else None) or self.merges.encode(raw)
-        v = array.array("i", out).tobytes()
-        if len(self) < self.most:
-            self[u] = v
+        return b"".join(self.words.get(w) or self.word(w) for w in words if w)
+
+    def word(self, w: str) -> bytes:
+        raw = w.encode("utf-8", "replace")
+        v = array.array("i", (self.lexicon.find(raw) if self.lexicon else None) or self.merges.encode(raw)).tobytes()
+        if len(self.words) < self.most // 2:
+            self.words[w] = v
         return v
 
 
 class Encoder:
     """Ids of whole texts as little-endian int32 bytes, and back."""
 
-    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 400_000):
-        self.merges, self.get = merges, Units(merges, lexicon, most).__getitem__
+    def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 800_000):
+        self.merges, self.units = merges, Units(merges, lexicon, most)
+        self.get = self.units.__getitem__
 
     def __call__(self, text: str) -> bytes:
         special = self.merges.special
         if self.merges.split and any(t in text for t in special):
             parts = (p for p in self.merges.split.split(text) if p)
-            return b"".join(struct.pack("<i", special[p]) if p in special else b"".join(map(self.get, units(p))) for p in parts)
-        return b"".join(map(self.get, units(text)))
+            return b"".join(struct.pack("<i", special[p]) if p in special else self.plain(p) for p in parts)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens; see :func:`units` for where it may be cut."""
+        if _RUN.search(text):
+            return b"".join(self.get(u[1:]) if u[:1] == " " else self.units.ids_of(u) for u in _CUT.split(text))
+        first, *rest = text.split(" ")
+        return (self.units.ids_of(first) if first else b"") + b"".join(map(self.get, rest))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.merges.bytes_of.__getitem__, memoryview(ids).cast("i"))).decode("utf-8", "replace")
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536, local: int = 20_000) -> list[str]:
+def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536, local: int = 40_000) -> list[str]:
     """The commonest words of all texts, by the pattern, at most *words*; ties in code point order.
 
     Every task counts the units of its texts and passes on the counts of all their words, at the end and
@@ -246,21 +261,29 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536,
 
     def run(batches):
         forget()
-        seen: Counter[str] = Counter()
+        seen: Counter[str] = Counter()  # units without the blank before them
+        others: Counter[str] = Counter()  # units as they are
 
         def counted():
-            while seen:
-                found: Counter[str] = Counter()
-                for u, n in (seen.popitem() for _ in range(min(10_000, len(seen)))):
-                    for w in _WORDS.findall(u):
-                        found[w] += n
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["u", "n"])
+            for some, blank in ((seen, " "), (others, "")):
+                while some:
+                    found: Counter[str] = Counter()
+                    for u, n in (some.popitem() for _ in range(min(10_000, len(some)))):
+                        core = u.rstrip(MARKS)
+                        for w in [blank + core, u[len(core) :]] if core.isalpha() else _WORDS.findall(blank + u):
+                            if w:
+                                found[w] += n
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["u", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
-                if t:
-                    seen.update(units(t))
-                if len(seen) > 10 * local:
+                if t and _RUN.search(t):
+                    others.update(units(t))
+                elif t:
+                    first, *rest = t.split(" ")
+                    others[first] += 1
+                    seen.update(rest)
+                if len(seen) + len(others) > 10 * local:
                     yield from counted()
         yield from counted()
 
