@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column
@@ -106,6 +108,27 @@ class ZeroInflatedPoisson:
             v = np.maximum(v, 0)
         return self.merge(ZeroInflatedPoisson(len(v), float(v.mean()) if len(v) else 0.0, int((v != 0).sum())))
 
+    def fit(self, values, negatives: str = "raise") -> ZeroInflatedPoisson:
+        """A model of these values alone."""
+        return ZeroInflatedPoisson().update(values, negatives)
+
+    def reset(self) -> None:
+        """Forget all values."""
+        self.n, self.mean, self.nonzero = 0, 0.0, 0
+
+    def counts(self, start: int = 0) -> Iterator[tuple[int, float, float]]:
+        """(k, pmf, cdf) for every k from *start* on, without end."""
+        if isinstance(start, bool) or int(start) != start or start < 0:
+            raise ValueError("the first count must be an integer of 0 or more")
+        below = self.cdf(start - 1) if start else 0.0
+        for k in itertools.count(start):
+            p = self.pmf(k)
+            below += p
+            yield k, p, min(1.0, below)
+
+    def __iter__(self) -> Iterator[tuple[int, float, float]]:
+        return self.counts()
+
     def merge(self, other: ZeroInflatedPoisson) -> ZeroInflatedPoisson:
         n = self.n + other.n
         mean = (self.mean * self.n + other.mean * other.n) / n if n else 0.0

@@ -53,9 +53,12 @@ def sparse_sums(bins: DataFrame, masks: DataFrame, manifest: DataFrame, x: str)
     return out.select("mask_type", "cell_type", "n", "sx", "sxx", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sy", "syy", "sxy")])
 
 
-def merge_sums(parts: DataFrame, by: list[str]) -> DataFrame:
-    """Sums of sums: chromosomes, batches or samples together."""
-    return parts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _SUMS])
+def consensus_sums(bins: DataFrame, consensus: DataFrame, x: str, name: str = "consensus") -> DataFrame:
+    """The six sums of *bins* (chrom, idx, x), none removed, with the consensus (mask_type, chrom, idx, overlap) as a cell
+    type of each mask type, over the chromosomes it has."""
+    types = consensus.select("mask_type", "chrom").distinct()
+    rows = types.join(bins.select("chrom", "idx", x), "chrom")
+    return sparse_sums(rows, consensus.withColumn("cell_type", F.lit(name)), types.withColumn("cell_type", F.lit(name)), x)
 
 
 def features(sums: DataFrame, p_values: bool = True, keep_small: bool = False) -> DataFrame:

@@ -44,6 +44,18 @@ def in_order(wide: DataFrame, dims: DataFrame, first: str) -> DataFrame:
     return rows.withColumn("n", checked).withColumn("col_idx", (F.row_number().over(w) - 1).cast("long")).drop("row_ord")
 
 
+def wanted_cells(dims: DataFrame, cells: dict[str, list[str] | None] | None = None) -> DataFrame:
+    """The rows of *dims* (mask_type, cell_type, row_ord) of the mask types and cell types asked for, in the dimension's order
+    whatever that of the request. A mask type with None has all its cell types; names that aren't there give no rows."""
+    if cells is None:
+        return dims
+    keep = F.lit(False)
+    for kind, names in cells.items():
+        here = F.col("mask_type") == kind
+        keep = keep | (here if names is None else here & F.col("cell_type").isin([n.strip() for n in names if n.strip()]))
+    return dims.filter(keep)
+
+
 def diffs(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("mask_type", "cell_type")) -> DataFrame:
     """(keys, stat, diff): absolute differences; a key that only one side has is an error."""
     stats = [c for c in STATS if c in a.columns and c in b.columns]

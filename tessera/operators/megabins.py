@@ -6,6 +6,8 @@ Tilings of width *size* are offset by *stride*; the first starts at the smallest
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +35,25 @@ def tilings(bins: DataFrame, width: int, size: int, stride: int, col: str) -> Da
     return rows.withColumn("mega", F.when(last >= 0, F.greatest(F.lit(0), F.least(at, last)))).select("chrom", "idx", F.col(col), "tiling", "mega")
 
 
+def _blocks(bins: DataFrame, width: int, size: int, stride: int, *sums) -> DataFrame:
+    """(chrom, b, *sums*, last, edge) for every block of *stride*, and for those before the first that megabins begin at."""
+    rows = with_ends(bins, width).withColumn("b", F.expr(f"(start - lo) div {stride}"))
+    blocks = rows.groupBy("chrom", "b").agg(*sums, F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    ends = rows.groupBy("chrom").agg(F.max("b").alias("last"), F.max(F.col("hi") - F.col("lo")).alias("span"))
+    blocks = blocks.drop("lo", "hi")
+    edge = ((F.col("span") > 0) & (F.col("span") % stride == 0)).alias("edge")
+    spine = ends.select("chrom", F.explode(F.sequence(F.lit(1 - size // stride), F.col("last"))).alias("b"), "last", edge)
+    return spine.join(blocks, ["chrom", "b"], "left")
+
+
+def _spread(megas: DataFrame, k: int) -> DataFrame:
+    """(chrom, b, means): from the mean of the megabin that begins at each block, those of the K that a block lies in."""
+    order = Window.partitionBy("chrom").orderBy("b")
+    at_edge = F.collect_list("mean").over(order.rangeBetween(-k, -1))
+    usual = F.collect_list("mean").over(order.rangeBetween(1 - k, 0))
+    return megas.select("chrom", "b", F.when(F.col("edge") & (F.col("b") == F.col("last")), at_edge).otherwise(usual).alias("means"))
+
+
 def _block_means(bins: DataFrame, width: int, size: int, stride: int, col: str) -> DataFrame:
     """(chrom, b, means): the megabin means of each block's tilings, from sums of blocks of *stride*.
 
@@ -40,23 +61,41 @@ def _block_means(bins: DataFrame, width: int, size: int, stride: int, col: str)
     coordinate is on a tiling's edge (the span is a multiple of the stride), its row joins the megabin
     before that edge: its sums are added to megabin L - K, and block L reads that one instead of L."""
     k = size // stride
-    rows = with_ends(bins, width).withColumn("b", F.expr(f"(start - lo) div {stride}"))
-    blocks = rows.groupBy("chrom", "b").agg(F.sum(col).alias("s"), F.count(col).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
-    ends = blocks.groupBy("chrom").agg(F.max("b").alias("last"), F.max(F.col("hi") - F.col("lo")).alias("span"))
-    blocks = blocks.drop("lo", "hi")
-    spine = ends.select("chrom", F.explode(F.sequence(F.lit(1 - k), F.col("last"))).alias("b"), "last", ((F.col("span") > 0) & (F.col("span") % stride == 0)).alias("edge"))
-    dense = spine.join(blocks, ["chrom", "b"], "left")
-    order = Window.partitionBy("chrom").orderBy("b")
-    ahead = order.rangeBetween(0, k - 1)
+    dense = _blocks(bins, width, size, stride, F.sum(col).alias("s"), F.count(col).alias("n"))
+    ahead = Window.partitionBy("chrom").orderBy("b").rangeBetween(0, k - 1)
     whole = Window.partitionBy("chrom").orderBy("b").rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tail = lambda c: F.last(F.coalesce(F.col(c), F.lit(0))).over(whole)
     extra = F.col("edge") & (F.col("b") == F.col("last") - k)
     total = F.coalesce(F.sum("s").over(ahead), F.lit(0.0)) + F.when(extra, tail("s")).otherwise(0.0)
     count = F.coalesce(F.sum("n").over(ahead), F.lit(0)) + F.when(extra, tail("n")).otherwise(0)
-    dense = dense.withColumn("mean", F.try_divide(total, F.nullif(count.cast("double"), F.lit(0.0))))
-    at_edge = F.collect_list("mean").over(order.rangeBetween(-k, -1))
-    usual = F.collect_list("mean").over(order.rangeBetween(1 - k, 0))
-    return dense.select("chrom", "b", F.when(F.col("edge") & (F.col("b") == F.col("last")), at_edge).otherwise(usual).alias("means"))
+    return _spread(dense.withColumn("mean", F.try_divide(total, F.nullif(count.cast("double"), F.lit(0.0)))), k)
+
+
+def _capped_means(bins: DataFrame, width: int, size: int, stride: int, col: str, above: float, each: int = 64) -> DataFrame:
+    """As :func:`_block_means`, of values capped at each megabin's own quantile *above*.
+
+    A block's values are one sorted run; a task merges the runs of its *each* blocks' megabins, so a value is sent once,
+    or twice near the end of a task's blocks, and not once a tiling."""
+    k = size // stride
+    dense = _blocks(bins, width, size, stride, F.sort_array(F.collect_list(F.col(col).cast("double"))).alias("run"))
+    first, last = F.floor((F.col("b") - k) / each), F.floor(F.col("b") / each)
+    dealt = dense.withColumn("part", F.explode(F.sequence(first, last)))
+
+    def means(t: pa.Table) -> pa.Table:
+        b, part = t["b"].to_pylist(), t["part"][0].as_py()
+        runs = {i: np.asarray(r.as_py() or [], float) for i, r in zip(b, t["run"], strict=True)}
+        end, edge = t["last"][0].as_py(), t["edge"][0].as_py()
+        mine = [i for i in b if i // each == part]
+        out = []
+        for j in mine:
+            own = [runs[i] for i in range(j, j + k) if i in runs] + ([runs[end]] if edge and j == end - k else [])
+            v = np.concatenate(own)
+            out.append(float(np.minimum(v, np.quantile(v, above)).mean()) if len(v) else None)
+        n = len(mine)
+        return pa.table({"chrom": pa.array([t["chrom"][0].as_py()] * n, pa.string()), "b": pa.array(mine, pa.int64()), "last": pa.array([end] * n, pa.int64()), "edge": pa.array([edge] * n, pa.bool_()), "mean": pa.array(out, pa.float64())})
+
+    megas = dealt.withColumn("b", F.col("b").cast("long")).groupBy("chrom", "part").applyInArrow(means, "chrom string, b long, last long, edge boolean, mean double")
+    return _spread(megas, k)
 
 
 def _median(xs):
@@ -70,9 +109,10 @@ def _mean(xs):
 
 def tile_means(bins: DataFrame, width: int, size: int, stride: int, col: str = "cov", clip_above: float | None = None) -> DataFrame:
     """*bins* with ``means``, the array of their megabins' means over the tilings."""
-    if clip_above is None and size % stride == 0:
+    if size % stride == 0:
+        means = _block_means(bins, width, size, stride, col) if clip_above is None else _capped_means(bins, width, size, stride, col, clip_above)
         rows = with_ends(bins, width).withColumn("b", F.expr(f"(start - lo) div {stride}")).drop("start", "lo", "hi")
-        return rows.join(_block_means(bins, width, size, stride, col), ["chrom", "b"]).drop("b")
+        return rows.join(means, ["chrom", "b"]).drop("b")
     rows = tilings(bins, width, size, stride, col)
     if clip_above is not None:
         cap = F.percentile(col, F.lit(clip_above)).over(Window.partitionBy("chrom", "tiling", "mega"))

@@ -99,6 +99,18 @@ class CohortModel:
         return {"nonzero": sum(x != 0 for x in c), "min": min(c), "max": max(c), "intercept": float(self.classifier.intercept)}
 
 
+def compare(models: dict[str, CohortModel], rows: DataFrame) -> DataFrame:
+    """(model, nonzero, min, max, intercept, mean_score) of several models: active coefficients, the ends of all, and the mean
+    probability that each gives *rows*."""
+    spark, out = rows.sparkSession, None
+    for name, m in models.items():
+        s = m.summary()
+        part = m.predict(rows).agg(F.avg("score").alias("mean_score"))
+        part = part.select(F.lit(name).alias("model"), *[F.lit(s[c]).alias(c) for c in ("nonzero", "min", "max", "intercept")], "mean_score")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "model string, nonzero int, min double, max double, intercept double, mean_score double")
+
+
 def train_grid(rows: DataFrame, points: list[tuple[float, float]], group: str | None = "dataset", iterations: int = 200, parallelism: int = 8) -> list[CohortModel]:
     """A model for each of *points* (variance, C), as :func:`train` has it. What comes before the components
     is fitted once, and points that keep equally many components share their fit. *parallelism* fits run at

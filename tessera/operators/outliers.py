@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import ZeroInflatedPoisson
@@ -12,9 +12,14 @@ from tessera.functions.numeric import ZeroInflatedPoisson
 THRESHOLD = 1 / 263_000_000
 
 
+def counted(col: str) -> Column:
+    """A value as the model counts it: rounded to an integer, NULL and negative values as zero."""
+    return F.greatest(F.coalesce(F.rint(col), F.lit(0.0)), F.lit(0.0))
+
+
 def zip_stats(bins: DataFrame, col: str = "cov") -> DataFrame:
     """(chrom, n, mu, nonzero) of values rounded to integers; NULL and negative values count as zero."""
-    v = F.greatest(F.coalesce(F.rint(col), F.lit(0.0)), F.lit(0.0))
+    v = counted(col)
     return bins.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mu"), F.count_if(v != 0).alias("nonzero"))
 
 

@@ -14,7 +14,7 @@ from tessera.plans import pipeline as P
 from tessera.plans.oracle import GC, LENGTHS, bucket, clamped, curve, r, smoothed, sql, sums_of, tiles
 from tessera.sources import arrays, bam, fasta, files
 from tessera.sources import tables as S
-from tessera.sources.stage import new_path
+from tessera.sources.stage import new_path, stage_table
 from tessera.streaming import running
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -228,6 +228,15 @@ def q_null_outliers(spark, d):
     return P.clipped(spark, d).select("chrom", "idx", "cov_raw")
 
 
+@query(sql(f"SELECT chrom, n, {r('mu')} AS mu, nonzero FROM zip"))
+def q_running_zip(spark, d):
+    bins = stage_table(P.aligned(spark, d).select("chrom", "cov").repartition(3), "stream")
+    folder = bins.inputFiles()[0].rsplit("/", 1)[0]
+    models = running.CountModels(new_path(spark, "models"), new_path(spark, "models-state"))
+    models.update(spark.readStream.schema(bins.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+    return rounded(models.parameters(spark), "mu")
+
+
 def _smooth_sql(kind: str) -> str:
     over = "PARTITION BY chrom ORDER BY bucket"
     return sql(f"SELECT chrom, bucket, {r('f')} AS mean FROM (SELECT chrom, bucket, {smoothed('mean', bias.kernel(5, kind), over)} AS f FROM gccurve)")
@@ -414,6 +423,34 @@ def q_matrix_reorder(spark, d):
     return rounded(rounded(matrix.in_order(wide, _dims(spark, d), "O").select("mask_type", "cell_type", "col_idx", "pearson_r", "xy_sum"), "pearson_r"), "xy_sum", digits=5)
 
 
+_WITH_CONSENSUS = {("plainsums" if k == "sums" else k): v for k, v in _PLAIN.items()} | {
+    "cmask": f"SELECT mask_type, chrom, idx, o::REAL::DOUBLE AS y FROM (SELECT mask_type, chrom, idx, {r('max(overlap)', 2)} AS o FROM mrows WHERE supplier % 10 = 0 GROUP BY ALL) WHERE o >= 0.8",
+    "ctypes": "SELECT DISTINCT mask_type, chrom FROM cmask",
+    "csums": "SELECT t.mask_type, 'consensus' AS cell_type, count(*) AS n, sum(cov) AS sx, sum(cov * cov) AS sxx, sum(coalesce(y, 0)) AS sy, sum(coalesce(y * y, 0)) AS syy, sum(coalesce(cov * y, 0)) AS sxy FROM ctypes t JOIN al ON al.chrom = t.chrom LEFT JOIN cmask c ON c.mask_type = t.mask_type AND c.chrom = al.chrom AND c.idx = al.idx WHERE cov IS NOT NULL GROUP BY t.mask_type",
+    "sums": "SELECT * FROM plainsums UNION ALL SELECT * FROM csums",
+}
+
+
+@query(
+    sql(
+        f"""SELECT mask_type, cell_type, (row_number() OVER (ORDER BY mask_type <> 'O', mask_type, ord)) - 1 AS col_idx, {r("pearson_r")} AS pearson_r, {r("xy_sum", 5)} AS xy_sum, n
+        FROM (SELECT mask_type, 'supp' || supplier AS cell_type, supplier AS ord FROM (SELECT DISTINCT mask_type, supplier FROM mrows) UNION ALL SELECT DISTINCT mask_type, 'consensus', -1 FROM cmask) JOIN feat USING (mask_type, cell_type)
+        WHERE mask_type = 'O' OR cell_type IN ('consensus', 'supp3', 'supp7')""",
+        **_WITH_CONSENSUS,
+    )
+)
+def q_features_with_consensus(spark, d):
+    # The consensus is a cell type of its own, at its place in the dimension; of other mask types two cell types are wanted.
+    bins, man, none = stage_table(P.aligned(spark, d), "aligned"), stage_table(S.manifest(spark, d), "manifest"), stage_table(S.consensus(spark, d), "consensus")
+    rows = P.sums(spark, d, bins, "cov", man=man).unionByName(correlate.consensus_sums(bins, none, "cov"))
+    own = none.select("mask_type", F.lit("consensus").alias("cell_type"), F.lit(-1).cast("long").alias("row_ord")).distinct()
+    kinds = [r["mask_type"] for r in man.select("mask_type").distinct().collect()]
+    dims = matrix.wanted_cells(_dims(spark, d).unionByName(own), {k: None if k == "O" else ["supp7", "consensus", "supp3", "absent"] for k in kinds})
+    wide = matrix.wide_form(correlate.long_form(correlate.features(rows, False)), missing=0.0)
+    out = matrix.in_order(wide, dims, "O").select("mask_type", "cell_type", "col_idx", "pearson_r", "xy_sum", "n")
+    return rounded(rounded(out, "pearson_r"), "xy_sum", digits=5)
+
+
 _OTHER = {{"xrows": "xrowsk", "xper": "xperk", "wide": "widek", "near": "neark", "sums": "sumsk", "feat": "featk"}.get(k, k): v for k, v in sums_of("al", "cov", keep=True).items()}
 for _old in ("xrows", "xper", "wide", "near", "sums"):
     _OTHER = {k: v.replace(f"FROM {_old} ", f"FROM {_old}k ").replace(f"JOIN {_old} ", f"JOIN {_old}k ") for k, v in _OTHER.items()}

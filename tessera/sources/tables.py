@@ -64,6 +64,14 @@ def read_cohorts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
+def with_labels(panel: DataFrame, column: str = "Cancer Status", positive: str = "Cancer") -> DataFrame:
+    """Rows of :func:`tessera.sources.files.read_panel` as a cohort (sample_id, dataset, y, features): y is 1 where the metadata's
+    *column* is *positive*, else 0, as it is for rows without the column."""
+    y = F.coalesce(F.col("meta")[column] == positive, F.lit(False)).cast("int")
+    sample = F.coalesce(F.col("meta")["Sample ID"], F.concat_ws(":", "dataset", "row"))
+    return panel.select(sample.alias("sample_id"), "dataset", y.alias("y"), "features")
+
+
 # Writers
 
 
