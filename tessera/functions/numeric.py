@@ -163,9 +163,18 @@ class ZeroInflatedPoisson:
         return (1 - self.share) + self.share * math.fsum(self._poisson(j) for j in range(k + 1))
 
     def tail(self, k: int) -> float:
-        """share * P(Poisson > k), summed upwards, so that it keeps its digits."""
-        total, j, term = 0.0, k + 1, self._poisson(k + 1)
-        while term > 0 and (j <= self.mean or term > total * 1e-17):
+        """share * P(Poisson > k). Past the mean the tail is summed upwards, so that it keeps its digits; before it, where the
+        terms next to k may be too small for a double though the tail is not, it is one less the sum downwards."""
+        total, j = 0.0, k + 1
+        if j <= self.mean:
+            term = self._poisson(k) if k >= 0 else 0.0
+            while term > total * 1e-17:
+                total += term
+                term *= k / self.mean
+                k -= 1
+            return self.share * (1.0 - total)
+        term = self._poisson(j)
+        while term > total * 1e-17:
             total += term
             j += 1
             term *= self.mean / j

@@ -106,6 +106,17 @@ def test_zip(spark):
     assert by_idx(out, "cov_clip")[-2:] == [2.0, 1.0] and by_idx(out, "cov_raw")[-2:] == [None, 1.0]
 
 
+def test_zip_of_large_means(spark):
+    # At a mean of 1,087 the chance of a small count is no double above 0, though nearly everything lies beyond it.
+    m = ZeroInflatedPoisson(100, 1087.3, 100)
+    assert m.tail(10) == 1.0 and m.tail(1086) == pytest.approx(1 - m.cdf(1086))
+    assert m.clip_at(1 / 263e6) == 1283 and ZeroInflatedPoisson(100, 20_000.0, 50).clip_at(1 / 263e6) == 20_805
+    bins = spark.createDataFrame([("c", i, 2_000.0 + i % 3) for i in range(99)] + [("c", 99, 9e5)], "chrom string, idx long, cov double")
+    k = outliers.thresholds(outliers.zip_stats(bins)).head()["k"]
+    out = by_idx(outliers.clip(bins, outliers.thresholds(outliers.zip_stats(bins))), "cov_clip")
+    assert out[:3] == [2000.0, 2001.0, 2002.0] and out[99] == k > 10_990
+
+
 def test_weights(spark):
     df = spark.createDataFrame([("A",), ("A",), ("A",), ("B",)], "dataset string")
     w = sorted(r["weight"] for r in evaluate.balanced_weights(df).collect())
