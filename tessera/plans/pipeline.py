@@ -64,10 +64,12 @@ def features(spark: SparkSession, d: str, p_values: bool = True, keep_consensus:
 
 
 def both_features(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The slice without and with consensus bins, from the same bins, masks and manifest."""
+    """The slice without and with consensus bins, from the same bins, masks and manifest. A mask of whose bins the consensus
+    leaves none has no features without them, and so is in neither."""
     bins, masks, man = stage_table(aligned(spark, d), "aligned"), stage_table(S.masks(spark, d), "masks"), stage_table(S.manifest(spark, d), "manifest")
     without, with_ = (correlate.features(sums(spark, d, bins, "cov", keep, masks, man), p_values=False) for keep in (False, True))
-    return without, with_
+    without = stage_table(without, "without")
+    return without, with_.join(without.select("mask_type", "cell_type"), ["mask_type", "cell_type"], "left_semi")
 
 
 def flagship(spark: SparkSession, d: str, p_values: bool = False, insert_sizes: bool = False) -> DataFrame:

@@ -12,6 +12,7 @@ from tessera.sources import files, tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 QUERIES, ORACLE = Q.queries(), Q.oracle_sql()
+NO_BINS_LEFT = ["q_diff_examples", "q_diff_stats", "q_diff_value_counts", "q_top_diffs", "q_worst_diffs"]
 
 
 def plain(v):
@@ -39,6 +40,26 @@ def test_equals_sql(spark, sf, db, name):
     assert sorted((tuple(plain(x) for x in r) for r in df.collect()), key=key) == want
 
 
+@pytest.fixture(scope="module")
+def covered(sf, tmp_path_factory):
+    """The smallest tables, in which the consensus of mask type O covers every bin: its masks have no bin left."""
+    d, con = tmp_path_factory.mktemp("covered"), duckdb.connect()
+    for t in ("events", "orders"):
+        (d / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    more = "SELECT l.* REPLACE (b AS l_orderkey, p AS l_partkey, 10 AS l_suppkey, 'O' AS l_linestatus, 0.1 AS l_discount) FROM (SELECT * FROM li LIMIT 1) l, range(721) r(b), range(5) q(p)"
+    con.execute(f"CREATE VIEW li AS SELECT * FROM '{sf}/lineitem.parquet'")
+    con.execute(f"COPY (SELECT * FROM li UNION ALL {more}) TO '{d}/lineitem.parquet' (FORMAT parquet)")
+    for t in ("events", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    return str(d), con
+
+
+@pytest.mark.parametrize("name", NO_BINS_LEFT)
+def test_masks_without_a_bin_left(spark, covered, name):
+    d, con = covered
+    test_equals_sql(spark, d, con, name)
+
+
 @pytest.mark.parametrize("name", ["q_insert_size_factors", "q_insert_size_corrected", "q_pvalue"])
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
