@@ -32,16 +32,19 @@ def wide_form(long: DataFrame, missing: float | None = None, default: str = "DNa
     return out if missing is None else out.fillna(missing, STATS)
 
 
-def in_order(wide: DataFrame, dims: DataFrame, first: str) -> DataFrame:
+def in_order(wide: DataFrame, dims: DataFrame, first: str, skip_empty: bool = False) -> DataFrame:
     """Columns of the matrix in order: mask type *first* before others, then the dimension's own order;
-    adds col_idx. Cell types without features are an error, and so is any statistic that one of them lacks."""
-    rows = dims.select("mask_type", "cell_type", "row_ord").join(wide, ["mask_type", "cell_type"], "left")
+    adds col_idx. Cell types without features are an error, and so is any statistic that one of them lacks. With *skip_empty*
+    cell types that *wide* doesn't have keep their number but give no row."""
+    w = Window.orderBy((F.col("mask_type") != first).cast("int"), "mask_type", "row_ord")
+    places = dims.select("mask_type", "cell_type", (F.row_number().over(w) - 1).cast("long").alias("__at"))
+    rows = places.join(wide, ["mask_type", "cell_type"], "inner" if skip_empty else "left")
     stats = [c for c in STATS if c in wide.columns]
     lost = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in stats]))
     bad = F.raise_error(F.concat(F.lit("no features: "), F.col("mask_type"), F.lit("::"), F.col("cell_type"), F.lit(" ("), F.array_join(lost, ", "), F.lit(")")))
-    checked = F.when(F.size(lost) == 0, F.col("n")).otherwise(bad.cast("double"))
-    w = Window.orderBy((F.col("mask_type") != first).cast("int"), "mask_type", "row_ord")
-    return rows.withColumn("n", checked).withColumn("col_idx", (F.row_number().over(w) - 1).cast("long")).drop("row_ord")
+    # Both columns hold the check: one that nobody selects is never computed.
+    checked = {"n": F.when(F.size(lost) == 0, F.col("n")).otherwise(bad.cast("double")), "col_idx": F.when(F.size(lost) == 0, F.col("__at")).otherwise(bad.cast("long"))}
+    return rows.withColumns(checked).drop("__at")
 
 
 def wanted_cells(dims: DataFrame, cells: dict[str, list[str] | None] | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from tessera.sources import files, tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 QUERIES, ORACLE = Q.queries(), Q.oracle_sql()
-NO_BINS_LEFT = ["q_diff_examples", "q_diff_stats", "q_diff_value_counts", "q_top_diffs", "q_worst_diffs"]
+NO_BINS_LEFT = ["q_diff_examples", "q_diff_stats", "q_diff_value_counts", "q_top_diffs", "q_worst_diffs", "q_features_with_consensus", "q_matrix_reorder"]
 
 
 def plain(v):
@@ -46,7 +46,7 @@ def covered(sf, tmp_path_factory):
     d, con = tmp_path_factory.mktemp("covered"), duckdb.connect()
     for t in ("events", "orders"):
         (d / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
-    more = "SELECT l.* REPLACE (b AS l_orderkey, p AS l_partkey, 10 AS l_suppkey, 'O' AS l_linestatus, 0.1 AS l_discount) FROM (SELECT * FROM li LIMIT 1) l, range(721) r(b), range(5) q(p)"
+    more = "SELECT l.* REPLACE (b AS l_orderkey, p AS l_partkey, 10 AS l_suppkey, 'O' AS l_linestatus, (8 + b % 3) / 100 AS l_discount) FROM (SELECT * FROM li LIMIT 1) l, range(721) r(b), range(5) q(p)"
     con.execute(f"CREATE VIEW li AS SELECT * FROM '{sf}/lineitem.parquet'")
     con.execute(f"COPY (SELECT * FROM li UNION ALL {more}) TO '{d}/lineitem.parquet' (FORMAT parquet)")
     for t in ("events", "orders", "lineitem"):
