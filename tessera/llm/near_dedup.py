@@ -100,12 +100,14 @@ def features(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
 def _unlike(a: Column, b: Column) -> Column:
     """Number of places in which two packed signatures differ."""
+    # A lane of 16 bits in a slot of 32 carries into the slot's next bit, if 0xFFFF is added, unless it is 0. The chunk is
+    # named twice, not sixteen times as when bits are folded: this expression is in several plans of each turn.
+    lane, carry = 0x0000FFFF0000FFFF, 0x0001000000010000
     total = F.lit(0)
     for c in range(CHUNKS):
         x = a[c].bitwiseXOR(b[c])
-        for shift in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        low, high = ((y.bitwiseAND(F.lit(lane)) + F.lit(lane)).bitwiseAND(F.lit(carry)) for y in (x, F.shiftrightunsigned(x, 16)))
+        total = total + F.bit_count(low.bitwiseOR(F.shiftrightunsigned(high, 1)))
     return total
 
 
@@ -172,7 +174,7 @@ def forests(edges: DataFrame, parts: int) -> DataFrame:
 
 
 def components(edges: DataFrame, task_edges: int = 200_000) -> DataFrame:
-    """(v, root): the smallest vertex reachable from each vertex of *edges* (a, b) but the smallest itself.
+    """(v, root), a stage table: the smallest vertex reachable from each vertex of *edges* (a, b) but the smallest itself.
 
     Tasks of about *task_edges* edges first contract their share to stars; where that took one task, it is
     the result. Else alternating large- and small-star steps go on until nothing changes, each written to
@@ -200,7 +202,7 @@ def components(edges: DataFrame, task_edges: int = 200_000) -> DataFrame:
         if (after := mark(now)) == seen:
             break
         seen = after
-    return now.select(F.col("a").alias("v"), F.col("b").alias("root")).groupBy("v").agg(F.min("root").alias("root"))
+    return stage_table(now.select(F.col("a").alias("v"), F.col("b").alias("root")).groupBy("v").agg(F.min("root").alias("root")), "components")
 
 
 def nearest_leads(rows: DataFrame, info: DataFrame, turn: int, alike) -> DataFrame:
@@ -373,11 +375,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = keys(classes, errors)
     company = index.groupBy("k", "v").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("k", "v")
     rows = stage_table(index.join(company, ["k", "v"]), "buckets")
-    links, marked, roots = None, rows.withColumn("comp", F.col("rep")), None
+    marked, roots = rows.withColumn("comp", F.col("rep")), None
+    # What is known so far goes on as stars, an edge for each class that is tied: it has the components of all links.
+    tied = lambda found: found if roots is None else found.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))
     for turn in range(turns):
         found = confirm(stage_table(nearest_leads(marked, info, turn, alike), "star"), docs, id_col, text_col, n, percent)
-        links = stage_table(found if links is None else links.unionByName(found), "links")
-        roots = stage_table(components(links), "components")
+        roots = components(tied(found))
         marked = rows.join(roots, rows["rep"] == roots["v"], "left").select("k", rows["v"], "rep", F.coalesce("root", "rep").alias("comp"))
     sizes = marked.groupBy("k", "v", "comp").agg(F.count(F.lit(1)).alias("c"))
     large = F.max(F.struct("c", "comp"))
@@ -387,7 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cands = stage_table(candidates(open_, percent, errors), "candidates")
     late = stage_table(confirm_blocks(cands, docs, id_col, text_col, n, percent), "late")
     if late.head(1):
-        roots = stage_table(components(links.unionByName(late)), "components")
+        roots = components(tied(late))
     by_set = classes.join(roots, classes["rep"] == roots["v"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = feats.select("id", "n_shingles", "digest").join(by_set, "digest", "left")
     root = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))

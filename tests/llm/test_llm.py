@@ -194,6 +194,19 @@ def test_candidates_span_batches(spark, most, size):
     assert pairs == [(i, j) for i in range(1, 12) for j in range(i + 1, 12) if j > 2]
 
 
+def test_unlike_places(spark):
+    rng = np.random.default_rng(5)
+    a = rng.choice(np.array([0, 1, 0x7FFF, 0x8000, 0xFFFF], np.uint16), (300, 12, 4))
+    b = np.where(rng.random(a.shape) < 0.5, a, rng.integers(0, 1 << 16, a.shape).astype(np.uint16))
+    packed = [(x.reshape(-1).view(np.int64).tolist(), y.reshape(-1).view(np.int64).tolist()) for x, y in zip(a, b, strict=True)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(packed)], "i long, a array<long>, b array<long>")
+    unlike = near_dedup._unlike(F.col("a"), F.col("b"))
+    got = [r["d"] for r in rows.select("i", unlike.alias("d")).orderBy("i").collect()]
+    assert got == (a != b).sum((1, 2)).tolist()
+    # The driver holds this expression in several plans of each turn: a chunk is named twice in it, not sixteen times.
+    assert len(str(unlike)) < 8_000
+
+
 def test_one_bucket_of_many_unlike_classes(spark):
     # 20,000 classes in one bucket, none like another but for 50 pairs: found, and no cell is large.
     rng = np.random.default_rng(5)
