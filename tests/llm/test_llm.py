@@ -204,7 +204,7 @@ def test_unlike_places(spark):
     got = [r["d"] for r in rows.select("i", unlike.alias("d")).orderBy("i").collect()]
     assert got == (a != b).sum((1, 2)).tolist()
     # The driver holds this expression in several plans of each turn: a chunk is named twice in it, not sixteen times.
-    assert len(str(unlike)) < 8_000
+    assert len(str(unlike)) < 4_000
 
 
 def test_one_bucket_of_many_unlike_classes(spark):
