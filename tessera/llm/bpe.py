@@ -30,6 +30,9 @@ _RUN = re.compile(f" (?=[{_SPACE}]|\\Z)")
 #: Marks that form one word at the end of a unit whatever letter is before them (an apostrophe may not).
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _CUT = re.compile(f"(?= [^{_SPACE}])")
+#: Arrow's pattern of what may follow a blank that begins no unit: nothing, or a space.
+ODD = "^(?:$|[" + re.sub(r"\\u(....)", r"\\x{\1}", _SPACE) + "])"
+WORDS = _WORDS.findall
 
 
 def vocabulary_path(name: str) -> str:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import array
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -21,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import MARKS, VOCABULARY, _at, byte_letters, units, vocabulary_path
+from tessera.llm.batches import by_units
+from tessera.llm.bpe import MARKS, ODD, VOCABULARY, WORDS, _at, byte_letters, units, vocabulary_path
 from tessera.llm.store import drop_table, freed_shuffles, new_path, slices, stage_table
 
 STEP, LIMIT, MAGIC = 256, 20, b"TSHF0002"
+# Characters that every Unicode version puts into the same class, so words of such units are the library's.
+_PLAIN = re.compile("[\t-\r -~\u00a0-\u017e]+").fullmatch
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -135,53 +139,85 @@ class Table:
 _memo: dict[str, object] = {}
 
 
-def library_encoder(vocabulary: str, most: int = 600_000):
-    """text -> little-endian u32 bytes of its ids, as the tokenizers library encodes it. Units between
-    cuts that no word crosses are encoded one by one and kept, at most *most* of them."""
-    if _memo.get("name") != vocabulary:
+class LibraryEncoder:
+    """text -> little-endian u32 bytes of its ids, as the tokenizers library encodes it. Units between cuts that no word
+    crosses are encoded one by one and kept without their blank, *most* words and a quarter as many units."""
+
+    def __init__(self, vocabulary: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         lib = Tokenizer.from_file(vocabulary_path(vocabulary))
         lib.no_truncation()
         lib.no_padding()
+        model, letters, blank = lib.model.tokenize, dict(enumerate(byte_letters())), byte_letters()[32]
 
-        model, letters = lib.model.tokenize, dict(enumerate(byte_letters()))
+        class Words(dict):
+            # Words go to the library's model without its word splitter.
+            def __missing__(self, w: str) -> bytes:
+                shown = w.replace(" ", blank) if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(letters)
+                v = array.array("I", [t.id for t in model(shown)]).tobytes()
+                if len(self) < most:
+                    self[w] = v
+                return v
+
+        self.words = Words()
+        word = self.words.__getitem__
+
+        def unit(u: str) -> bytes:
+            core = u.rstrip(MARKS)
+            if (core[1:] if core[:1] == " " else core).isalpha():
+                # Letters with a blank before and marks after them are one word and another.
+                return word(core) + word(u[len(core) :]) if len(core) < len(u) else word(core)
+            if _PLAIN(u):
+                return b"".join(map(word, WORDS(u)))
+            return whole(u)
 
         class Units(dict):
             def __missing__(self, u: str) -> bytes:
-                core = u.rstrip(MARKS)
-                if (core[1:] if core[:1] == " " else core).isalpha():
-                    # Letters with a blank before and marks after them are one word and another: these go
-                    # to the library's model without its word splitter.
-                    ids = [t.id for t in model(core.encode().decode("latin-1").translate(letters))]
-                    v = array.array("I", ids).tobytes() + (self[u[len(core) :]] if len(core) < len(u) else b"")
-                else:
-                    v = array.array("I", lib.encode(u, add_special_tokens=False).ids).tobytes()
-                if len(self) < most:
+                v = unit(" " + u)
+                if len(self) < most // 4:
                     self[u] = v
                 return v
 
-        special = [t.content for t in lib.get_added_tokens_decoder().values()]
-        get, one = Units().__getitem__, lib.encode
+        def whole(t: str) -> bytes:
+            return array.array("I", lib.encode(t, add_special_tokens=False).ids).tobytes()
+
+        self.special = [t.content for t in lib.get_added_tokens_decoder().values()]
+        self.whole, self.unit, self.get = whole, unit, Units().__getitem__
+
+    def __call__(self, t: str) -> bytes:
+        if any(s in t for s in self.special):
+            return self.whole(t)
+        return b"".join(self.get(u[1:]) if u[:1] == " " else self.unit(u) for u in units(t))
+
+    def batch(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids of all *texts*, *end* after each, and where each one's begin."""
+        return by_units(texts, lambda found: list(map(self.get, found)), self, self.special, self.unit, ODD, end)
+
+
+def library_encoder(vocabulary: str, most: int = 800_000) -> LibraryEncoder:
+    """A worker's encoder."""
+    if _memo.get("name") != vocabulary:
         _memo.clear()
+        _memo["f"] = LibraryEncoder(vocabulary, most)
         _memo["name"] = vocabulary
-        _memo["f"] = lambda t: (
-            array.array("I", one(t, add_special_tokens=False).ids).tobytes() if any(s in t for s in special) else b"".join(map(get, units(t)))
-        )
     return _memo["f"]
 
 
-def tokenize(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, rows: int = 256) -> DataFrame:
+def tokenize(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, rows: int = 4096) -> DataFrame:
     """(id, n, ids as little-endian u32 bytes with the end id)."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         f, end = library_encoder(vocabulary), struct.pack("<I", end_id)
         for whole in batches:
-            for b in slices(whole, 1, rows, 16 << 20):
-                ids = [(f(t) if t else b"") + end for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n", "ids"])
+            for b in slices(whole, 1, rows, 8 << 20):
+                data, at = f.batch(b.column(1), end)
+                for lo in range(0, b.num_rows, 256):
+                    hi = min(b.num_rows, lo + 256)
+                    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(at[lo : hi + 1].copy()), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(at[lo : hi + 1]) // 4), ids.cast(pa.binary())], ["id", "n", "ids"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, ids binary")
 
@@ -192,8 +228,11 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
-                c = np.bincount(np.frombuffer(x, "<u4"))
+            column = b.column(0).cast(pa.large_binary())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            ids = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].view("<u4")
+            for lo in range(0, len(ids), 1 << 20):
+                c = np.bincount(ids[lo : lo + (1 << 20)])
                 if len(c) > len(total):
                     total, c = c, total
                 total[: len(c)] += c
