@@ -17,17 +17,21 @@ def by_units(
     first: Callable[[str], bytes] | None = None,
     odd: str | None = None,
     end: bytes = b"",
+    blanks: str = "",
 ) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all *texts* one after the other, and where each text's begin (with the last's end).
 
-    A text is cut at every blank; *units* gives the values of distinct parts. With *first*, a text's first part goes there
+    A text is cut at every blank, and at the characters in *blanks*; *units* gives the values of distinct parts. With *first*, a text's first part goes there
     (if it isn't empty). Texts with a *special* token or a part that fits the pattern *odd* go to *whole*. *end* follows each text; null is empty.
     """
     texts, n = texts.cast(pa.large_string()).fill_null(""), len(texts)
     apart = np.zeros(n, bool)
     for s in special:
         apart |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-    cut = pc.split_pattern(texts, " ")
+    spaced = texts
+    for c in blanks:
+        spaced = pc.replace_substring(spaced, c, " ")
+    cut = pc.split_pattern(spaced, " ")
     starts = cut.offsets.to_numpy()
     starts, size, parts = starts[:-1] - starts[0], np.diff(starts), cut.flatten()
     head = [b""] * n

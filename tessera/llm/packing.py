@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.batches import by_units
 from tessera.llm.bpe import byte_letters, vocabulary_path
 from tessera.llm.store import slices, stage_table
 
@@ -32,12 +33,12 @@ _LETTERS = "a-z\u00df-\u00f6\u00f8-\u017e"
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s{_LETTERS}0-9]+").findall
 
 
-def word_encoder(vocabulary: str, dtype: str, most: int = 400_000):
+class WordEncoder:
     """text -> bytes of its ids (*dtype*), as the tokenizers library encodes it. The vocabulary drops white space, so
-    what stands between blanks is encoded alone and kept, and so are the words of such units; at most *most* of each.
+    what stands between blanks is encoded alone and kept, and so are the words of such units; *most* of each.
     Words of plain units go to the library's model without its normalizer and splitter."""
-    key = (vocabulary, dtype)
-    if key not in _memo:
+
+    def __init__(self, vocabulary: str, dtype: str, most: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,19 +64,50 @@ def word_encoder(vocabulary: str, dtype: str, most: int = 400_000):
                     self[u] = v
                 return v
 
-        special = [t.content for t in lib.get_added_tokens_decoder().values()]
-        get = Units().__getitem__
+        self.special = [t.content for t in lib.get_added_tokens_decoder().values()]
+        self.whole, self.get = whole, Units().__getitem__
 
-        def encode(t: str) -> bytes:
-            if any(s in t for s in special):
-                return whole(t)
-            return b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+    def __call__(self, t: str) -> bytes:
+        if any(s in t for s in self.special):
+            return self.whole(t)
+        return b"".join(map(self.get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
+    def batch(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids of all *texts*, *end* after each, and where each one's begin."""
+        return by_units(texts, lambda found: list(map(self.get, found)), self.whole, self.special, end=end, blanks="\n\t\r")
+
+
+def word_encoder(vocabulary: str, dtype: str, most: int = 800_000) -> WordEncoder:
+    """A worker's encoder."""
+    key = (vocabulary, dtype)
+    if key not in _memo:
         _memo.clear()
-        _memo[key] = encode
+        _memo[key] = WordEncoder(vocabulary, dtype, most)
     return _memo[key]
 
 
+def cut(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and start of the pieces of documents of *sizes* ids, cut at every *window*."""
+    n = -(-sizes // window)
+    of = np.repeat(np.arange(len(sizes)), n)
+    return of, (np.arange(len(of)) - (np.cumsum(n) - n)[of]) * window
+
+
+def largest(ids: np.ndarray, sizes: np.ndarray, of: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The largest, second and third distinct id (else 0) of pieces of *sizes* ids that follow each other, and the
+    distinct ids of each document (*of* is a piece's, rising), one document's after the other's."""
+    n, span = len(sizes), int(ids.max(initial=0)) + 1
+    key = np.repeat(np.arange(n) * span, sizes) + ids
+    key = np.sort(key.astype(np.int32) if n * span < 1 << 31 else key).astype(np.int64)
+    key = key[np.append(True, np.diff(key) > 0)] if len(key) else key
+    ends = np.searchsorted(key, np.arange(n + 1) * span)
+    at = ends[1:, None] - [1, 2, 3]
+    top = np.where(at >= ends[:-1, None], key[np.maximum(at, 0)] % span, 0)
+    piece = key // span
+    several = np.bincount(of)[of[piece]] > 1
+    return list(top.T), np.concatenate([key[~several] % span, np.unique(of[piece[several]] * span + key[several] % span) % span])
+
+
 def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int, window: int, dtype: str) -> DataFrame:
     """(id, doc_tokens, start, ids, k1, k2, k3) of all documents, cut at every *window* ids; k1 to k3 are the largest
     ids of a piece. Rows whose doc_tokens is null hold in k1 an id and in start the number of a task's documents with it."""
@@ -86,26 +118,23 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id:
         seen, of = np.zeros(0, np.int64), None
         for whole in batches:
             of = whole.schema.field(0).type
-            for b in slices(whole, 1, 512, 8 << 20):
-                at, n, start, ids, top = [], [], [], [], []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    data = (f(t) if t else b"") + end
-                    distinct = np.unique(np.frombuffer(data, dtype))
-                    if distinct[-1] >= len(seen):
-                        seen = np.concatenate([seen, np.zeros(int(distinct[-1]) + 1 - len(seen), np.int64)])
-                    seen[distinct] += 1
-                    for s in range(0, len(data), window * itemsize):
-                        part = data[s : s + window * itemsize]
-                        at.append(i)
-                        n.append(len(data) // itemsize)
-                        start.append(s // itemsize)
-                        ids.append(part)
-                        own = distinct if len(part) == len(data) else np.unique(np.frombuffer(part, dtype))
-                        top.append([0, 0, *own[-3:].tolist()][-3:])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(start, pa.int64()), pa.array(ids, pa.binary()), *(pa.array([t[k] for t in top], pa.int32()) for k in (2, 1, 0))],
-                    ["id", "doc_tokens", "start", "ids", "k1", "k2", "k3"],
-                )
+            for b in slices(whole, 1, 4096, 8 << 20):
+                data, at = f.batch(b.column(1), end)
+                for lo in range(0, b.num_rows, 512):
+                    ends = at[lo : lo + 513]
+                    sizes = np.diff(ends) // itemsize
+                    i, start = cut(sizes, window)
+                    begin = np.append(ends[i] + start * itemsize, ends[-1])
+                    top, distinct = largest(data[ends[0] : ends[-1]].view(dtype).astype(np.int64), np.diff(begin) // itemsize, i)
+                    c = np.bincount(distinct)
+                    if len(c) > len(seen):
+                        seen, c = c, seen
+                    seen[: len(c)] += c
+                    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(i), [None, pa.py_buffer(begin), pa.py_buffer(data)])
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(i + lo)), pa.array(sizes[i]), pa.array(start), ids.cast(pa.binary()), *(pa.array(t.astype(np.int32)) for t in top)],
+                        ["id", "doc_tokens", "start", "ids", "k1", "k2", "k3"],
+                    )
         some = np.flatnonzero(seen)
         if len(some):
             none = lambda t: pa.nulls(len(some), t)
@@ -124,10 +153,12 @@ class Index:
         n = len(ids)
         self.left = np.array([len(x) for x in ids], np.int64)
         key = np.concatenate(ids).astype(np.int64) * n + np.repeat(np.arange(n), self.left)
-        key, tf = np.unique(key, return_counts=True)
+        key = np.sort(key.astype(np.int32) if key.max(initial=0) < 1 << 31 else key).astype(np.int64)  # half as wide sorts faster
+        own = np.flatnonzero(np.diff(key, prepend=-1))
+        key, tf = key[own], np.diff(own, append=len(key))
         self.docs, term = key % n, key // n
         self.weights = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * self.left[self.docs] / mean))
-        by_doc = np.argsort(self.docs, kind="stable")
+        by_doc = np.argsort(self.docs.astype(np.uint16) if n <= 1 << 16 else self.docs, kind="stable")
         self.first_term = np.searchsorted(self.docs[by_doc], np.arange(n + 1))
         # Terms get numbers of their own in the shard.
         new = np.diff(term, prepend=-1) > 0

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import batches, bpe, token_files
+from tessera.llm import batches, bpe, packing, token_files
 
 CHARS = ["a", "Bc", "é", "'s", "'", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", " ", "　", "1", "23", "!", "Σ", "İ", "漢", "<|endoftext|>", "<|", "́", "​", "­", "ž", "ǅ", "😀"]
 
@@ -59,3 +59,24 @@ def test_words_of_units_are_kept(byte_library):
     n = len(words)
     assert np.frombuffer(f("so uniten. uniten\nUniten uniten"), "<u4").tolist() == byte_library.encode("so uniten. uniten\nUniten uniten", add_special_tokens=False).ids
     assert len(words) == n
+
+
+def test_batches_of_packing_encode_as_whole_texts():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(packing.vocabulary_path(packing.VOCABULARY))
+    texts = mixed(20_000, 5)
+    got = of(*packing.WordEncoder(packing.VOCABULARY, "<u2", 200).batch(pa.array(texts).slice(1), b"\2\0"), "<u2")
+    for t, ids in zip(texts[1:], got, strict=True):
+        assert ids == [*library.encode(t, add_special_tokens=False).ids, 2], repr(t)
+
+
+def test_pieces_and_their_largest_ids():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 40, n) for n in (1, 1, 2, 3, 10, 11, 25, 1, 60, 7)]
+    i, start = packing.cut(np.array([len(d) for d in docs]), 10)
+    parts = [d[s : s + 10] for d in docs for s in range(0, len(d), 10)]
+    assert [docs[k][s : s + 10].tolist() for k, s in zip(i, start, strict=True)] == [p.tolist() for p in parts]
+    top, distinct = packing.largest(np.concatenate(docs), np.array([len(p) for p in parts]), i)
+    assert np.array(top).T.tolist() == [[*sorted(set(p.tolist()), reverse=True)[:3], 0, 0][:3] for p in parts]
+    assert sorted(distinct.tolist()) == sorted(x for d in docs for x in set(d.tolist()))
