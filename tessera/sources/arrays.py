@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -122,3 +124,69 @@ def write_masks(masks: DataFrame, folder: str, bins: int) -> int:
         return pa.table({"n": pa.array([1], pa.int64())})
 
     return int(masks.groupBy("mask_type", "cell_type", "chrom").applyInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+
+
+def write_mask_sets(masks: DataFrame, folder: str, bins: int, most: int = 500_000) -> dict[str, int]:
+    """Write (mask_type, cell_type, chrom, idx, overlap) as files ``folder/<mask type>/<chrom>/part-*.npz``, each a sparse
+    matrix of *bins* rows with a column for each of many cell types, and their names; the number of files by mask type.
+
+    A cell type's rows are in one task, so files are some for a task, mask type and chromosome however many cell types
+    there are. A file has about *most* entries; the column at its end may go on in the next. A task run again writes the
+    same files, and each gets its name when it is complete."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = open_at(folder)
+        task = TaskContext.get().partitionId()
+        held: list[pa.RecordBatch] = []
+        now, size, n = None, 0, 0
+        done: dict[str, int] = {}
+
+        def flush() -> None:
+            nonlocal size, n
+            if held:
+                kind, chrom = now
+                table = pa.Table.from_batches(held)
+                cells = table["cell_type"].combine_chunks().dictionary_encode()
+                first = np.searchsorted(cells.indices.to_numpy(), np.arange(len(cells.dictionary) + 1))
+                names = np.array([c.encode() for c in cells.dictionary.to_pylist()], object)
+                out = io.BytesIO()
+                np.savez_compressed(
+                    out, format=np.array(b"csc"), shape=np.array([bins, len(names)]), indices=table["idx"].to_numpy(), indptr=first, data=table["overlap"].to_numpy(),
+                    names=np.frombuffer(b"".join(names), np.uint8), name_ends=np.cumsum([len(c) for c in names]),
+                )
+                files.create_dir(f"{root}/{kind}/{chrom}")
+                temp = f"{root}/{kind}/{chrom}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(temp) as f:
+                    f.write(out.getvalue())
+                files.move(temp, f"{root}/{kind}/{chrom}/part-{task:06d}-{n:06d}.npz")
+                done[kind] = done.get(kind, 0) + 1
+                held.clear()
+                size, n = 0, n + 1
+
+        for b in batches:
+            codes = [b.column(k).dictionary_encode().indices.to_numpy() for k in (0, 1)]
+            cuts = [0, *(np.flatnonzero((np.diff(codes[0]) != 0) | (np.diff(codes[1]) != 0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo < hi:
+                    key = (b.column(0)[lo].as_py(), b.column(1)[lo].as_py())
+                    if key != now or size >= most:
+                        flush()
+                        now = key
+                    held.append(b.slice(lo, hi - lo))
+                    size += hi - lo
+        flush()
+        yield pa.RecordBatch.from_arrays([pa.array(list(done), pa.string()), pa.array(list(done.values()), pa.int64())], ["mask_type", "n"])
+
+    order = ["mask_type", "chrom", "cell_type", "idx"]
+    rows = masks.select(*order, F.col("overlap").cast("double").alias("overlap")).repartition("mask_type", "cell_type").sortWithinPartitions(*order)
+    written = rows.mapInArrow(run, "mask_type string, n long").groupBy("mask_type").agg(F.sum("n").alias("n"))
+    return {r["mask_type"]: r["n"] for r in written.collect()}
+
+
+def mask_set_rows(content: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Cell types, places and values of the entries of a file of :func:`write_mask_sets`."""
+    with np.load(io.BytesIO(content), allow_pickle=False) as z:
+        ends, first = z["name_ends"].astype(np.int64), z["indptr"].astype(np.int64)
+        names = pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.append(0, ends)), pa.py_buffer(z["names"]))
+        cells = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(ends)), np.diff(first))), names.cast(pa.string()))
+        return pc.cast(cells, pa.string()), z["indices"].astype(np.int64), z["data"].astype(float)

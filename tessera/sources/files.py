@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import rint_to
-from tessera.sources.arrays import mask_paths, read_rows
+from tessera.sources.arrays import mask_paths, mask_set_rows, read_rows
 
 
 def _sparse_rows(content: bytes) -> tuple[int, np.ndarray, np.ndarray]:
@@ -70,6 +70,25 @@ def read_masks(spark: SparkSession, folder: str, mask_type: str, cell_types: lis
     return rows.select(F.lit(mask_type).alias("mask_type"), F.col("group").alias("cell_type"), "chrom", "idx", F.col("value").alias("overlap"))
 
 
+def read_mask_sets(spark: SparkSession, folder: str, mask_type: str, chrom: str | None = None) -> DataFrame:
+    """(mask_type, cell_type, chrom, idx, overlap) of all files that :func:`tessera.sources.arrays.write_mask_sets` wrote to
+    ``folder/<mask type>``, rounded as those of :func:`read_masks`; files of other chromosomes aren't opened."""
+    one = f"{folder}/{mask_type}" + ("" if chrom is None else f"/{chrom}")
+    sets = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.npz").option("recursiveFileLookup", "true").load(one)
+
+    def run(batches):
+        for b in batches:
+            for where, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                cells, idx, v = mask_set_rows(content)
+                for i in range(0, len(idx), 100_000):
+                    part = idx[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([where] * len(part)), cells.slice(i, len(part)), pa.array(part), pa.array(v[i : i + 100_000])], ["chrom", "cell_type", "idx", "value"])
+
+    rows = sets.select(F.regexp_extract("path", r"([^/]+)/[^/]+\.npz$", 1).alias("chrom"), "content").mapInArrow(run, "chrom string, cell_type string, idx long, value double")
+    overlap = rint_to(F.col("value").cast("float").cast("double"), 2).alias("overlap")
+    return rows.select(F.lit(mask_type).alias("mask_type"), "cell_type", "chrom", "idx", overlap).filter("overlap <> 0")
+
+
 def gather(bins: DataFrame, vector: DataFrame, name: str) -> DataFrame:
     """*bins* with *name*, the vector's value at (chrom, idx), 0.0 where none is stored."""
     rows = vector.select("chrom", "idx", F.col("value").alias(name))

@@ -265,3 +265,31 @@ def test_sums_of_mask_files_equal_dense_sums(spark, tmp_path):
     got = {r["cell_type"]: list(r)[2:] for r in correlate.sparse_sums(bins, files.read_masks(spark, str(tmp_path / "A"), "A"), manifest, "x").collect()}
     assert got.keys() == want.keys() == {"k1", "k2"}
     assert all(np.allclose(got[k], want[k]) for k in got)
+
+
+def test_mask_sets_are_few_files_and_give_their_masks_back(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    names = [f"k{i}" for i in range(300)] + ["é cell/1", "漢"]
+    rows = [(t, cell, c, int(i), float(v)) for t in "AB" for cell in names for c in ("x", "y") for i, v in zip(rng.permutation(15)[:6], np.round(rng.random(6), 2) + 0.01)]
+    masks = spark.createDataFrame(rows, "mask_type string, cell_type string, chrom string, idx long, overlap double").repartition(7)
+    n = arrays.write_mask_sets(masks, str(tmp_path / "whole"), 15)
+    # Not a file for each of 302 cell types, two mask types and two chromosomes.
+    assert set(n) == {"A", "B"} and sum(n.values()) == len(list((tmp_path / "whole").rglob("*.npz"))) <= 4 * 8
+    arrays.write_mask_sets(masks, str(tmp_path / "cut"), 15, most=100)
+    want = sorted(masks.withColumn("overlap", F.round("overlap", 2)).collect())
+    for name in ("whole", "cut"):
+        got = files.read_mask_sets(spark, str(tmp_path / name), "A").unionByName(files.read_mask_sets(spark, str(tmp_path / name), "B"))
+        assert sorted(got.collect()) == want
+    assert sorted(files.read_mask_sets(spark, str(tmp_path / "cut"), "B", "y").collect()) == [r for r in want if (r["mask_type"], r["chrom"]) == ("B", "y")]
+    assert arrays.write_mask_sets(masks.limit(0), str(tmp_path / "none"), 15) == {}
+
+
+def test_the_query_of_mask_files_writes_few_of_them(spark, sf, monkeypatch):
+    from tessera.plans import queries
+
+    files_of = []
+    write = arrays.write_mask_sets
+    monkeypatch.setattr(arrays, "write_mask_sets", lambda *a: files_of.append(write(*a)) or files_of[-1])
+    got = sorted(map(tuple, queries._queries["q_mask_files_sums"](spark, sf).collect()))
+    assert got == sorted(map(tuple, queries._queries["q_pearson_sums_sparse"](spark, sf).collect()))
+    assert len(got) >= 10 and sum(files_of[0].values()) <= 4 * 2 * 5
