@@ -9,6 +9,28 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def split(texts: pa.LargeStringArray, first: bool, odd: str | None = None, blanks: str = ""):
+    """Distinct parts of *texts* between blanks (and characters in *blanks*), each part's place in them, the number of parts
+    of each text, each text's first part (kept apart with *first*), and which texts have a part that fits *odd*."""
+    for c in blanks:
+        texts = pc.replace_substring(texts, c, " ")
+    cut = pc.split_pattern(texts, " ")
+    starts = cut.offsets.to_numpy()
+    starts, size, parts, heads = starts[:-1] - starts[0], np.diff(starts), cut.flatten(), []
+    if first:
+        heads = parts.take(pa.array(starts)).to_numpy(zero_copy_only=False).tolist()
+        keep = np.ones(len(parts), bool)
+        keep[starts] = False
+        parts, size = parts.filter(pa.array(keep)), size - 1
+    known = parts.dictionary_encode()
+    places, names = known.indices.to_numpy(zero_copy_only=False).astype(np.int64), known.dictionary.to_numpy(zero_copy_only=False).tolist()
+    apart = np.zeros(len(texts), bool)
+    if odd:
+        bad = pc.match_substring_regex(known.dictionary, odd).to_numpy(zero_copy_only=False)
+        apart[np.repeat(np.arange(len(texts)), size)[bad[places]]] = True
+    return names, places, size, heads, apart
+
+
 def by_units(
     texts: pa.Array,
     units: Callable[[list[str]], list[bytes]],
@@ -25,30 +47,11 @@ def by_units(
     (if it isn't empty). Texts with a *special* token or a part that fits the pattern *odd* go to *whole*. *end* follows each text; null is empty.
     """
     texts, n = texts.cast(pa.large_string()).fill_null(""), len(texts)
-    apart = np.zeros(n, bool)
+    names, places, size, heads, apart = split(texts, bool(first), odd, blanks)
     for s in special:
         apart |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-    spaced = texts
-    for c in blanks:
-        spaced = pc.replace_substring(spaced, c, " ")
-    cut = pc.split_pattern(spaced, " ")
-    starts = cut.offsets.to_numpy()
-    starts, size, parts = starts[:-1] - starts[0], np.diff(starts), cut.flatten()
-    head = [b""] * n
-    if first:
-        heads = parts.take(pa.array(starts)).to_numpy(zero_copy_only=False).tolist()
-        keep = np.ones(len(parts), bool)
-        keep[starts] = False
-        parts, size = parts.filter(pa.array(keep)), size - 1
-    known = parts.dictionary_encode()
-    places, names = known.indices.to_numpy(zero_copy_only=False).astype(np.int64), known.dictionary.to_numpy(zero_copy_only=False).tolist()
-    if odd:
-        bad = pc.match_substring_regex(known.dictionary, odd).to_numpy(zero_copy_only=False)
-        if bad.any():
-            apart[np.repeat(np.arange(n), size)[bad[places]]] = True
     # Entries: the distinct parts, what each text begins with, the end, nothing.
-    if first:
-        head = [first(h) if h else b"" for h in heads]
+    head = [first(h) if h else b"" for h in heads] if first else [b""] * n
     for i in np.flatnonzero(apart).tolist():
         head[i] = whole(texts[i].as_py())
     if apart.any():

@@ -14,13 +14,15 @@ import tempfile
 from collections import Counter
 from itertools import accumulate, repeat
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import frugal, new_path, stage_table
+from tessera.llm.batches import by_units, split
+from tessera.llm.store import frugal, new_path, slices, stage_table
 
 VOCABULARY = "byte_bpe_50k.json"
 # White space as the pattern's \s has it, and the vocabulary's word pattern.
@@ -200,17 +202,17 @@ class Lexicon:
 
 
 class Units(dict):
-    """Little-endian int32 ids of text units that follow a blank, as bytes, kept for at most *most* units without that
-    blank; their words, kept as well, come from the lexicon, and those it doesn't have are merged."""
+    """Little-endian int32 ids of text units that follow a blank, as bytes, kept for at most half of *most* units without
+    that blank; their words, *most* of which are kept as well, come from the lexicon, and those it doesn't have are merged."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int):
         super().__init__()
         self.merges, self.lexicon, self.most = merges, lexicon, most
-        self.words: dict[str, bytes] = {}  # half as many
+        self.words: dict[str, bytes] = {}
 
     def __missing__(self, u: str) -> bytes:
         v = self.ids_of(" " + u)
-        if len(self) < self.most:
+        if len(self) < self.most // 2:
             self[u] = v
         return v
 
@@ -224,7 +226,7 @@ class Units(dict):
     def word(self, w: str) -> bytes:
         raw = w.encode("utf-8", "replace")
         v = array.array("i", (self.lexicon.find(raw) if self.lexicon else None) or self.merges.encode(raw)).tobytes()
-        if len(self.words) < self.most // 2:
+        if len(self.words) < self.most:
             self.words[w] = v
         return v
 
@@ -235,6 +237,19 @@ class Encoder:
     def __init__(self, merges: Merges, lexicon: Lexicon | None, most: int = 800_000):
         self.merges, self.units = merges, Units(merges, lexicon, most)
         self.get = self.units.__getitem__
+        # A token's bytes at its id's place.
+        self.bytes_at = pa.array([merges.bytes_of.get(i, b"") for i in range(max(merges.bytes_of) + 1)], pa.large_binary())
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids of all *texts*, one after the other, and where each one's begin; null is empty."""
+        return by_units(texts, lambda found: list(map(self.get, found)), self, list(self.merges.special), self.units.ids_of, ODD)
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Texts of the ids between each two *ends*."""
+        laid = self.bytes_at.take(pa.array(ids))
+        at = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset : laid.offset + len(laid) + 1][ends].tolist()
+        data = (laid.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]  # noqa: B905
 
     def __call__(self, text: str) -> bytes:
         special = self.merges.special
@@ -278,14 +293,17 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = 65_536,
                                 found[w] += n
                     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["u", "n"])
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if t and _RUN.search(t):
-                    others.update(units(t))
-                elif t:
-                    first, *rest = t.split(" ")
-                    others[first] += 1
-                    seen.update(rest)
+        for whole in batches:
+            for b in slices(whole, 0, 4096, 8 << 20):
+                texts = b.column(0).cast(pa.large_string()).fill_null("")
+                names, places, size, heads, apart = split(texts, True, ODD)
+                found = np.bincount(places[~np.repeat(apart, size)], minlength=len(names)).tolist()
+                for u, n in zip(names, found, strict=True):
+                    if n:
+                        seen[u] += n
+                others.update(h for h, other in zip(heads, apart.tolist(), strict=True) if h and not other)
+                for i in np.flatnonzero(apart).tolist():
+                    others.update(units(texts[i].as_py()))
                 if len(seen) + len(others) > 10 * local:
                     yield from counted()
         yield from counted()
@@ -360,14 +378,12 @@ def encode(docs: DataFrame, lexicon: str | None, id_col: str = "doc_id", text_co
     def run(batches):
         e = opened(vocabulary, lexicon)
         for whole in batches:
-            for i in range(0, whole.num_rows, rows):
-                b = whole.slice(i, rows)
-                ids = [e(t) if t else b"" for t in b.column(1).to_pylist()]
-                ends = pa.array([0, *accumulate(len(x) // 4 for x in ids)], pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(ids))]))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *b.columns[2:], lists, pa.array([e.decode(x) for x in ids], pa.string())],
-                    ["doc_id", *keep, "ids", "decoded"],
-                )
+            for b in slices(whole, 1, 16 * rows, 8 << 20):
+                data, at = e.batch(b.column(1))
+                for lo in range(0, b.num_rows, rows):
+                    part, ends = b.slice(lo, rows), at[lo : lo + rows + 1]
+                    ids, ends = data[ends[0] : ends[-1]].view("<i4"), (ends - ends[0]) // 4
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], lists, pa.array(e.decode_all(ids, ends), pa.string())], ["doc_id", *keep, "ids", "decoded"])
 
     return docs.select(F.col(id_col), F.col(text_col), *keep).mapInArrow(frugal(run), f"doc_id {kind}{types}, ids array<int>, decoded string")

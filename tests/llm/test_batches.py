@@ -80,3 +80,25 @@ def test_pieces_and_their_largest_ids():
     top, distinct = packing.largest(np.concatenate(docs), np.array([len(p) for p in parts]), i)
     assert np.array(top).T.tolist() == [[*sorted(set(p.tolist()), reverse=True)[:3], 0, 0][:3] for p in parts]
     assert sorted(distinct.tolist()) == sorted(x for d in docs for x in set(d.tolist()))
+
+
+def test_batches_of_bpe_encode_and_decode_as_whole_texts(byte_library):
+    texts = mixed(20_000, 6)
+    e = bpe.Encoder(bpe.Merges(), None, 200)
+    data, at = e.batch(pa.array(texts).slice(1))
+    want = [byte_library.encode(t, add_special_tokens=False).ids for t in texts[1:]]
+    assert of(data, at, "<i4") == want
+    assert e.decode_all(data.view("<i4"), at // 4) == [byte_library.decode(ids, skip_special_tokens=False) for ids in want]
+    data, at = e.batch(pa.array([None, ""], pa.string()))
+    assert e.decode_all(data.view("<i4"), at // 4) == ["", ""]
+
+
+def test_words_are_counted_by_batches(spark):
+    texts = mixed(3000, 7)
+    count = {}
+    for t in texts:
+        for u in bpe.units(t or ""):
+            for w in bpe.WORDS(u):
+                count[w] = count.get(w, 0) + 1
+    got = bpe.frequent_words(spark.createDataFrame([(t,) for t in texts], "text string"), words=40, local=20)
+    assert got == sorted(count, key=lambda w: (-count[w], w))[:40]
