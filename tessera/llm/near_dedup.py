@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import frugal, known_texts, stage_table
+from tessera.llm.store import frugal, known_texts, shuffled, stage_table
 
 CHUNKS, LANES = 12, 4
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -129,8 +129,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: in
     """Those of *pairs* (a, b) whose full sets have 100 * intersection >= percent * union."""
     ids = stage_table(pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct(), "ids")
     texts = stage_table(known_texts(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("t")), ids, id_col).dropDuplicates([id_col]), "texts")
-    both = pairs.join(texts.select(F.col(id_col).alias("b"), F.col("t").alias("tb")), "b")
-    both = both.join(texts.select(F.col(id_col).alias("a"), F.col("t").alias("ta")), "a")
+    both = pairs.join(shuffled(texts.select(F.col(id_col).alias("b"), F.col("t").alias("tb"))), "b")
+    both = both.join(shuffled(texts.select(F.col(id_col).alias("a"), F.col("t").alias("ta"))), "a")
 
     def run(batches):
         last, held = None, set()
@@ -184,7 +184,7 @@ def components(edges: DataFrame, task_edges: int = 200_000) -> DataFrame:
         # large: each vertex ties its larger neighbours to the least of all; small: the smaller ones.
         d = e if not large else e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = d.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        out = d.join(low, "a")
+        out = d.join(shuffled(low), "a")
         if large:
             return out.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return out.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
@@ -211,9 +211,9 @@ def nearest_leads(rows: DataFrame, info: DataFrame, turn: int, alike) -> DataFra
     order = F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp") if turn else F.struct(F.lit(0), "rep", "comp")
     lead = rows.groupBy("k", "v").agg(F.min(order).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     lead = lead.select("k", "v", F.col("l.rep").alias("lead"), F.col("l.comp").alias("its"))
-    star = rows.join(lead, ["k", "v"]).filter("comp <> its").select("rep", "lead").distinct()
+    star = rows.join(shuffled(lead), ["k", "v"]).filter("comp <> its").select("rep", "lead").distinct()
     p, q = info.alias("p"), info.alias("q")
-    star = star.join(p, F.col("p.rep") == star["rep"]).join(q, F.col("q.rep") == star["lead"])
+    star = star.join(shuffled(p), F.col("p.rep") == star["rep"]).join(shuffled(q), F.col("q.rep") == star["lead"])
     star = star.filter(alike({c: F.col(f"p.{c}") for c in ("n", "sig")}, {c: F.col(f"q.{c}") for c in ("n", "sig")}))
     near = F.struct(_unlike(F.col("p.sig"), F.col("q.sig")).alias("d"), F.col("q.rep").alias("a"))
     best = star.select(F.col("p.rep").alias("b"), near.alias("near")).groupBy("b").agg(F.min("near").alias("near"))
@@ -318,8 +318,8 @@ def confirm_blocks(cands: DataFrame, docs: DataFrame, id_col: str, text_col: str
     ids = stage_table(cands.select(F.col("y").alias(id_col)).unionByName(wanted.select(F.col("id").alias(id_col))).distinct(), "ids")
     texts = known_texts(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("t")), ids, id_col).dropDuplicates([id_col])
     texts = stage_table(texts.withColumnRenamed(id_col, "id"), "texts")
-    ys = cands.mapInArrow(split, "id long, home long, xs binary").join(texts, "id").select("home", F.lit(1).alias("ask"), "id", "xs", "t")
-    xs = wanted.join(texts, "id").select(F.pmod("id", F.lit(count)).alias("home"), F.lit(0).alias("ask"), "id", F.lit(None).cast("binary").alias("xs"), "t")
+    ys = cands.mapInArrow(split, "id long, home long, xs binary").join(shuffled(texts), "id").select("home", F.lit(1).alias("ask"), "id", "xs", "t")
+    xs = wanted.join(shuffled(texts), "id").select(F.pmod("id", F.lit(count)).alias("home"), F.lit(0).alias("ask"), "id", F.lit(None).cast("binary").alias("xs"), "t")
     rows = xs.unionByName(ys).repartition("home").sortWithinPartitions("home", "ask")
 
     def run(batches):
@@ -374,25 +374,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     info = classes.select("rep", F.col("n_shingles").alias("n"), "sig")
     index = keys(classes, errors)
     company = index.groupBy("k", "v").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("k", "v")
-    rows = stage_table(index.join(company, ["k", "v"]), "buckets")
+    rows = stage_table(index.join(shuffled(company), ["k", "v"]), "buckets")
     marked, roots = rows.withColumn("comp", F.col("rep")), None
     # What is known so far goes on as stars, an edge for each class that is tied: it has the components of all links.
     tied = lambda found: found if roots is None else found.unionByName(roots.select(F.col("v").alias("a"), F.col("root").alias("b")))
     for turn in range(turns):
         found = confirm(stage_table(nearest_leads(marked, info, turn, alike), "star"), docs, id_col, text_col, n, percent)
         roots = components(tied(found))
-        marked = rows.join(roots, rows["rep"] == roots["v"], "left").select("k", rows["v"], "rep", F.coalesce("root", "rep").alias("comp"))
+        marked = rows.join(shuffled(roots), rows["rep"] == roots["v"], "left").select("k", rows["v"], "rep", F.coalesce("root", "rep").alias("comp"))
     sizes = marked.groupBy("k", "v", "comp").agg(F.count(F.lit(1)).alias("c"))
     large = F.max(F.struct("c", "comp"))
     mixed = sizes.groupBy("k", "v").agg(F.count(F.lit(1)).alias("parts"), large.alias("m"), F.sum("c").alias("all")).filter("parts > 1")
     mixed = mixed.select("k", "v", F.col("m.comp").alias("main"), F.col("m.c").alias("mains"), (F.col("all") - F.col("m.c")).alias("others"))
-    open_ = marked.join(mixed, ["k", "v"]).join(info, "rep")
+    open_ = marked.join(shuffled(mixed), ["k", "v"]).join(shuffled(info), "rep")
     cands = stage_table(candidates(open_, percent, errors), "candidates")
     late = stage_table(confirm_blocks(cands, docs, id_col, text_col, n, percent), "late")
     if late.head(1):
         roots = components(tied(late))
-    by_set = classes.join(roots, classes["rep"] == roots["v"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = feats.select("id", "n_shingles", "digest").join(by_set, "digest", "left")
+    by_set = classes.join(shuffled(roots), classes["rep"] == roots["v"], "left").select("digest", F.coalesce("root", "rep").alias("root"))
+    out = feats.select("id", "n_shingles", "digest").join(shuffled(by_set), "digest", "left")
     root = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"), F.col("id").eqNullSafe(root).alias("kept"))
 
@@ -401,6 +401,5 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of *docs*, all columns (of any names), that stand for their component: those of its smallest
     id, every one that repeats it. Rows of null id stay. Empty texts are linked with nothing and stay. The ids that go are broadcast if a count shows at most *most* of them."""
     gone = stage_table(near_duplicates(docs, id_col, text_col, n, percent).filter("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    if gone.count() <= most:
-        gone = F.broadcast(gone)
+    gone = F.broadcast(gone) if gone.count() <= most else shuffled(gone)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

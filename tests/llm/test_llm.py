@@ -175,6 +175,21 @@ def test_near_duplicates_chain_and_family(spark, empty):
     assert sorted(map(tuple, near_dedup.near_duplicates(odd, n=2).collect()), key=str) == sorted([(None, 2, None, True), (5, 2, 5, True), (5, 2, 5, True), (None, 0, None, True)], key=str)
 
 
+def test_near_dedup_broadcasts_counted_ids_alone(docs, monkeypatch):
+    # Spark takes the tables of this size, and an exploded one 48 times as large as it thinks, for small enough to broadcast.
+    plans, store = [], near_dedup.stage_table
+    keep = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(near_dedup, "stage_table", lambda df, name: (keep(df), store(df, name))[1])
+    parts, components = [], near_dedup.components
+    monkeypatch.setattr(near_dedup, "components", lambda e: (parts.append(1), components(e, 5))[1])
+    keep(near_dedup.keep_representatives(docs))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line]
+    assert len(parts) > 2 and sum("SortMergeJoin" in line for line in joins) > 20
+    assert all("LeftSemi" in line or "LeftAnti" in line for line in joins if "BroadcastHashJoin" in line)
+    beyond = near_dedup.known_texts(docs, docs.select("doc_id").distinct(), "doc_id", most=3)
+    assert "BroadcastHashJoin" not in beyond._jdf.queryExecution().executedPlan().toString()
+
+
 OPEN = "k int, v long, rep long, comp long, main long, others long, mains long, n long, sig array<long>"
 
 
