@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.store import fresh, stage_table
+from tessera.llm.store import fresh, shuffled, stage_table
 
 
 def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -75,7 +75,7 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     won = winners(docs, id_col, text_col)
     kept = stage_table(won.select(F.col("keep_id").alias(k), F.col("__digest").alias(d)), "kept")
     rows = docs.withColumn(d, F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)))
-    out = rows.join(kept, rows[d].eqNullSafe(kept[d]) & rows[id_col].eqNullSafe(kept[k]), "left_semi")
+    out = rows.join(shuffled(kept), rows[d].eqNullSafe(kept[d]) & rows[id_col].eqNullSafe(kept[k]), "left_semi")
     repeated = docs.groupBy(id_col).count().filter("count > 1").select(F.col(id_col).alias(k))
     if repeated.head(1):
         twice = out.join(repeated, out[id_col].eqNullSafe(repeated[k]), "left_semi").dropDuplicates([id_col, d])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessera.llm.store import WORD, fresh, stage_table
+from tessera.llm.store import WORD, fresh, shuffled, stage_table
 
 GROUPS = 64  # of sources, for the upper part of the splitting tree
 
@@ -238,6 +238,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     if shards is None:
         shards = 1 + (dealt.agg(F.max(F.array_max(F.transform(many, lambda c: c["shard"])))).first()[0] or 0)
     same = docs[id_col].eqNullSafe(dealt[i]) & docs[source_col].eqNullSafe(dealt[s]) & (F.xxhash64(docs[text_col]) == dealt[h])
-    rows = docs.join(dealt, same).withColumn(one, F.explode(many))
+    rows = docs.join(shuffled(dealt), same).withColumn(one, F.explode(many))
     rows = rows.repartitionById(shards, F.col(f"{one}.shard")).sortWithinPartitions(f"{one}.shard", f"{one}.position", f"{one}.epoch")
     return rows.select(*[docs[c] for c in docs.columns])

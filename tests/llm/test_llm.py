@@ -190,6 +190,12 @@ def test_near_dedup_broadcasts_counted_ids_alone(docs, monkeypatch):
     assert "BroadcastHashJoin" not in beyond._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pipeline_stages_shuffle_what_grows(docs):
+    for stage in (keep_exact, mixing.mixed):
+        lines = stage(docs)._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert any("SortMergeJoin" in x for x in lines) and not any("BroadcastHashJoin" in x for x in lines)
+
+
 OPEN = "k int, v long, rep long, comp long, main long, others long, mains long, n long, sig array<long>"
 
 
